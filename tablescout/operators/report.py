@@ -28,7 +28,7 @@ def dataset_report(fields: DataFrame, duplicates: DataFrame, pattern_hits: DataF
     ``pattern_hits`` is the one-row result of :func:`pattern_total`; without it the
     column is NULL.
     """
-    rows = F.greatest(F.col("total_rows"), F.lit(1))
+    rows = F.greatest(F.col("dup.total_rows"), F.lit(1))
     held = _clamp(F.col("distinct_count").cast("double"), 1.0, float("inf"))
     diversity = F.log2(F.least(held, rows)) / F.log2(F.greatest(F.lit(2), rows))
     texty = F.col("inferred_semantic").isin("string", "mixed")
@@ -38,13 +38,14 @@ def dataset_report(fields: DataFrame, duplicates: DataFrame, pattern_hits: DataF
         & (F.col("unique_pct") >= RISK_UNIQUE_PCT)
         & (F.col("distinct_count") > F.greatest(F.lit(RISK_DISTINCT), F.floor(RISK_DISTINCT_SHARE * F.col("row_count"))))
     )
-    # Both sides are tables of at most one row per field.
-    per_field = fields.withColumn("total_rows", duplicates.select("total_rows").scalar())
+    # One scalar subquery for both figures, so the duplicate count runs once.
+    per_field = fields.withColumn("dup", duplicates.select(F.struct("total_rows", "duplicate_pct")).scalar())
     dated = F.sort_array(
         F.collect_list(F.when(F.col("inferred_semantic") == "datetime", F.struct("ord", "field")))
     )
     sums = per_field.agg(
         F.count(F.lit(1)).alias("column_count"),
+        F.any_value("dup").alias("dup"),
         F.avg(diversity).alias("diversity"),
         (F.count_if("is_high_cardinality") / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("high_share"),
         F.coalesce(F.sum(F.col("null_count") + F.col("empty_count")), F.lit(0)).alias("missing_cells"),
@@ -59,8 +60,7 @@ def dataset_report(fields: DataFrame, duplicates: DataFrame, pattern_hits: DataF
         F.transform(dated, lambda s: s["field"]).alias("dated"),
         F.count_if(near_key).alias("near_keys"),
     )
-    total = duplicates.select("total_rows").scalar()
-    dup = duplicates.select("duplicate_pct").scalar()
+    total, dup = F.col("dup.total_rows"), F.col("dup.duplicate_pct")
     entropy = F.when(total > 0, F.round(_clamp(F.col("diversity") * 10.0, 0.0, 10.0), 2)).otherwise(0.0)
     complete = F.when(
         (total > 0) & (F.col("column_count") > 0),
@@ -143,14 +143,14 @@ def report_of(df: DataFrame, dictionary: Dictionary, exact: bool = True, full: D
     """Profile a table and report on it, pattern hits included.
 
     Patterns are looked for in the first twelve text fields by inference.  Which fields
-    are text is part of the profile, so that tiny table is computed first.
+    are text is part of the profile, so the profile is run first and its rows, one per
+    field, are handed on; the table is not profiled again.
     """
-    fields = full.fields if full else profile(df, dictionary, exact)
+    source = full.fields if full else profile(df, dictionary, exact)
+    rows = source.collect()
+    fields = df.sparkSession.createDataFrame(rows, source.schema)
     duplicates = full.duplicates if full else duplicate_rows(df, scalar_fields(df, dictionary.names))
-    texty = [
-        r["field"]
-        for r in fields.filter(F.col("inferred_semantic").isin("string", "mixed")).select("field", "ord").collect()
-    ]
-    ordered = [n for n in dictionary.names if n in set(texty)]
+    texty = {r["field"] for r in rows if r["inferred_semantic"] in ("string", "mixed")}
+    ordered = [n for n in dictionary.names if n in texty]
     hits = pattern_total(df, ordered, PATTERN_COLUMNS) if ordered else None
     return dataset_report(fields, duplicates, hits)
