@@ -197,7 +197,7 @@ ORDERS_FIELDS = [
     ("o_custkey", "number", "Char", "D", "bigint"),
     ("o_orderstatus", "text", "Char", "D", "string"),
     ("o_totalprice", "number", "Num", "M", "double"),
-    ("o_orderdate", "time", "Datetime", "D", "timestamp"),
+    ("o_orderdate", "time", "Datetime", "D", "timestamp_ntz"),
     ("o_orderpriority", "text", "Char", "D", "string"),
 ]
 CUSTOMER_FIELDS = [
@@ -209,7 +209,7 @@ CUSTOMER_FIELDS = [
 ]
 EVENT_FIELDS = [
     ("event_id", "number", "Char", "D", "bigint"),
-    ("ts", "time", "Datetime", "D", "timestamp"),
+    ("ts", "time", "Datetime", "D", "timestamp_ntz"),
     ("user_id", "number", "Char", "D", "bigint"),
     ("event_type", "text", "Char", "M", "string"),
     ("value", "number", "Num", "M", "double"),
