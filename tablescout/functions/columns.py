@@ -62,40 +62,42 @@ def trim_text(c: Column) -> Column:
     return F.regexp_replace(c, "^[ \u00a0]+|[ \u00a0]+$", "")
 
 
+def plain_digits(x: Column) -> Column:
+    """Digits of a double without an exponent, for sizes from 1e-4 up to 1e16.
+
+    The cast takes the shortest digits that stand for the double; within these sizes
+    none of them lie beyond the 21st decimal.
+    """
+    return F.regexp_replace(x.try_cast("decimal(38,21)").cast("string"), r"(\.\d+?)0+$", "$1")
+
+
 def shift_point(sci: Column) -> Column:
-    """Rewrite ``d.dddE[-]n`` text as plain digits without an exponent."""
+    """Rewrite ``d.ddde[+-]n`` text as plain digits, whatever the exponent."""
     sign = F.when(sci.startswith("-"), "-").otherwise("")
-    mantissa = F.regexp_extract(sci, r"^-?([0-9.]+)E", 1)
-    power = F.regexp_extract(sci, r"E(-?[0-9]+)$", 1).cast("int")
-    digits = F.regexp_replace(F.regexp_replace(mantissa, r"\.", ""), "0+$", "")
-    whole = power + 1
-    big = F.when(
-        F.length(digits) <= whole,
-        F.concat(F.rpad(digits, whole, "0"), F.lit(".0")),
-    ).otherwise(
-        F.concat(F.substring(digits, F.lit(1), whole), F.lit("."), F.substring(digits, whole + 1, F.length(digits)))
-    )
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
-    return F.concat(sign, F.when(power >= 0, big).otherwise(small))
+    digits = F.regexp_replace(F.regexp_replace(sci, r"e.*$|[-.]", ""), "0+$", "")
+    whole = F.regexp_extract(sci, r"e\+?(-?[0-9]+)$", 1).cast("int") + 1
+    padded = F.rpad(digits, F.greatest(whole, F.length(digits)), "0")
+    big = F.concat(F.substring(padded, F.lit(1), whole), F.lit("."), F.substring(padded, whole + 1, F.length(padded)))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -whole), digits)
+    return F.concat(sign, F.when(whole > 0, big).otherwise(small))
+
+
+def exponent_text(x: Column) -> Column:
+    """``d.ddde[+-]nn`` with sixteen digits if they stand for the double, else seventeen."""
+    short = F.format_string("%.15e", x)
+    full = F.when(short.try_cast("double") == x, short).otherwise(F.format_string("%.16e", x))
+    return F.regexp_replace(full, r"\.?0*e", "e")
 
 
 def double_text(x: Column) -> Column:
     """Text of a double: plain digits from 1e-4 up to 1e16, exponent form outside."""
-    raw = x.cast("string")
     size = F.abs(x)
-    exponent = F.regexp_extract(raw, r"E-?([0-9]+)$", 1)
-    compact = F.concat(
-        F.regexp_replace(F.regexp_extract(raw, r"^(.*)E", 1), r"\.0$", ""),
-        F.when(size < 1, "e-").otherwise("e+"),
-        F.when(F.length(exponent) < 2, F.lpad(exponent, 2, "0")).otherwise(exponent),
-    )
     return (
-        F.when(F.isnan(x), "nan")
-        .when(raw == "Infinity", "inf")
-        .when(raw == "-Infinity", "-inf")
-        .when(~raw.contains("E"), raw)
-        .when((size >= 1e-4) & (size < 1e16), shift_point(raw))
-        .otherwise(compact)
+        F.when((size >= 1e-3) & (size < 1e7) | (size == 0), x.cast("string"))
+        .when((size >= 1e-4) & (size < 1e16), plain_digits(x))
+        .when(F.isnan(x), "nan")
+        .when(size == float("inf"), F.when(x > 0, "inf").otherwise("-inf"))
+        .otherwise(exponent_text(x))
     )
 
 

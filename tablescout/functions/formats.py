@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .columns import double_text, is_temporal, safe_double, shift_point, text_of
+from .columns import double_text, exponent_text, is_temporal, plain_digits, safe_double, shift_point, text_of
 
 # The whole numbers that read as a year-month-day key.
 FIRST_DAY_KEY, LAST_DAY_KEY = 10000101, 99991231
@@ -26,9 +26,10 @@ def yyyymmdd(c: Column, dtype: T.DataType) -> Column:
     text = F.trim(text_of(c, dtype))
     number = safe_double(c, dtype)
     digits = F.regexp_replace(text, r"\D", "")
+    fractional = isinstance(dtype, (T.DoubleType, T.FloatType))
     iso = F.when(text.rlike(r"^\d{4}(-\d{1,2}(-\d{1,2}([ T].*)?)?)?$"), text).try_cast("timestamp")
     missing = c.isNull() | (text == "")
-    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+    if fractional:
         missing = missing | F.isnan(c)
     return (
         F.when(missing, "")
@@ -38,7 +39,7 @@ def yyyymmdd(c: Column, dtype: T.DataType) -> Column:
             number.cast("bigint").cast("string"),
         )
         .when(F.length(digits) == 8, digits)
-        .otherwise(F.coalesce(F.date_format(iso, "yyyyMMdd"), text))
+        .otherwise(text if fractional else F.coalesce(F.date_format(iso, "yyyyMMdd"), text))
     )
 
 
@@ -77,10 +78,12 @@ def round_measure(c: Column, places: int = 2) -> Column:
 
 def edge_text(x: Column) -> Column:
     """A bin edge in plain digits: no exponent, no trailing zeros."""
-    raw = x.cast("string")
-    plain = F.when(raw.contains("E"), shift_point(raw)).otherwise(raw)
-    finite = F.regexp_replace(F.regexp_replace(plain, r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    return F.when(F.isnan(x) | x.isin(float("inf"), float("-inf")), double_text(x)).otherwise(finite)
+    size = F.abs(x)
+    plain = F.when((size >= 1e-4) & (size < 1e16) | (size == 0), plain_digits(x)).otherwise(
+        shift_point(exponent_text(x))
+    )
+    finite = F.regexp_replace(plain, r"\.?0*$", "")
+    return F.when(F.isnan(x) | (size == float("inf")), double_text(x)).otherwise(finite)
 
 
 def bin_label(lo: Column, hi: Column) -> Column:
