@@ -21,8 +21,8 @@ from ..functions.columns import (
 )
 from ..sources.dictionary import Dictionary
 from .distribution import bin_distribution, value_distribution
-from .percentiles import percentile_aggregates
-from .quality import duplicate_rows, outlier_counts, quartile_map
+from .percentiles import FINISH_ROWS, literal_double, percentile_values
+from .quality import QUARTILES, duplicate_rows, outlier_counts
 from .quickstats import one_row_per_field
 from .values import scalar_fields, typed_counts
 
@@ -55,9 +55,9 @@ def base_metrics(df: DataFrame, fields: Sequence[str] | None = None) -> DataFram
     Everything comes from the value counts: one shuffle for all columns of a type.
     """
     fields = scalar_fields(df, fields)
-    parts = [_facts_of(dtype, counts) for dtype, counts in typed_counts(df, fields)]
-    table = parts[0]
-    for part in parts[1:]:
+    facts = [_facts_of(dtype, counts) for dtype, counts in typed_counts(df, fields)]
+    table = facts[0]
+    for part in facts[1:]:
         table = table.unionByName(part)
     names = literal_rows(df.sparkSession, ["field"], [(n,) for n in fields])
     # One row per field on the broadcast side, however large the table is.
@@ -91,35 +91,29 @@ def infer_semantic(role: Column, field_type: Column) -> Column:
 
 
 def numeric_metrics(
-    df: DataFrame, fields: Sequence[str], exact: bool = True, group_rows: int | None = None
+    df: DataFrame, fields: Sequence[str], exact: bool = True, finish_rows: int = FINISH_ROWS
 ) -> DataFrame:
     """``(field, num_min .. num_var_pop)`` over the cells that are numbers; non-finite results are NULL."""
-    middle = percentile_aggregates(df, fields, [0.5], exact, group_rows)
-    per_field = {}
-    for name in fields:
-        x = safe_double(qcol(name), type_of(df, name))
-        values = [F.min(x), F.max(x), F.avg(x), middle[name].getItem(0), F.stddev_pop(x), F.var_pop(x)]
-        per_field[name] = [finite_or_null(v).alias(c) for v, c in zip(values, NUMERIC_BLOCK)]
-    return one_row_per_field(df, per_field)
+    return measure_facts(df, fields, exact, finish_rows).select("field", *NUMERIC_BLOCK)
 
 
-def _measure_facts(df: DataFrame, fields: Sequence[str], exact: bool) -> DataFrame:
-    """Numeric block and outliers together: quartiles first, then everything else in one scan."""
-    numbers = [safe_double(qcol(n), type_of(df, n)).alias(f"x{i}") for i, n in enumerate(fields)]
-    rows = df.select(*numbers, quartile_map(df, fields, exact).alias("quartiles"))
+def measure_facts(
+    df: DataFrame, fields: Sequence[str], exact: bool = True, finish_rows: int = FINISH_ROWS
+) -> DataFrame:
+    """Numeric block and outliers: quartiles are searched for first, everything else takes one scan."""
+    quartiles = percentile_values(df, fields, QUARTILES, exact, finish_rows)
     per_field = {}
-    for i, name in enumerate(fields):
-        x = F.col(f"x{i}")
-        quartiles = F.col("quartiles").getItem(name)
-        middle = F.first(quartiles.getItem(1))
+    for name in fields:
+        x = safe_double(qcol(name), type_of(df, name))
+        middle = literal_double(quartiles[name][1])
         values = [F.min(x), F.max(x), F.avg(x), middle, F.stddev_pop(x), F.var_pop(x)]
-        outside = outlier_counts(x, quartiles)
+        outside = outlier_counts(x, quartiles[name])
         per_field[name] = [
             *[finite_or_null(v).alias(c) for v, c in zip(values, NUMERIC_BLOCK)],
             F.when(F.count(x) > 0, outside).alias("outlier_count"),
             F.when(F.count(x) > 0, 100.0 * outside / F.count(x)).alias("outlier_pct"),
         ]
-    return one_row_per_field(rows, per_field)
+    return one_row_per_field(df, per_field)
 
 
 def profile(df: DataFrame, dictionary: Dictionary, exact: bool = True) -> DataFrame:
@@ -133,7 +127,7 @@ def profile(df: DataFrame, dictionary: Dictionary, exact: bool = True) -> DataFr
     )
     table = hints.join(F.broadcast(base_metrics(df, fields)), "field")
     if measures:
-        table = table.join(F.broadcast(_measure_facts(df, measures, exact)), "field", "left")
+        table = table.join(F.broadcast(measure_facts(df, measures, exact)), "field", "left")
     else:
         for c in NUMERIC_BLOCK + ["outlier_pct"]:
             table = table.withColumn(c, F.lit(None).cast("double"))

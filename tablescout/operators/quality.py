@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import qcol, require_columns, safe_double, text_of, trim_text, type_of
-from .percentiles import percentiles
+from .percentiles import FINISH_ROWS, percentile_values
 from .quickstats import one_row_per_field
 from .values import scalar_fields
 
+QUARTILES = [0.25, 0.5, 0.75]
 # Formats looked for at the start of (or as the whole of) a trimmed cell.
 PATTERNS = {
     "iso_date": r"^\d{4}-\d{2}-\d{2}",
@@ -20,35 +21,30 @@ PATTERNS = {
 }
 
 
-def quartile_map(df: DataFrame, fields: Sequence[str], exact: bool = True, group_rows: int | None = None) -> Column:
-    """Map from field to its quartiles ``[q1, median, q3]``, as a value for other plans."""
-    table = percentiles(df, fields, [0.25, 0.5, 0.75], exact, group_rows)
-    return table.agg(F.map_from_entries(F.collect_list(F.struct("field", "q")))).scalar()
-
-
-def outlier_counts(x: Column, quartiles: Column) -> Column:
+def outlier_counts(x: Column, quartiles: Sequence[float | None]) -> Column:
     """Number of cells strictly outside the fences ``q -/+ 1.5 IQR``."""
-    q1, q3 = quartiles.getItem(0), quartiles.getItem(2)
+    q1, q3 = quartiles[0], quartiles[2]
+    if q1 is None or q3 is None:
+        return F.count_if(F.lit(False))
     reach = 1.5 * (q3 - q1)
     return F.count_if((x < q1 - reach) | (x > q3 + reach))
 
 
 def iqr_outliers(
-    df: DataFrame, fields: Sequence[str], exact: bool = True, group_rows: int | None = None
+    df: DataFrame, fields: Sequence[str], exact: bool = True, finish_rows: int = FINISH_ROWS
 ) -> DataFrame:
     """``(field, outlier_count, outlier_pct)`` by Tukey's fences; NULLs where there is no number."""
     require_columns(df, fields)
-    numbers = [safe_double(qcol(n), type_of(df, n)).alias(f"x{i}") for i, n in enumerate(fields)]
-    rows = df.select(*numbers, quartile_map(df, fields, exact, group_rows).alias("quartiles"))
+    quartiles = percentile_values(df, fields, QUARTILES, exact, finish_rows)
     per_field = {}
-    for i, name in enumerate(fields):
-        x = F.col(f"x{i}")
-        outside = outlier_counts(x, F.col("quartiles").getItem(name))
+    for name in fields:
+        x = safe_double(qcol(name), type_of(df, name))
+        outside = outlier_counts(x, quartiles[name])
         per_field[name] = [
             F.when(F.count(x) > 0, outside).alias("outlier_count"),
             F.when(F.count(x) > 0, 100.0 * outside / F.count(x)).alias("outlier_pct"),
         ]
-    return one_row_per_field(rows, per_field)
+    return one_row_per_field(df, per_field)
 
 
 def duplicate_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from ..functions.columns import is_temporal, qcol, require_columns, safe_double, text_of, type_of
 from ..functions.formats import round_measure, yyyymmdd
 from ..sources.dictionary import Dictionary
-from .percentiles import percentile_aggregates
+from .percentiles import FINISH_ROWS, literal_double, percentile_values
 from .values import scalar_fields, typed_counts
 
 TOP_VALUES = 15
@@ -71,11 +71,14 @@ def quick_top(
 
 
 def quick_num(
-    df: DataFrame, fields: Sequence[str], exact: bool = True, group_rows: int | None = None
+    df: DataFrame, fields: Sequence[str], exact: bool = True, finish_rows: int = FINISH_ROWS
 ) -> DataFrame:
-    """``(field, null_count, min, max, sum, mean, median)`` in one scan; NaN where there is no number."""
+    """``(field, null_count, min, max, sum, mean, median)``; NaN where there is no number.
+
+    The median is searched for first, everything else takes one scan.
+    """
     require_columns(df, fields)
-    middle = percentile_aggregates(df, fields, [0.5], exact, group_rows)
+    middle = percentile_values(df, fields, [0.5], exact, finish_rows)
     per_field = {}
     for name in fields:
         x = safe_double(qcol(name), type_of(df, name))
@@ -86,7 +89,7 @@ def quick_num(
             F.coalesce(F.max(x), nan).alias("max"),
             F.coalesce(F.sum(x), nan).alias("sum"),
             F.coalesce(F.avg(x), nan).alias("mean"),
-            F.coalesce(middle[name].getItem(0), nan).alias("median"),
+            F.coalesce(literal_double(middle[name][0]), nan).alias("median"),
         ]
     return one_row_per_field(df, per_field)
 
