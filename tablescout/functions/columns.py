@@ -59,7 +59,7 @@ def is_fractional(dtype: T.DataType) -> bool:
 
 def trim_text(c: Column) -> Column:
     """Strip blanks and no-break spaces from both ends (tabs and newlines stay)."""
-    return F.regexp_replace(c, "^[ \u00a0]+|[ \u00a0]+$", "")
+    return F.btrim(c, F.lit(" \u00a0"))
 
 
 def plain_digits(x: Column) -> Column:
@@ -112,17 +112,21 @@ def text_of(c: Column, dtype: T.DataType) -> Column:
     return c.cast("string")
 
 
+# Fixed grammar of a number in text: blanks around it, single underscores between digits.
+NUMBER_TEXT = (
+    r"(?i)^\s*[-+]?(?:(?:\d+(?:_\d+)*\.?(?:\d+(?:_\d+)*)?|\.\d+(?:_\d+)*)(?:e[-+]?\d+(?:_\d+)*)?"
+    r"|inf(?:inity)?|nan)\s*\z"
+)
+
+
 def safe_double(c: Column, dtype: T.DataType) -> Column:
     """The cell as a double, NULL where it is not a number.
 
-    Text accepts blanks around the number, exponents, ``inf``, ``nan`` and single
-    underscores between digits; it refuses Java's ``1d``/``1f`` suffixes.  Dates and
-    timestamps are never numbers.
+    Text has to match ``NUMBER_TEXT``; checking first is cheaper than a failing cast.
+    Dates and timestamps are never numbers.
     """
     if isinstance(dtype, T.StringType):
-        plain = F.when(c.contains("_"), F.regexp_replace(c, r"(?<=\d)_(?=\d)", "")).otherwise(c)
-        suffixed = c.rlike(r"[dDfF]\s*$") & ~F.lower(c).contains("inf")
-        return F.when(~suffixed, plain.try_cast("double"))
+        return F.when(c.rlike(NUMBER_TEXT), F.replace(c, F.lit("_"), F.lit("")).try_cast("double"))
     if isinstance(dtype, _NUMERIC):
         return c.cast("double")
     return F.lit(None).cast("double")

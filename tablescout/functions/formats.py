@@ -43,31 +43,41 @@ def yyyymmdd(c: Column, dtype: T.DataType) -> Column:
     )
 
 
+def _shown(number: Column, plain: Column) -> Column:
+    """``plain`` for finite numbers, a dash for NaN, ``inf`` and ``-inf`` for the rest."""
+    infinite = F.when(F.isnan(number), NOT_A_NUMBER).when(number > 0, "inf").otherwise("-inf")
+    return F.when(F.abs(number) < float("inf"), plain).otherwise(infinite)
+
+
+def _formatted(c: Column, dtype: T.DataType, plain) -> Column:
+    """Cells that are numbers through ``plain``, others as text, NULL as blank."""
+    if isinstance(dtype, T.StringType):
+        number = safe_double(c, dtype)
+        return F.when(c.isNull(), "").when(number.isNotNull(), _shown(number, plain(number))).otherwise(c)
+    if isinstance(dtype, (T.NumericType, T.BooleanType)):
+        number = c.cast("double")
+        fractional = isinstance(dtype, (T.DoubleType, T.FloatType))
+        return F.coalesce(_shown(number, plain(number)) if fractional else plain(number), F.lit(""))
+    return F.coalesce(text_of(c, dtype), F.lit(""))
+
+
 def fmt_measure(c: Column, dtype: T.DataType, places: int = 2) -> Column:
     """Thousands separators and fixed decimals; blank for NULL, a dash for NaN."""
-    number = safe_double(c, dtype)
-    shown = (
-        F.when(F.isnan(number), NOT_A_NUMBER)
-        .when(number == float("inf"), "inf")
-        .when(number == float("-inf"), "-inf")
-        .otherwise(F.format_number(number, clamp_places(places)))
-    )
-    return F.when(c.isNull(), "").when(number.isNull(), text_of(c, dtype)).otherwise(shown)
+    return _formatted(c, dtype, lambda x: F.format_number(x, clamp_places(places)))
 
 
 def fmt_dimension(c: Column, dtype: T.DataType, field_type: str | None = None) -> Column:
     """Numbers to at most four decimals without separators; other cells as text."""
     if field_type is not None and "".join(ch for ch in field_type.upper() if ch.isalnum()) == "YYYYMMDD":
         return yyyymmdd(c, dtype)
-    number = safe_double(c, dtype)
-    plain = F.regexp_replace(F.regexp_replace(F.format_number(number, 4), ",", ""), r"\.?0+$", "")
-    shown = (
-        F.when(F.isnan(number), NOT_A_NUMBER)
-        .when(number == float("inf"), "inf")
-        .when(number == float("-inf"), "-inf")
-        .otherwise(plain)
-    )
-    return F.when(c.isNull(), "").when(number.isNull(), text_of(c, dtype)).otherwise(shown)
+    if isinstance(dtype, T.IntegralType):
+        return F.coalesce(c.cast("string"), F.lit(""))
+
+    def plain(x: Column) -> Column:
+        digits = F.translate(F.format_number(x, 4), ",", "")
+        return F.rtrim(F.rtrim(digits, F.lit("0")), F.lit("."))
+
+    return _formatted(c, dtype, plain)
 
 
 def round_measure(c: Column, places: int = 2) -> Column:

@@ -43,7 +43,9 @@ FIRST_YEAR, LAST_YEAR = 2018, 2026
 KEY_WIDTH = 12
 DEFAULT_RANGE = (1.0, 100_000.0)
 DEFAULT_SPAN = 1_000_000.0
-LAST_DAY, LAST_MOMENT = "9999-12-31", "9999-12-31 00:00:00"
+LAST_DAY = "9999-12-31"
+# Working columns of a synthetic row: text, number, moment.
+PREFIX = {"text": "__t_", "number": "__n_", "moment": "__s_"}
 # Fixed patterns: "> a [and < b]" and "< OTHER_FIELD".
 BOUNDS = re.compile(r">=?\s*(-?\d+(?:\.\d+)?)(?:\s+and\s+<=?\s*(-?\d+(?:\.\d+)?))?", re.IGNORECASE)
 BELOW_FIELD = re.compile(r"<\s*([A-Za-z0-9_]+)")
@@ -69,37 +71,67 @@ class ColumnRule:
 
 
 class _Row:
-    """Expressions of one row: its number, the seed, and the columns built so far."""
+    """Expressions of one row: its number, the seed, and the columns built so far.
 
-    def __init__(self, rules: Sequence[ColumnRule], seed: int):
+    Numbers and moments are kept beside their text (``__n_`` and ``__s_`` columns), so
+    that a rule which looks at an earlier column need not parse it again.
+    """
+
+    def __init__(self, seed: int):
         self.seed = seed
-        self.names = [r.name for r in rules]
-        self.done: list[str] = []
+        self.done: dict[str, str] = {}
+        self.used: set[str] = set()
         rng = random.Random(seed)
-        self.year, self.month = rng.randint(FIRST_YEAR, LAST_YEAR), rng.randint(1, 12)
-        following = date(self.year + self.month // 12, self.month % 12 + 1, 1)
-        self.days = (following - date(self.year, self.month, 1)).days
+        year, month = rng.randint(FIRST_YEAR, LAST_YEAR), rng.randint(1, 12)
+        self.start = date(year, month, 1)
+        self.days = (date(year + month // 12, month % 12 + 1, 1) - self.start).days
         self.number = F.col("id") + 1
 
     def draw(self, name: str, what: str = "") -> Column:
         """Uniform in [0, 1), fixed by row, column, purpose and seed."""
         bits = F.xxhash64(F.col("id"), F.lit(f"{name}/{what}"), F.lit(self.seed))
-        return F.pmod(F.shiftrightunsigned(bits, 11), F.lit(1 << 53)).cast("double") / float(1 << 53)
+        return F.shiftrightunsigned(bits, 11).cast("double") / float(1 << 53)
 
     def choose(self, name: str, options: Column, count: Column | int) -> Column:
         size = F.lit(count) if isinstance(count, int) else count
         return F.element_at(options, F.floor(self.draw(name) * size).cast("int") + 1)
 
-    def earlier(self, name: str) -> Column | None:
-        """An already built column of the row, by name in any case."""
-        for done in self.done:
+    def earlier(self, name: str, kind: str = "text") -> Column | None:
+        """An already built column of the row, by name in any case.
+
+        ``kind`` asks for its text, its number (NULL if it is none) or its moment in
+        seconds from the start of the month.
+        """
+        for done, has in self.done.items():
             if done.upper() == name.strip().upper():
-                return qcol("__id" if done == "id" else done)
+                if has not in ("text", kind):
+                    return None
+                self.used.add(done)
+                if has == "text" and kind == "number":
+                    return F.replace(qcol("__t_" + done), F.lit(","), F.lit("")).try_cast("double")
+                if has == "text" and kind == "moment":
+                    return self.seconds(qcol("__t_" + done))
+                return qcol(PREFIX[kind] + done)
         return None
 
-    @property
-    def month_start(self) -> str:
-        return f"{self.year:04d}-{self.month:02d}-01"
+    def seconds(self, text: Column) -> Column:
+        """Seconds of ``yyyy-MM-dd[ HH:mm:ss]`` text from the start of the month, else NULL."""
+        exact = text.rlike(r"^\d{4}-\d{2}-\d{2}( \d{2}:\d{2}:\d{2})?\z")
+        day = F.datediff(F.when(exact, F.substring(text, 1, 10)).try_cast("date"), F.lit(self.start))
+        part = lambda at: F.coalesce(F.substring(text, at, 2).try_cast("bigint"), F.lit(0))
+        return day.cast("bigint") * 86_400 + part(12) * 3_600 + part(15) * 60 + part(18)
+
+    def day(self, offset: Column) -> Column:
+        """Text of the day so many days after the start of the month."""
+        return F.date_format(F.date_add(F.lit(self.start), offset.cast("int")), "yyyy-MM-dd")
+
+    def moment(self, seconds: Column) -> Column:
+        """Text of a moment; built from a date and a time of day, so no time zone is involved."""
+        day = F.floor(seconds / 86_400)
+        rest = seconds - day * 86_400
+        two = lambda c: F.lpad(c.cast("int").cast("string"), 2, "0")
+        clock = F.concat_ws(":", two(F.floor(rest / 3_600)), two(F.floor(rest / 60) % 60), two(rest % 60))
+        return F.concat_ws(" ", self.day(day), clock)
 
 
 def _texts(values: Sequence[str]) -> Column:
@@ -135,112 +167,102 @@ def _number(rule: ColumnRule, row: _Row) -> Column:
     lo = F.lit(0.0 if low is None else low)
     caps = [] if high is None else [F.lit(high)]
     for other in dict.fromkeys(m.upper() for m in BELOW_FIELD.findall(rule.rules)):
-        cell = row.earlier(other)
+        cell = row.earlier(other, "number")
         if cell is not None:
-            caps.append(F.regexp_replace(cell, ",", "").try_cast("double"))
+            caps.append(cell)
     # least() skips NULLs, so a cap that is no number does not count.
     hi = F.least(*caps) if len(caps) > 1 else caps[0] if caps else F.lit(None).cast("double")
     hi = F.coalesce(hi, lo + DEFAULT_SPAN)
     hi = F.when(hi <= lo, lo + 1.0).otherwise(hi)
-    upper = F.when(hi > lo + 2.0, hi - 1.0).otherwise(hi)
-    value = lo + 1.0 + row.draw(rule.name) * F.greatest(upper - lo - 1.0, F.lit(1.0))
-    return F.bround(value, 0).cast("bigint").cast("string")
+    room = F.greatest(F.when(hi > lo + 2.0, hi - 1.0).otherwise(hi) - lo - 1.0, F.lit(1.0))
+    return F.rint(lo + 1.0 + row.draw(rule.name) * room)
 
 
 def _month_end(rule: ColumnRule, row: _Row) -> Column:
-    years = LAST_YEAR - FIRST_YEAR + 1
-    year = F.floor(row.draw(rule.name, "year") * years).cast("int") + FIRST_YEAR
-    month = F.floor(row.draw(rule.name, "month") * 12).cast("int") + 1
-    return F.last_day(F.make_date(year, month, F.lit(1)))
-
-
-def _date(rule: ColumnRule, row: _Row) -> Column:
-    if LAST_DAY in rule.rules and "00:00:00" not in rule.rules:
-        return F.lit(LAST_DAY)
-    if "last date of the month" in rule.rules.lower():
-        day = _month_end(rule, row)
-    else:
-        day = F.date_add(F.lit(row.month_start).cast("date"), F.floor(row.draw(rule.name) * row.days).cast("int"))
-    return F.date_format(day, "yyyy-MM-dd")
-
-
-def _datetime(rule: ColumnRule, row: _Row) -> Column:
-    if LAST_DAY in rule.rules:
-        return F.lit(LAST_MOMENT)
-    if "last date of the month" in rule.rules.lower():
-        return F.concat(F.date_format(_month_end(rule, row), "yyyy-MM-dd"), F.lit(" 23:59:59"))
-    # Seconds are counted from the month's start as dates plus a time of day, which
-    # keeps the text free of the session's time zone.
-    seconds = F.floor(row.draw(rule.name) * (row.days * 86_400)).cast("bigint")
-    for other in reversed(BELOW_FIELD.findall(rule.rules)):
-        cell = row.earlier(other)
-        if cell is not None:
-            day = F.substring(cell, 1, 10).try_cast("date")
-            clock = F.when(F.length(cell) > 10, F.substring(cell, 12, 8)).otherwise("00:00:00")
-            part = F.split(clock, ":")
-            at = (
-                F.datediff(day, F.lit(row.month_start).cast("date")).cast("bigint") * 86_400
-                + part.getItem(0).try_cast("bigint") * 3_600
-                + part.getItem(1).try_cast("bigint") * 60
-                + part.getItem(2).try_cast("bigint")
-            )
-            room = F.greatest(at - 1, F.lit(0))
-            seconds = F.when(at.isNotNull(), F.floor(row.draw(rule.name) * room).cast("bigint")).otherwise(seconds)
-    day = F.date_add(F.lit(row.month_start).cast("date"), F.floor(seconds / 86_400).cast("int"))
-    rest = F.pmod(seconds, F.lit(86_400))
-    clock = F.format_string(
-        "%02d:%02d:%02d",
-        F.floor(rest / 3_600).cast("int"),
-        F.floor(F.pmod(rest, F.lit(3_600)) / 60).cast("int"),
-        F.pmod(rest, F.lit(60)).cast("int"),
-    )
-    return F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit(" "), clock)
-
-
-def cell_of(rule: ColumnRule, row: _Row) -> Column:
-    """The text of one cell; the first rule that fits counts."""
+    """The last day of a drawn month, in days from the start of the row's month."""
+    months = F.floor(row.draw(rule.name) * (12 * (LAST_YEAR - FIRST_YEAR + 1))).cast("int")
+    return F.datediff(F.last_day(F.add_months(F.lit(date(FIRST_YEAR, 1, 1)), months)), F.lit(row.start))
+
+
+def _moment(rule: ColumnRule, row: _Row) -> Column:
+    """Seconds of a date or datetime cell from the start of the month."""
+    words, whole_day = rule.rules.lower(), rule.data_type.strip().lower() == "date"
+    sentinel = LAST_DAY in rule.rules and not (whole_day and "00:00:00" in rule.rules)
+    if sentinel:
+        return F.lit((date.fromisoformat(LAST_DAY) - row.start).days * 86_400).cast("bigint")
+    if "last date of the month" in words:
+        return _month_end(rule, row).cast("bigint") * 86_400 + (0 if whole_day else 86_399)
+    if whole_day:
+        return F.floor(row.draw(rule.name) * row.days) * 86_400
+    room = F.lit(row.days * 86_400).cast("bigint")
+    for other in BELOW_FIELD.findall(rule.rules):
+        cap = row.earlier(other, "moment")
+        if cap is not None:
+            room = F.when(cap.isNull(), room).otherwise(F.greatest(cap - 1, F.lit(0)))
+            break
+    return F.floor(row.draw(rule.name) * room)
+
+
+def cells_of(rule: ColumnRule, row: _Row) -> dict[str, Column]:
+    """The text of one cell, with its number or moment if it has one; the first rule that fits counts."""
     text = rule.rules.strip()
     words = text.lower()
     kind = rule.data_type.strip().lower()
     if "unique number" in words:
-        return F.lpad(row.number.cast("string"), _width(rule), "0")
+        return {"text": F.lpad(row.number.cast("string"), _width(rule), "0")}
     if "us states only" in words:
-        return _cut(row.choose(rule.name, _texts(STATES), len(STATES)), rule)
+        return {"text": _cut(row.choose(rule.name, _texts(STATES), len(STATES)), rule)}
     if "counties" in words and "state" in words:
-        return _cut(_county(rule, row), rule)
+        return {"text": _cut(_county(rule, row), rule)}
     if kind in NUMBER_TYPES:
-        return _number(rule, row)
-    if kind == "date":
-        return _date(rule, row)
-    if kind == "datetime":
-        return _datetime(rule, row)
+        return {"number": _number(rule, row)}
+    if kind in ("date", "datetime"):
+        return {"moment": _moment(rule, row)}
     compares = "<" in text or ">" in text
     options = [o.strip() for o in text.split(",") if o.strip()]
     if "," in text and not compares and options:
-        return _cut(row.choose(rule.name, _texts(options), len(options)), rule)
+        return {"text": _cut(row.choose(rule.name, _texts(options), len(options)), rule)}
     if text and not compares and "," not in text:
-        return _cut(F.lit(text), rule)
+        return {"text": _cut(F.lit(text), rule)}
     if kind in TEXT_TYPES:
-        return _cut(F.concat(F.lit(rule.name + "_"), row.number.cast("string")), rule)
-    return row.number.cast("string")
+        return {"text": _cut(F.concat(F.lit(rule.name + "_"), row.number.cast("string")), rule)}
+    return {"text": row.number.cast("string")}
+
+
+def _text_of(rule: ColumnRule, row: _Row) -> Column:
+    """The finished text column of a rule, from the column kept for it."""
+    has = row.done[rule.name]
+    if has == "number":
+        return qcol("__n_" + rule.name).cast("bigint").cast("string")
+    if has == "moment":
+        at = qcol("__s_" + rule.name)
+        return row.day(at / 86_400) if rule.data_type.strip().lower() == "date" else row.moment(at)
+    return qcol("__t_" + rule.name)
 
 
 def synthesize(ids: DataFrame, rules: Sequence[ColumnRule], seed: int, rows: int | None = None) -> DataFrame:
-    """One synthetic row per ``id`` (0, 1, 2, ...) of a table, all cells as text."""
+    """One synthetic row per ``id`` (0, 1, 2, ...) of a table, all cells as text.
+
+    Columns are added in as few steps as the rules that look at earlier columns allow.
+    """
     names = [r.name for r in rules]
     if len(set(names)) < len(names):
         raise ValueError(f"duplicate column names in the rules: {names}")
-    row = _Row(rules, seed)
+    row = _Row(seed)
     table = ids.select(F.col("id").cast("bigint").alias("id"))
+    pending: dict[str, Column] = {}
     for rule in rules:
         if "unique number" in rule.rules.lower() and rows is not None and rows > 10 ** _width(rule) - 1:
-            raise ValueError(
-                f"{rule.name}: {rows} unique numbers do not fit in {_width(rule)} digits"
-            )
-        cell = cell_of(rule, row)
-        table = table.select("*", cell.alias(rule.name)) if rule.name != "id" else table.select("*", cell.alias("__id"))
-        row.done.append(rule.name)
-    return table.select(*[qcol("__id" if n == "id" else n).alias(n) for n in names])
+            raise ValueError(f"{rule.name}: {rows} unique numbers do not fit in {_width(rule)} digits")
+        row.used.clear()
+        ((kind, cell),) = cells_of(rule, row).items()
+        if row.used & set(pending):
+            table = table.select("*", *pending.values())
+            pending = {}
+        pending[rule.name] = cell.alias(PREFIX[kind] + rule.name)
+        row.done[rule.name] = kind
+    table = table.select("*", *pending.values())
+    return table.select(*[_text_of(r, row).alias(r.name) for r in rules])
 
 
 def generate(

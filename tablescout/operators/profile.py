@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from ..functions.columns import (
     boolean_like,
     finite_or_null,
+    is_temporal,
     literal_rows,
     qcol,
     safe_double,
@@ -31,21 +32,30 @@ OUTLIER_BLOCK = ["outlier_count", "outlier_pct"]
 
 
 def _facts_of(dtype: T.DataType, counts: DataFrame) -> DataFrame:
-    """Weigh every distinct value by its count; text is parsed once per distinct value."""
+    """Weigh every distinct value by its count; text is parsed once per distinct value.
+
+    Only text needs parsing: numbers are numbers, dates are dates.
+    """
     value, cnt = F.col("value"), F.col("cnt")
-    blank = (trim_text(value) == "") if isinstance(dtype, T.StringType) else F.lit(False)
+    text = isinstance(dtype, T.StringType)
+    present = F.sum(F.when(value.isNotNull(), cnt).otherwise(0))
 
     def weight(cond: Column) -> Column:
-        return F.sum(F.when(value.isNotNull() & cond, cnt).otherwise(0))
+        return F.sum(F.when(cond, cnt).otherwise(0))
 
+    none = F.lit(0).cast("bigint")
+    number = isinstance(dtype, (T.NumericType, T.BooleanType))
+    fractional = isinstance(dtype, (T.DoubleType, T.FloatType))
     return counts.groupBy("field").agg(
         F.sum("cnt").alias("row_count"),
-        F.sum(F.when(value.isNull(), cnt).otherwise(0)).alias("null_count"),
-        weight(blank).alias("empty_count"),
+        weight(value.isNull()).alias("null_count"),
+        (weight(trim_text(value) == "") if text else none).alias("empty_count"),
         F.count(value).alias("distinct_count"),
-        weight(boolean_like(value, dtype)).alias("boolean_count"),
-        weight(safe_double(value, dtype).isNotNull()).alias("numeric_count"),
-        weight(safe_timestamp(value, dtype).isNotNull()).alias("timestamp_count"),
+        (none if fractional or is_temporal(dtype) else weight(boolean_like(value, dtype))).alias("boolean_count"),
+        (weight(safe_double(value, dtype).isNotNull()) if text else present if number else none).alias("numeric_count"),
+        (weight(safe_timestamp(value, dtype).isNotNull()) if text else present if is_temporal(dtype) else none).alias(
+            "timestamp_count"
+        ),
     )
 
 
