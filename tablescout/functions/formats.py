@@ -45,7 +45,7 @@ def yyyymmdd(c: Column, dtype: T.DataType) -> Column:
 
 def _shown(number: Column, plain: Column) -> Column:
     """``plain`` for finite numbers, a dash for NaN, ``inf`` and ``-inf`` for the rest."""
-    infinite = F.when(F.isnan(number), NOT_A_NUMBER).when(number > 0, "inf").otherwise("-inf")
+    infinite = F.when(F.isnan(number), NOT_A_NUMBER).when(number > 0, "inf").when(number < 0, "-inf")
     return F.when(F.abs(number) < float("inf"), plain).otherwise(infinite)
 
 
