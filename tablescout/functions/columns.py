@@ -97,7 +97,7 @@ def double_text(x: Column) -> Column:
         .when((size >= 1e-4) & (size < 1e16), plain_digits(x))
         .when(F.isnan(x), "nan")
         .when(size == float("inf"), F.when(x > 0, "inf").otherwise("-inf"))
-        .otherwise(exponent_text(x))
+        .when(size > 0, exponent_text(x))
     )
 
 
