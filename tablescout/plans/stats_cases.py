@@ -319,13 +319,13 @@ CASES = {
         lambda s, d: quickstats.round_measures(
             quickstats.quick_num(table(s, d, "orders"), ["o_totalprice"]),
             Dictionary.of(table(s, d, "orders"), ["o_totalprice"]),
-            1,
+            3,
         ),
         union(
             f"SELECT 'o_totalprice' AS field, 0 AS null_count, {cols} FROM orders"
             for cols in [
                 ", ".join(
-                    f"ROUND({f}(o_totalprice), 1) AS {n}"
+                    f"ROUND({f}(o_totalprice), 3) AS {n}"
                     for f, n in [("MIN", "min"), ("MAX", "max"), ("SUM", "sum"), ("AVG", "mean"), ("MEDIAN", "median")]
                 )
             ]

@@ -351,7 +351,8 @@ ORDER BY l_quantity DESC NULLS LAST, lower(CAST(l_partkey AS VARCHAR)) LIMIT 10
     ),
     "grid_page_deep": (
         _page(250, shallow_rows=2_000),
-        f"SELECT * FROM lineitem ORDER BY l_shipdate DESC NULLS LAST, {LINE_ORDER} LIMIT 100 OFFSET 25000",
+        f"""SELECT * FROM lineitem ORDER BY l_shipdate DESC NULLS LAST, {LINE_ORDER} LIMIT 100
+OFFSET (SELECT LEAST(25000, ((COUNT(*) - 1) // 100) * 100) FROM lineitem)""",
     ),
     "grid_page_filtered": (
         _filtered_page,

@@ -33,8 +33,8 @@ def test_no_cross_joins_no_global_windows_no_python(spark, sf_dir, name):
 
 def test_filters_reach_the_scan(lines):
     cond = filters.where_range_text(lines, "l_extendedprice", "100-400") & filters.where_in(lines, {"l_returnflag": ["A"]})
-    plan = plan_of(lines.filter(cond).select("l_orderkey"))
-    assert "GreaterThanOrEqual(l_extendedprice,100.0)" in plan and "l_returnflag,A" in plan
+    plan = plan_of(lines.filter(cond).select("l_orderkey"), "formatted")
+    assert "GreaterThanOrEqual(l_extendedprice,100.0)" in plan and "EqualTo(l_returnflag,A)" in plan
     assert "ReadSchema: struct<l_orderkey:bigint,l_extendedprice:double,l_returnflag:string>" in plan
 
 

@@ -118,12 +118,9 @@ def test_file_facts(spark, tmp_path):
         "Parquet (columnar binary)"]
 
 
-def test_scratch_folder_follows_the_session(spark, tmp_path):
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path / "shared"))
-    try:
-        assert scratch_folder(spark).startswith(str(tmp_path / "shared") + "/")
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+def test_scratch_folder_follows_the_session(spark, shared_folder):
+    a, b = scratch_folder(spark), scratch_folder(spark)
+    assert a.startswith(shared_folder + "/") and a != b
 
 
 # -- synthetic rows ------------------------------------------------------------------------
