@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import finite_or_null, literal_rows, qcol, require_columns, safe_double, type_of
@@ -100,38 +100,43 @@ def _with_tails(top: DataFrame, tails: DataFrame) -> DataFrame:
 
 
 def bin_distribution(df: DataFrame, fields: Sequence[str], bins: int = 200, top: int = 50) -> DataFrame:
-    """The ``top`` densest of ``bins`` bins per measure, then Others, not-numeric and Total rows."""
+    """The ``top`` densest of ``bins`` bins per measure, then Others, not-numeric and Total rows.
+
+    A field has at most ``bins`` rows once they are counted, so ranking them and
+    putting the tail rows behind them happens in one go per field.
+    """
     bounds = measure_bounds(df, fields)
     bars = histogram(df, fields, bins, bounds)
-    shown = ranked_top(bars, top, tie="lo").select(
-        "field",
-        F.lit("bin").alias("kind"),
-        bin_label(F.col("lo"), F.col("hi")).alias("label"),
-        "lo",
-        "hi",
-        "cnt",
-        F.col("rank").cast("int").alias("ord"),
+    rank = F.row_number().over(Window.partitionBy("field").orderBy(F.desc("cnt"), F.asc("lo")))
+    place = F.col("rank") <= int(top)
+    label = bin_label(F.col("lo"), F.col("hi"))
+    bar = F.struct(F.col("rank").alias("ord"), F.lit("bin").alias("kind"), label.alias("label"), "lo", "hi", "cnt")
+    per_field = (
+        bars.withColumn("rank", rank)
+        .groupBy("field")
+        .agg(F.collect_list(F.when(place, bar)).alias("bars"), F.sum(F.when(place, F.col("cnt"))).alias("kept"))
     )
-    kept = shown.groupBy("field").agg(F.sum("cnt").alias("kept"))
-    names = literal_rows(df.sparkSession, ["field"], [(n,) for n in fields])
     facts = (
-        names.join(F.broadcast(kept), "field", "left")
-        .withColumn("bounds", bounds)
-        .withColumn("b", F.element_at("bounds", F.col("field")))
+        literal_rows(df.sparkSession, ["field"], [(n,) for n in fields])
+        .join(F.broadcast(per_field), "field", "left")
+        .select("field", "bars", "kept", F.element_at(bounds, F.col("field")).alias("b"))
     )
-    others = F.col("b.nn") - F.col("kept")
-    absent = F.col("b.n") - F.col("b.nn")
-    tails = facts.select(
-        "field",
-        F.array_compact(
-            F.array(
-                F.when(others > 0, _tail("others", "Others", others, top + 1)),
-                F.when(F.col("kept").isNotNull() & (absent > 0), _tail("not_numeric", NOT_NUMERIC_LABEL, absent, top + 2)),
-                _tail("total", "Total", F.col("b.n"), top + 3),
-            )
-        ).alias("tails"),
+
+    def tail(kind: str, text: str, cnt: Column, after: int):
+        edge = F.lit(None).cast("double")
+        return F.struct(
+            F.lit(top + after).alias("ord"), F.lit(kind).alias("kind"), F.lit(text).alias("label"),
+            edge.alias("lo"), edge.alias("hi"), cnt.alias("cnt"),
+        )
+
+    others, absent = F.col("b.nn") - F.col("kept"), F.col("b.n") - F.col("b.nn")
+    tails = F.array(
+        F.when(others > 0, tail("others", "Others", others, 1)),
+        F.when(F.col("kept").isNotNull() & (absent > 0), tail("not_numeric", NOT_NUMERIC_LABEL, absent, 2)),
+        tail("total", "Total", F.col("b.n"), 3),
     )
-    return _with_tails(shown, tails)
+    rows = F.when(F.col("bars").isNull(), F.array_compact(tails)).otherwise(F.concat("bars", F.array_compact(tails)))
+    return facts.select("field", F.inline(rows)).select("field", "kind", "label", "lo", "hi", "cnt", "ord")
 
 
 def value_distribution(df: DataFrame, fields: Sequence[str] | None = None, top: int = 50) -> DataFrame:
