@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.columns import qcol, require_columns, text_of, type_of
+from ..functions.columns import is_temporal, qcol, require_columns, text_of, type_of
 from ..sources.dictionary import Dictionary
-from .filters import all_of, chart_number
+from .filters import chart_number
 
 PAGE_SIZE = 100
 # A page that ends within this many rows is read off a top-k; deeper ones are narrowed first.
@@ -73,61 +75,89 @@ def page(
 ) -> DataFrame:
     """One page of the filtered rows in grid order; an index past the end gives the last page.
 
-    A shallow page is a top-k.  For a deep one the rows before it are never carried
-    along: sampled keys bracket the page, an exact count finds how many rows precede
-    the bracket, and only the bracket is sorted.  ``total`` saves the row count.
+    A shallow page is a top-k.  A deep one is narrowed first: sampled rows split the
+    table, exact counts tell which part holds the page, and only that part is sorted.
+    Deep pages break ties by the other columns.  ``total`` saves the row count.
     """
     rows = df if condition is None else df.filter(condition)
-    if index > 0 or total is not None:
+    if index > 0 or size > shallow_rows or total is not None:
         total = rows.count() if total is None else total
         index = min(max(0, index), page_count(total, size) - 1)
     order = sort_keys(user, keys) or [(df.columns[0], True)]
     offset = max(0, index) * size
-    if offset + size > shallow_rows:
-        rows, offset = _bracket(rows, order, offset, size, total, shallow_rows)
-    rows = rows.orderBy(*grid_order(df, order)).offset(offset).limit(size)
-    return rows if columns is None else rows.select(*[qcol(c) for c in columns])
+    if offset + size <= shallow_rows:
+        found = rows.orderBy(*grid_order(df, order)).offset(offset).limit(size)
+    else:
+        others = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+        order = sort_keys(order, others)
+        pieces = _pieces(rows, order, offset, min(size, total - offset), total, shallow_rows)
+        found = reduce(DataFrame.unionAll, pieces).orderBy(*grid_order(df, order))
+    return found if columns is None else found.select(*[qcol(c) for c in columns])
 
 
-def _comes_before(names_up: Sequence[SortKey], row, or_equal: bool) -> Column:
+def _literal(df: DataFrame, name: str, value: object) -> Column:
+    """A key value as a literal of its column's type; dates and times go by their text."""
+    dtype = type_of(df, name)
+    return F.lit(str(value)).cast(dtype) if is_temporal(dtype) else F.lit(value).cast(dtype)
+
+
+def _comes_before(df: DataFrame, order: Sequence[SortKey], row: dict, or_equal: bool) -> Column:
     """Rows that sort before (or level with) a row of key values, NULLs last."""
     result = F.lit(or_equal)
-    for name, up in reversed(names_up):
+    for name, up in reversed(order):
         c, v = qcol(name), row[name]
         if v is None:
             before, level = c.isNotNull(), c.isNull()
         else:
-            before = F.coalesce(c < F.lit(v) if up else c > F.lit(v), F.lit(False))
-            level = F.coalesce(c == F.lit(v), F.lit(False))
+            at = _literal(df, name, v)
+            before = F.coalesce(c < at if up else c > at, F.lit(False))
+            level = F.coalesce(c == at, F.lit(False))
         result = before | (level & result)
     return result
 
 
-def _bracket(rows, order, offset, size, total, shallow_rows) -> tuple[DataFrame, int]:
-    """Narrow ``rows`` to a run that holds the page; returns it and the page's offset in it."""
-    names = [n for n, _ in order]
-    while offset + size > shallow_rows and total > shallow_rows:
-        share = min(1.0, SAMPLE_ROWS / total)
-        drawn = rows.select(*[qcol(n) for n in dict.fromkeys(names)]).sample(share, seed=17)
-        sample = drawn.orderBy(*grid_order(drawn, order)).limit(2 * SAMPLE_ROWS).collect()
-        if len(sample) < 3:
-            break
-        slack = 4.0 * math.sqrt(len(sample)) + 1
-        at = offset / total * len(sample)
-        to = (offset + size) / total * len(sample)
-        low, high = math.floor(at - slack), math.ceil(to + slack)
-        a = sample[low] if low >= 0 else None
-        b = sample[high] if high < len(sample) else None
-        before_a = _comes_before(order, a, or_equal=False) if a else F.lit(False)
-        upto_b = _comes_before(order, b, or_equal=True) if b else F.lit(True)
-        head, inside = rows.agg(
-            F.count_if(before_a).alias("head"), F.count_if(upto_b).alias("inside")
-        ).first()
-        if head > offset or inside < min(offset + size, total) or inside - head >= total:
-            break
-        rows = rows.filter(all_of([~before_a, upto_b]))
-        offset, total = offset - head, inside - head
-    return rows, offset
+def _pieces(rows, order, offset: int, size: int, total: int, shallow_rows: int) -> list[DataFrame]:
+    """Tables that together are the ``size`` rows from ``offset`` on.
+
+    ``order`` names all columns, so rows level with each other are copies and any of
+    them will do.  Two sampled rows cut the table into five parts; each part that
+    overlaps the page is searched on its own, copies of the sampled rows apart.
+    """
+    if size <= 0:
+        return [rows.limit(0)]
+    if offset + size <= shallow_rows:
+        return [rows.orderBy(*grid_order(rows, order)).offset(offset).limit(size)]
+    texts = [
+        (qcol(n).cast("string") if is_temporal(type_of(rows, n)) else qcol(n)).alias(f"k{i}")
+        for i, (n, _) in enumerate(order)
+    ]
+    share = min(1.0, SAMPLE_ROWS / total)
+    drawn = rows.sample(share, seed=17).orderBy(*grid_order(rows, order)).select(*texts).limit(2 * SAMPLE_ROWS).collect()
+    if not drawn:
+        drawn = rows.select(*texts).limit(1).collect()
+    slack = 2.0 * math.sqrt(len(drawn)) + 1
+    low = max(0, math.floor(offset / total * len(drawn) - slack))
+    high = min(len(drawn) - 1, math.ceil((offset + size) / total * len(drawn) + slack))
+    a, b = ({n: drawn[at][i] for i, (n, _) in enumerate(order)} for at in (low, high))
+    cuts = [_comes_before(rows, order, r, level) for r in (a, b) for level in (False, True)]
+    counted = rows.agg(*[F.count_if(c).alias(f"c{i}") for i, c in enumerate(cuts)]).first()
+    bounds = [0, *counted, total]
+    parts: list[DataFrame] = []
+    for i in range(5):
+        start, end = max(offset, bounds[i]), min(offset + size, bounds[i + 1])
+        if start >= end:
+            continue
+        part = rows
+        if i > 0:
+            part = part.filter(~cuts[i - 1])
+        if i < 4:
+            part = part.filter(cuts[i])
+        if i in (1, 3):
+            parts.append(part.limit(end - start))
+        else:
+            held = bounds[i + 1] - bounds[i]
+            parts += _pieces(part, order, start - bounds[i], end - start, held, shallow_rows)
+    return parts
 
 
 def next_page(
@@ -144,7 +174,8 @@ def next_page(
     """
     order = sort_keys(user, keys)
     rows = df if condition is None else df.filter(condition)
-    return rows.filter(~_comes_before(order, last, or_equal=True)).orderBy(*grid_order(df, order)).limit(size)
+    after = ~_comes_before(df, order, last, or_equal=True)
+    return rows.filter(after).orderBy(*grid_order(df, order)).limit(size)
 
 
 def result_sort_keys(user: Sequence[SortKey], columns: Sequence[str], keys: Sequence[str]) -> list[SortKey]:

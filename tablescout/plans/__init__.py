@@ -1,0 +1 @@
+"""Named queries and the SQL that gives the same tables."""

@@ -1,0 +1 @@
+"""Sources and sinks: dictionaries, delimited files, exports."""

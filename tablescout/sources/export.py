@@ -40,9 +40,13 @@ def export_csv(
     sep: str = ",",
     header: bool = True,
 ) -> None:
-    """Write all filtered rows, raw values, visible columns, in grid order."""
+    """Write all filtered rows, raw values, visible columns, in grid order.
+
+    Rows with the same keys are ordered by the partition they were read in, so a key
+    that fills a third of the table is spread over many ranges.
+    """
     rows = df if condition is None else df.filter(condition)
-    rows = rows.orderBy(*grid_order(df, order, dictionary.keys))
+    rows = rows.orderBy(*grid_order(df, order, dictionary.keys), F.spark_partition_id())
     _write(rows.select(*[qcol(n) for n in visible_columns(dictionary, visible)]), path, sep, header)
 
 

@@ -1,0 +1,5 @@
+"""No streaming operators: the input is a file or table that is read once.
+
+Column expressions and filter predicates of the other modules hold no state and can be
+used on a streaming DataFrame as they are.
+"""

@@ -63,6 +63,13 @@ def test_pages_are_a_top_k(lines):
     assert "TakeOrderedAndProject" in plan_of(grid.page(lines, keys=["l_orderkey"], index=2))
 
 
+def test_a_hot_sort_key_is_spread(spark):
+    df = spark.range(8000).select((F.col("id") % 1).alias("k"), F.lit("same").alias("v")).repartition(8)
+    ordered = df.orderBy(*grid.grid_order(df, [], ["k"]), F.spark_partition_id())
+    ranges = [ln for ln in plan_of(ordered).splitlines() if "rangepartitioning(k" in ln]
+    assert ranges and "_nondeterministic" in ranges[0]
+
+
 def test_a_hot_value_and_a_hot_row(spark):
     """One value in a third of the rows changes no result."""
     df = spark.range(9000).select(

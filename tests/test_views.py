@@ -163,11 +163,27 @@ def test_deep_pages_equal_shallow_ones(spark, user):
         F.when(F.col("id") % 5 > 0, F.col("id") % 11).alias("v"),
     )
     for index in (5, 29, 100, 140):
-        deep = grid.page(df, user, ["k"], index, 20, shallow_rows=50).collect()
+        deep = grid.page(df, user, ["k"], index, 20, shallow_rows=150).collect()
         assert deep == grid.page(df, user, ["k"], index, 20).collect()
         assert len(deep) == 20
 
 
+def test_deep_pages_among_copies(spark):
+    """Two thirds of the rows are copies of one row; pages cover the table exactly once."""
+    df = spark.range(900).select(
+        F.when(F.col("id") % 3 > 0, F.lit(0)).otherwise(F.col("id") - 450).alias("k"),
+        F.when(F.col("id") % 3 > 0, F.lit("t")).otherwise(F.lit("u")).alias("v"),
+        F.when(F.col("id") % 3 == 0, F.timestamp_seconds("id")).alias("at"),
+    )
+    seen = []
+    for index in range(9):
+        rows = grid.page(df, [("k", False)], index=index, size=100, shallow_rows=20).collect()
+        assert len(rows) == 100
+        seen += rows
+    assert [r["k"] for r in seen] == sorted((r["k"] for r in df.collect()), reverse=True)
+    assert sorted(map(str, seen)) == sorted(map(str, df.collect()))
+
+
 def test_next_page_follows_the_last_row(spark):
     df = spark.range(100).select(F.col("id").alias("k"), F.when(F.col("id") % 4 > 0, F.col("id") % 3).alias("g"))
     first = grid.page(df, [("g", False)], ["k"], 0, 40).collect()
