@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,19 +78,21 @@ def page(
 
     A shallow page is a top-k.  A deep one is narrowed first: sampled rows split the
     table, exact counts tell which part holds the page, and only that part is sorted.
-    Deep pages break ties by the other columns.  ``total`` saves the row count.
+    Ties are broken by the columns shown, so that pages neither repeat nor miss a row.
+    ``total`` saves the row count.
     """
     rows = df if condition is None else df.filter(condition)
-    if index > 0 or size > shallow_rows or total is not None:
+    if index > 0 or total is not None:
         total = rows.count() if total is None else total
         index = min(max(0, index), page_count(total, size) - 1)
-    order = sort_keys(user, keys) or [(df.columns[0], True)]
+    unordered = (T.MapType, T.VariantType)
+    shown = [n for n in columns or df.columns if not isinstance(type_of(df, n), unordered)]
+    order = sort_keys(sort_keys(user, keys), shown)
     offset = max(0, index) * size
+    shallow_rows = max(shallow_rows, 2 * size)
     if offset + size <= shallow_rows:
         found = rows.orderBy(*grid_order(df, order)).offset(offset).limit(size)
     else:
-        others = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-        order = sort_keys(order, others)
         pieces = _pieces(rows, order, offset, min(size, total - offset), total, shallow_rows)
         found = reduce(DataFrame.unionAll, pieces).orderBy(*grid_order(df, order))
     return found if columns is None else found.select(*[qcol(c) for c in columns])
@@ -116,6 +119,29 @@ def _comes_before(df: DataFrame, order: Sequence[SortKey], row: dict, or_equal:
     return result
 
 
+def _sampled(rows, order, start: float, stop: float, total: int) -> list[dict]:
+    """Two sampled rows, one somewhat before and one somewhat behind a range of shares.
+
+    Only these two rows, with their whole cells, come to the driver.
+    """
+    texts = [qcol(n).cast("string") if is_temporal(type_of(rows, n)) else qcol(n) for n, _ in order]
+    named = [c.alias(f"k{i}") for i, c in enumerate(texts)]
+    drawn = rows.select(*named).sample(min(1.0, SAMPLE_ROWS / total), seed=17).persist()
+    try:
+        n = drawn.count()
+        if n == 0:
+            picked = [rows.select(*named).first()] * 2
+        else:
+            slack = 2.0 * math.sqrt(n) + 1
+            low = min(n - 1, max(0, math.floor(start * n - slack)))
+            high = min(n - 1, math.ceil(stop * n + slack))
+            ordered = drawn.orderBy(*grid_order(drawn, [(f"k{i}", up) for i, (_, up) in enumerate(order)]))
+            picked = [ordered.offset(at).limit(1).first() for at in (low, high)]
+    finally:
+        drawn.unpersist()
+    return [{n: row[i] for i, (n, _) in enumerate(order)} for row in picked]
+
+
 def _pieces(rows, order, offset: int, size: int, total: int, shallow_rows: int) -> list[DataFrame]:
     """Tables that together are the ``size`` rows from ``offset`` on.
 
@@ -127,29 +153,19 @@ def _pieces(rows, order, offset: int, size: int, total: int, shallow_rows: int)
         return [rows.limit(0)]
     if offset + size <= shallow_rows:
         return [rows.orderBy(*grid_order(rows, order)).offset(offset).limit(size)]
-    texts = [
-        (qcol(n).cast("string") if is_temporal(type_of(rows, n)) else qcol(n)).alias(f"k{i}")
-        for i, (n, _) in enumerate(order)
-    ]
-    share = min(1.0, SAMPLE_ROWS / total)
-    drawn = rows.sample(share, seed=17).orderBy(*grid_order(rows, order)).select(*texts).limit(2 * SAMPLE_ROWS).collect()
-    if not drawn:
-        drawn = rows.select(*texts).limit(1).collect()
-    slack = 2.0 * math.sqrt(len(drawn)) + 1
-    low = max(0, math.floor(offset / total * len(drawn) - slack))
-    high = min(len(drawn) - 1, math.ceil((offset + size) / total * len(drawn) + slack))
-    a, b = ({n: drawn[at][i] for i, (n, _) in enumerate(order)} for at in (low, high))
+    a, b = _sampled(rows, order, offset / total, (offset + size) / total, total)
     cuts = [_comes_before(rows, order, r, level) for r in (a, b) for level in (False, True)]
     counted = rows.agg(*[F.count_if(c).alias(f"c{i}") for i, c in enumerate(cuts)]).first()
-    bounds = [0, *counted, total]
+    # Where both sampled rows are copies of one, the counts of the second add nothing.
+    bounds = list(accumulate([0, *counted, total], max))
     parts: list[DataFrame] = []
     for i in range(5):
         start, end = max(offset, bounds[i]), min(offset + size, bounds[i + 1])
         if start >= end:
             continue
         part = rows
-        if i > 0:
-            part = part.filter(~cuts[i - 1])
+        for cut in cuts[:i]:
+            part = part.filter(~cut)
         if i < 4:
             part = part.filter(cuts[i])
         if i in (1, 3):
