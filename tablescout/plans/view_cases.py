@@ -350,7 +350,7 @@ ORDER BY l_quantity DESC NULLS LAST, lower(CAST(l_partkey AS VARCHAR)) LIMIT 10
         f"SELECT * FROM lineitem ORDER BY l_shipdate DESC NULLS LAST, {LINE_ORDER} LIMIT 100 OFFSET 300",
     ),
     "grid_page_deep": (
-        _page(250, shallow_rows=2_000),
+        _page(250, shallow_rows=10_000),
         f"""SELECT * FROM lineitem ORDER BY l_shipdate DESC NULLS LAST, {LINE_ORDER} LIMIT 100
 OFFSET (SELECT LEAST(25000, ((COUNT(*) - 1) // 100) * 100) FROM lineitem)""",
     ),
