@@ -147,7 +147,7 @@ WITH RECURSIVE vectors AS (
 ), sound AS (
     SELECT vec_id, label, v FROM vectors
     WHERE label IS NOT NULL AND v IS NOT NULL AND list_count(v) = len(v)
-      AND len(list_filter(v, x -> NOT isfinite(x))) = 0 AND len(list_filter(v, x -> x <> 0)) > 0
+      AND len(list_filter(v, lambda x: NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0
 ), links AS (
     SELECT a.vec_id AS u, b.vec_id AS w FROM sound a JOIN sound b ON a.label = b.label AND a.vec_id <> b.vec_id
     WHERE list_cosine_similarity(a.v, b.v) >= 0.93
@@ -165,10 +165,10 @@ FROM embeddings JOIN named ON vec_id = node LEFT JOIN counted ON vec_id = u
 OP10_SQL = r"""
 WITH docs AS (
     SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-           '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents
+           '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
 ), items AS (
     SELECT item_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-           '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM benchmark
+           '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM benchmark
 ), item_shingles AS (
     SELECT DISTINCT item_id, least(5, len(w)) AS size, array_to_string(w[i:i + least(5, len(w)) - 1], ' ') AS shingle
     FROM (SELECT item_id, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM items WHERE len(w) > 0)
