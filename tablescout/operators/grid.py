@@ -4,20 +4,19 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from functools import reduce
-from itertools import accumulate
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import is_temporal, qcol, require_columns, text_of, type_of
+from ..functions.columns import is_complex, is_temporal, qcol, require_columns, text_of, type_of
 from ..sources.dictionary import Dictionary
 from .filters import chart_number
 
 PAGE_SIZE = 100
-# A page that ends within this many rows is read off a top-k; deeper ones are narrowed first.
-SHALLOW_ROWS = 100_000
+# Order terms of so many rows are ranked at once; deeper positions are narrowed first, by the same order.
+RANKED_ROWS = 100_000
 SAMPLE_ROWS = 5_000
 
 SortKey = tuple[str, bool]
@@ -63,6 +62,71 @@ def page_count(total: int, size: int = PAGE_SIZE) -> int:
     return max(1, math.ceil(total / max(1, size)))
 
 
+def canonical(c: Column, dtype: T.DataType) -> Column:
+    """A text that is equal for equal cells only, for types that have no order of their own too."""
+    if isinstance(dtype, T.MapType):
+        pairs = F.transform(
+            F.map_entries(c),
+            lambda e: F.struct(canonical(e["key"], dtype.keyType).alias("k"), canonical(e["value"], dtype.valueType).alias("v")),
+        )
+        return F.to_json(F.array_sort(pairs), {"ignoreNullFields": "false"})
+    if isinstance(dtype, T.ArrayType):
+        return F.to_json(F.transform(c, lambda x: canonical(x, dtype.elementType)))
+    if isinstance(dtype, T.StructType):
+        cells = [canonical(c.getField(f.name), f.dataType) for f in dtype.fields]
+        return F.when(c.isNotNull(), F.to_json(F.array(*cells)) if cells else F.lit("[]"))
+    if isinstance(dtype, T.BinaryType):
+        return F.hex(c)
+    return c.cast("string")
+
+
+def row_digest(df: DataFrame, names: Sequence[str]) -> Column:
+    """SHA-256 of some cells of a row: rows level in it are copies in these cells."""
+    cells = [canonical(qcol(n), type_of(df, n)) for n in names]
+    return F.sha2(F.to_json(F.array(*cells)), 256)
+
+
+@dataclass(frozen=True)
+class _Term:
+    """One term of a total order: its column, direction and type."""
+
+    column: Column
+    up: bool
+    dtype: T.DataType
+
+    @property
+    def sort(self) -> Column:
+        return self.column.asc_nulls_last() if self.up else self.column.desc_nulls_last()
+
+    @property
+    def kept(self) -> Column:
+        """The term as a value for the driver; dates and times go by their text."""
+        return self.column.cast("string") if is_temporal(self.dtype) else self.column
+
+    def literal(self, value: object) -> Column:
+        return F.lit(str(value)).cast(self.dtype) if is_temporal(self.dtype) else F.lit(value).cast(self.dtype)
+
+    def at(self, i: int) -> _Term:
+        """The same term over a table that holds ``kept`` values as ``k0``, ``k1``, ..."""
+        name = F.col(f"k{i}")
+        return _Term(name.cast(self.dtype) if is_temporal(self.dtype) else name, self.up, self.dtype)
+
+
+def _terms(df: DataFrame, order: Sequence[SortKey], shown: Sequence[str] = ()) -> list[_Term]:
+    """Terms of sort keys; keys without plain values go by their canonical text, then a digest of ``shown``."""
+    require_columns(df, [n for n, _ in order])
+    terms = []
+    for name, up in order:
+        dtype = type_of(df, name)
+        if is_complex(dtype):
+            terms.append(_Term(canonical(qcol(name), dtype), up, T.StringType()))
+        else:
+            terms.append(_Term(qcol(name), up, dtype))
+    if shown:
+        terms.append(_Term(row_digest(df, shown), True, T.StringType()))
+    return terms
+
+
 def page(
     df: DataFrame,
     user: Sequence[SortKey] = (),
@@ -72,108 +136,115 @@ def page(
     condition: Column | None = None,
     columns: Sequence[str] | None = None,
     total: int | None = None,
-    shallow_rows: int = SHALLOW_ROWS,
+    ranked_rows: int = RANKED_ROWS,
 ) -> DataFrame:
     """One page of the filtered rows in grid order; an index past the end gives the last page.
 
-    A shallow page is a top-k.  A deep one is narrowed first: sampled rows split the
-    table, exact counts tell which part holds the page, and only that part is sorted.
-    Ties are broken by the columns shown, so that pages neither repeat nor miss a row.
-    ``total`` saves the row count.
+    The order is total: sort keys, then a digest of the columns shown, whatever their
+    types, so rows level in it are copies and pages neither repeat nor miss a row.  The
+    page's place is found on the order's terms alone: where the page lies deep, exact
+    counts around sampled rows narrow the table until ``ranked_rows`` terms are left to
+    rank, which changes the cost but not the page.  Whole rows are read for the page
+    only.  ``total`` saves the row count.
     """
     rows = df if condition is None else df.filter(condition)
     if index > 0 or total is not None:
         total = rows.count() if total is None else total
         index = min(max(0, index), page_count(total, size) - 1)
-    unordered = (T.MapType, T.VariantType)
-    shown = [n for n in columns or df.columns if not isinstance(type_of(df, n), unordered)]
-    order = sort_keys(sort_keys(user, keys), shown)
+    shown = list(columns or df.columns)
+    terms = _terms(rows, sort_keys(user, keys), shown)
     offset = max(0, index) * size
-    shallow_rows = max(shallow_rows, 2 * size)
-    if offset + size <= shallow_rows:
-        found = rows.orderBy(*grid_order(df, order)).offset(offset).limit(size)
-    else:
-        pieces = _pieces(rows, order, offset, min(size, total - offset), total, shallow_rows)
-        found = reduce(DataFrame.unionAll, pieces).orderBy(*grid_order(df, order))
+    found = _rows_at(rows, terms, offset, size, total, max(ranked_rows, 2 * size))
     return found if columns is None else found.select(*[qcol(c) for c in columns])
 
 
-def _literal(df: DataFrame, name: str, value: object) -> Column:
-    """A key value as a literal of its column's type; dates and times go by their text."""
-    dtype = type_of(df, name)
-    return F.lit(str(value)).cast(dtype) if is_temporal(dtype) else F.lit(value).cast(dtype)
-
-
-def _comes_before(df: DataFrame, order: Sequence[SortKey], row: dict, or_equal: bool) -> Column:
-    """Rows that sort before (or level with) a row of key values, NULLs last."""
+def _comes_before(terms: Sequence[_Term], row: Sequence, or_equal: bool) -> Column:
+    """Rows that sort before (or level with) a row of term values, NULLs last."""
     result = F.lit(or_equal)
-    for name, up in reversed(order):
-        c, v = qcol(name), row[name]
-        if v is None:
+    for term, value in reversed(list(zip(terms, row, strict=True))):
+        c = term.column
+        if value is None:
             before, level = c.isNotNull(), c.isNull()
         else:
-            at = _literal(df, name, v)
-            before = F.coalesce(c < at if up else c > at, F.lit(False))
+            at = term.literal(value)
+            before = F.coalesce(c < at if term.up else c > at, F.lit(False))
             level = F.coalesce(c == at, F.lit(False))
         result = before | (level & result)
     return result
 
 
-def _sampled(rows, order, start: float, stop: float, total: int) -> list[dict]:
-    """Two sampled rows, one somewhat before and one somewhat behind a range of shares.
-
-    Only these two rows, with their whole cells, come to the driver.
-    """
-    texts = [qcol(n).cast("string") if is_temporal(type_of(rows, n)) else qcol(n) for n, _ in order]
-    named = [c.alias(f"k{i}") for i, c in enumerate(texts)]
-    drawn = rows.select(*named).sample(min(1.0, SAMPLE_ROWS / total), seed=17).persist()
-    try:
-        n = drawn.count()
-        if n == 0:
-            picked = [rows.select(*named).first()] * 2
-        else:
-            slack = 2.0 * math.sqrt(n) + 1
-            low = min(n - 1, max(0, math.floor(start * n - slack)))
-            high = min(n - 1, math.ceil(stop * n + slack))
-            ordered = drawn.orderBy(*grid_order(drawn, [(f"k{i}", up) for i, (_, up) in enumerate(order)]))
-            picked = [ordered.offset(at).limit(1).first() for at in (low, high)]
-    finally:
-        drawn.unpersist()
-    return [{n: row[i] for i, (n, _) in enumerate(order)} for row in picked]
-
-
-def _pieces(rows, order, offset: int, size: int, total: int, shallow_rows: int) -> list[DataFrame]:
-    """Tables that together are the ``size`` rows from ``offset`` on.
-
-    ``order`` names all columns, so rows level with each other are copies and any of
-    them will do.  Two sampled rows cut the table into five parts; each part that
-    overlaps the page is searched on its own, copies of the sampled rows apart.
-    """
-    if size <= 0:
-        return [rows.limit(0)]
-    if offset + size <= shallow_rows:
-        return [rows.orderBy(*grid_order(rows, order)).offset(offset).limit(size)]
-    a, b = _sampled(rows, order, offset / total, (offset + size) / total, total)
-    cuts = [_comes_before(rows, order, r, level) for r in (a, b) for level in (False, True)]
-    counted = rows.agg(*[F.count_if(c).alias(f"c{i}") for i, c in enumerate(cuts)]).first()
-    # Where both sampled rows are copies of one, the counts of the second add nothing.
-    bounds = list(accumulate([0, *counted, total], max))
-    parts: list[DataFrame] = []
-    for i in range(5):
-        start, end = max(offset, bounds[i]), min(offset + size, bounds[i + 1])
-        if start >= end:
-            continue
-        part = rows
-        for cut in cuts[:i]:
-            part = part.filter(~cut)
-        if i < 4:
-            part = part.filter(cuts[i])
-        if i in (1, 3):
-            parts.append(part.limit(end - start))
-        else:
-            held = bounds[i + 1] - bounds[i]
-            parts += _pieces(part, order, start - bounds[i], end - start, held, shallow_rows)
-    return parts
+def _around(rows: DataFrame, terms: Sequence[_Term], start: float, stop: float, total: int) -> tuple[list, list] | None:
+    """Terms of two sampled rows, one somewhat before and one somewhat behind a range of shares."""
+    drawn = rows.sample(min(1.0, SAMPLE_ROWS / total), seed=17)
+    narrow = drawn.select(*[t.kept.alias(f"k{i}") for i, t in enumerate(terms)])
+    # About SAMPLE_ROWS rows of terms: a bounded sample, whatever the table holds.
+    ranked = narrow.select(
+        "*",
+        F.row_number().over(Window.orderBy(*[t.at(i).sort for i, t in enumerate(terms)])).alias("place"),
+        F.count(F.lit(1)).over(Window.partitionBy()).alias("held"),
+    )
+    slack = 2.0 * F.sqrt("held") + 1
+    low = F.greatest(F.floor(F.col("held") * start - slack), F.lit(0)) + 1
+    high = F.least(F.ceil(F.col("held") * stop + slack) + 1, F.col("held"))
+    picked = ranked.filter((F.col("place") == low) | (F.col("place") == high)).orderBy("place").collect()
+    if not picked:
+        return None
+    cut = lambda row: list(row)[: len(terms)]
+    return cut(picked[0]), cut(picked[-1])
+
+
+def _rows_at(rows: DataFrame, terms: Sequence[_Term], offset: int, size: int, total: int | None, ranked_rows: int) -> DataFrame:
+    """The ``size`` rows from ``offset`` on, in order."""
+    order = [t.sort for t in terms]
+    if size <= 0 or (total is not None and offset >= total):
+        return rows.limit(0)
+    while offset + size > ranked_rows:
+        around = _around(rows, terms, offset / total, (offset + size) / total, total)
+        if around is None:
+            break
+        low, high = around
+        cuts = [_comes_before(terms, low, False), _comes_before(terms, low, True)]
+        cuts += [_comes_before(terms, high, False), _comes_before(terms, high, True)]
+        counts = rows.agg(*[F.count_if(c).alias(f"c{i}") for i, c in enumerate(cuts)]).first()
+        before_low, upto_low, before_high, upto_high = counts
+        end = min(offset + size, total)
+        if before_low <= offset and end <= upto_low:
+            return rows.filter(cuts[1] & ~cuts[0]).limit(end - offset)
+        if before_high <= offset and end <= upto_high:
+            return rows.filter(cuts[3] & ~cuts[2]).limit(end - offset)
+        # Each bound that holds cuts rows away; copies of a bound that reach into the page stay.
+        held = total
+        if upto_low <= offset:
+            rows, offset, total = rows.filter(~cuts[1]), offset - upto_low, total - upto_low
+            upto_high, before_high, end = upto_high - upto_low, before_high - upto_low, end - upto_low
+        elif before_low <= offset and before_low:
+            rows, offset, total = rows.filter(~cuts[0]), offset - before_low, total - before_low
+            upto_high, before_high, end = upto_high - before_low, before_high - before_low, end - before_low
+        if end <= before_high < total:
+            rows, total = rows.filter(cuts[2]), before_high
+        elif end <= upto_high < total:
+            rows, total = rows.filter(cuts[3]), upto_high
+        if total == held:
+            break
+    # Ranking the terms tells the page's first and last row, and the row before; whole rows follow by a filter.
+    skip = min(offset, 1)
+    narrow = rows.select(*[t.kept.alias(f"k{i}") for i, t in enumerate(terms)])
+    ranked = narrow.orderBy(*[t.at(i).sort for i, t in enumerate(terms)]).offset(offset - skip).limit(size + skip)
+    place = [list(r) for r in ranked.collect()]
+    before, place = place[:skip], place[skip:]
+    if not place:
+        return rows.limit(0)
+    first, last = place[0], place[-1]
+    copies = sum(repr(r) == repr(first) for r in place)
+    from_first, upto_last = ~_comes_before(terms, first, False), _comes_before(terms, last, True)
+    if not before or repr(before[0]) != repr(first):
+        return rows.filter(from_first & upto_last).orderBy(*order).limit(size)
+    # Copies of the first row stand before the page too, so its own are counted off.
+    level = rows.filter(from_first & _comes_before(terms, first, True)).limit(copies)
+    if copies == len(place):
+        return level
+    rest = rows.filter(~_comes_before(terms, first, True) & upto_last).orderBy(*order).limit(size - copies)
+    return level.unionAll(rest).orderBy(*order)
 
 
 def next_page(
@@ -190,8 +261,9 @@ def next_page(
     """
     order = sort_keys(user, keys)
     rows = df if condition is None else df.filter(condition)
-    after = ~_comes_before(df, order, last, or_equal=True)
-    return rows.filter(after).orderBy(*grid_order(df, order)).limit(size)
+    terms = _terms(df, order)
+    after = ~_comes_before(terms, [last[n] for n, _ in order], or_equal=True)
+    return rows.filter(after).orderBy(*[t.sort for t in terms]).limit(size)
 
 
 def result_sort_keys(user: Sequence[SortKey], columns: Sequence[str], keys: Sequence[str]) -> list[SortKey]:

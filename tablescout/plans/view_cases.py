@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,8 +97,7 @@ def _filter_result(spark, d):
 
 def _sort_result(spark, d):
     result = charts.chart_sum(table(spark, d, "lineitem"), ["l_partkey"], ["l_quantity"])
-    ordered = grid.sort_result(result, [("l_quantity", False)], ["l_partkey"], measures=["l_quantity"])
-    return ordered.offset(20).limit(10)
+    return grid.sort_result(result, [("l_quantity", False)], ["l_partkey"], measures=["l_quantity"])
 
 
 def _combined(spark, d):
@@ -158,6 +159,15 @@ def _next_page(spark, d):
     return grid.next_page(df, last, [("l_returnflag", False)], LINE_KEYS, 100)
 
 
+def _all_pages(spark, d):
+    """Four pages in an order with many ties, narrowed by sampled rows; together they are the table."""
+    df = table(spark, d, "customer")
+    total = df.count()
+    size = -(-total // 4)
+    pages = [grid.page(df, [("c_mktsegment", False)], index=i, size=size, total=total, ranked_rows=100) for i in range(4)]
+    return reduce(DataFrame.unionAll, pages)
+
+
 def _project(sort_names: bool):
     def query(spark, d):
         df = table(spark, d, "customer")
@@ -343,14 +353,14 @@ WHERE instr(CAST(l_suppkey AS VARCHAR), '1') > 0 AND l_quantity BETWEEN 100 AND
     "sort_result": (
         _sort_result,
         """SELECT l_partkey, SUM(l_quantity) AS l_quantity FROM lineitem GROUP BY 1
-ORDER BY l_quantity DESC NULLS LAST, lower(CAST(l_partkey AS VARCHAR)) LIMIT 10 OFFSET 20""",
+ORDER BY l_quantity DESC NULLS LAST, lower(CAST(l_partkey AS VARCHAR))""",
     ),
     "grid_page": (
         _page(3),
         f"SELECT * FROM lineitem ORDER BY l_shipdate DESC NULLS LAST, {LINE_ORDER} LIMIT 100 OFFSET 300",
     ),
     "grid_page_deep": (
-        _page(250, shallow_rows=10_000),
+        _page(250, ranked_rows=10_000),
         f"""SELECT * FROM lineitem ORDER BY l_shipdate DESC NULLS LAST, {LINE_ORDER} LIMIT 100
 OFFSET (SELECT LEAST(25000, ((COUNT(*) - 1) // 100) * 100) FROM lineitem)""",
     ),
@@ -358,6 +368,13 @@ OFFSET (SELECT LEAST(25000, ((COUNT(*) - 1) // 100) * 100) FROM lineitem)""",
         _filtered_page,
         f"""SELECT l_returnflag, l_linestatus, {', '.join(LINE_KEYS)} FROM lineitem WHERE l_linestatus = 'F'
 ORDER BY l_returnflag DESC NULLS LAST, {LINE_ORDER} LIMIT 50 OFFSET 150""",
+    ),
+    "grid_chart_page": (
+        lambda s, d: grid.page(
+            charts.chart_sum(table(s, d, "lineitem"), ["l_partkey"], ["l_quantity"]), [("l_quantity", False)], ["l_partkey"], 1, 40
+        ),
+        """SELECT l_partkey, SUM(l_quantity) AS l_quantity FROM lineitem GROUP BY 1
+ORDER BY l_quantity DESC NULLS LAST, l_partkey LIMIT 40 OFFSET 40""",
     ),
     "grid_last_page": (
         _last_page,
@@ -368,6 +385,7 @@ OFFSET (SELECT ((COUNT(*) - 1) // 70) * 70 FROM customer)""",
         _next_page,
         f"SELECT * FROM lineitem ORDER BY l_returnflag DESC NULLS LAST, {LINE_ORDER} LIMIT 100 OFFSET 100",
     ),
+    "grid_all_pages": (_all_pages, "SELECT * FROM customer"),
     "project": (_project(False), "SELECT c_custkey, c_name, c_acctbal FROM customer"),
     "project_by_name": (_project(True), "SELECT c_acctbal, c_custkey, c_name FROM customer"),
     "row_count": (
