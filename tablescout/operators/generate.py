@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import random
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from datetime import date
 
@@ -44,6 +44,7 @@ KEY_WIDTH = 12
 DEFAULT_RANGE = (1.0, 100_000.0)
 DEFAULT_SPAN = 1_000_000.0
 LAST_DAY = "9999-12-31"
+DAY = 86_400
 # Working columns of a synthetic row: text, number, moment.
 PREFIX = {"text": "__t_", "number": "__n_", "moment": "__s_"}
 # Fixed patterns: "> a [and < b]" and "< OTHER_FIELD".
@@ -88,9 +89,10 @@ class _Row:
         self.number = F.col("id") + 1
 
     def draw(self, name: str, what: str = "") -> Column:
-        """Uniform in [0, 1), fixed by row, column, purpose and seed."""
-        bits = F.xxhash64(F.col("id"), F.lit(f"{name}/{what}"), F.lit(self.seed))
-        return F.shiftrightunsigned(bits, 11).cast("double") / float(1 << 53)
+        """Uniform in [0, 1), fixed by row, column, purpose and seed: 52 bits of an MD5."""
+        text = F.concat_ws("/", F.col("id").cast("string"), F.lit(name), F.lit(what), F.lit(str(self.seed)))
+        bits = F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint")
+        return bits.cast("double") / float(1 << 52)
 
     def choose(self, name: str, options: Column, count: Column | int) -> Column:
         size = F.lit(count) if isinstance(count, int) else count
@@ -138,106 +140,194 @@ def _texts(values: Sequence[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def _cut(c: Column, rule: ColumnRule) -> Column:
-    return F.substring(c, 1, rule.field_length) if rule.field_length and rule.field_length > 0 else c
-
-
-def _width(rule: ColumnRule) -> int:
-    return rule.field_length or KEY_WIDTH
-
-
-def _county(rule: ColumnRule, row: _Row) -> Column:
-    state = row.earlier("STATE")
-    default = _texts(OTHER_COUNTIES)
-    options = default
-    if state is not None:
-        table = F.create_map(*[c for s, names in COUNTIES.items() for c in (F.lit(s), _texts(names))])
-        options = F.coalesce(F.try_element_at(table, F.upper(F.trim(state))), default)
-    return row.choose(rule.name, options, F.size(options))
-
-
-def _number(rule: ColumnRule, row: _Row) -> Column:
-    """A whole number strictly between the bounds of the rule, where there is room."""
-    low = high = None
-    for found in BOUNDS.finditer(rule.rules):
-        low = float(found.group(1))
-        high = float(found.group(2)) if found.group(2) is not None else high
-    if low is None and high is None and "<" not in rule.rules:
-        low, high = DEFAULT_RANGE
-    lo = F.lit(0.0 if low is None else low)
-    caps = [] if high is None else [F.lit(high)]
-    for other in dict.fromkeys(m.upper() for m in BELOW_FIELD.findall(rule.rules)):
-        cell = row.earlier(other, "number")
-        if cell is not None:
-            caps.append(cell)
-    # least() skips NULLs, so a cap that is no number does not count.
-    hi = F.least(*caps) if len(caps) > 1 else caps[0] if caps else F.lit(None).cast("double")
-    hi = F.coalesce(hi, lo + DEFAULT_SPAN)
-    hi = F.when(hi <= lo, lo + 1.0).otherwise(hi)
-    room = F.greatest(F.when(hi > lo + 2.0, hi - 1.0).otherwise(hi) - lo - 1.0, F.lit(1.0))
-    return F.rint(lo + 1.0 + row.draw(rule.name) * room)
-
-
-def _month_end(rule: ColumnRule, row: _Row) -> Column:
-    """The last day of a drawn month, in days from the start of the row's month."""
-    months = F.floor(row.draw(rule.name) * (12 * (LAST_YEAR - FIRST_YEAR + 1))).cast("int")
-    return F.datediff(F.last_day(F.add_months(F.lit(date(FIRST_YEAR, 1, 1)), months)), F.lit(row.start))
-
-
-def _moment(rule: ColumnRule, row: _Row) -> Column:
-    """Seconds of a date or datetime cell from the start of the month."""
-    words, whole_day = rule.rules.lower(), rule.data_type.strip().lower() == "date"
-    sentinel = LAST_DAY in rule.rules and not (whole_day and "00:00:00" in rule.rules)
-    if sentinel:
-        return F.lit((date.fromisoformat(LAST_DAY) - row.start).days * 86_400).cast("bigint")
-    if "last date of the month" in words:
-        return _month_end(rule, row).cast("bigint") * 86_400 + (0 if whole_day else 86_399)
-    if whole_day:
-        return F.floor(row.draw(rule.name) * row.days) * 86_400
-    room = F.lit(row.days * 86_400).cast("bigint")
-    for other in BELOW_FIELD.findall(rule.rules):
-        cap = row.earlier(other, "moment")
+class Cells:
+    """What fills one synthetic column; ``kind`` says which working column holds it."""
+
+    kind = "text"
+    limit: int | None = None
+
+    def build(self, name: str, row: _Row) -> Column:
+        raise NotImplementedError(type(self).__name__)
+
+    def shown(self, name: str, row: _Row) -> Column:
+        """The finished text, from the working column."""
+        return qcol(PREFIX[self.kind] + name)
+
+    def cut(self, c: Column) -> Column:
+        return F.substring(c, 1, self.limit) if self.limit and self.limit > 0 else c
+
+
+@dataclass(frozen=True)
+class Key(Cells):
+    """Row numbers filled up with zeros; a number that does not fit ends the job with an error."""
+
+    width: int
+
+    def build(self, name: str, row: _Row) -> Column:
+        digits = row.number.cast("string")
+        long = F.raise_error(F.concat(F.lit(f"{name}: a unique number does not fit in {self.width} digits: "), digits))
+        return F.when(F.length(digits) > self.width, long).otherwise(F.lpad(digits, self.width, "0"))
+
+
+@dataclass(frozen=True)
+class Choice(Cells):
+    """One of some fixed texts."""
+
+    options: tuple[str, ...]
+    limit: int | None = None
+
+    def build(self, name: str, row: _Row) -> Column:
+        return self.cut(row.choose(name, _texts(self.options), len(self.options)))
+
+
+@dataclass(frozen=True)
+class Lookup(Cells):
+    """One of the texts that a table has for an earlier column; other values share a default list."""
+
+    column: str
+    table: Mapping[str, Sequence[str]]
+    default: tuple[str, ...]
+    limit: int | None = None
+
+    def build(self, name: str, row: _Row) -> Column:
+        options, by = _texts(self.default), row.earlier(self.column)
+        if by is not None:
+            pairs = [c for key, texts in self.table.items() for c in (F.lit(key), _texts(texts))]
+            options = F.coalesce(F.try_element_at(F.create_map(*pairs), F.upper(F.trim(by))), options)
+        return self.cut(row.choose(name, options, F.size(options)))
+
+
+@dataclass(frozen=True)
+class Literal(Cells):
+    """The same text in every row."""
+
+    value: str
+    limit: int | None = None
+
+    def build(self, name: str, row: _Row) -> Column:
+        return self.cut(F.lit(self.value))
+
+
+@dataclass(frozen=True)
+class Numbered(Cells):
+    """A prefix and the row number."""
+
+    prefix: str
+    limit: int | None = None
+
+    def build(self, name: str, row: _Row) -> Column:
+        return self.cut(F.concat(F.lit(self.prefix), row.number.cast("string")))
+
+
+@dataclass(frozen=True)
+class Bounds(Cells):
+    """A whole number above ``low`` and below both ``high`` and earlier columns, where there is room."""
+
+    kind = "number"
+    low: float
+    high: float | None
+    below: tuple[str, ...] = ()
+
+    def build(self, name: str, row: _Row) -> Column:
+        low = F.lit(self.low)
+        cells = [c for c in (row.earlier(other, "number") for other in self.below) if c is not None]
+        # least() skips NULLs, so a cell that is no number bounds nothing.
+        tops = [F.lit(self.high).cast("double"), *cells]
+        top = F.coalesce(F.least(*tops) if cells else tops[0], low + DEFAULT_SPAN)
+        top = F.greatest(top, F.when(top > low, top).otherwise(low + 1.0))
+        last = F.when(top > low + 2.0, top - 1.0).otherwise(top)
+        return F.rint(low + 1.0 + row.draw(name) * F.greatest(last - low - 1.0, F.lit(1.0)))
+
+    def shown(self, name: str, row: _Row) -> Column:
+        return super().shown(name, row).cast("bigint").cast("string")
+
+
+@dataclass(frozen=True)
+class Moments(Cells):
+    """A day or a time of day, in seconds from the start of the row's month.
+
+    ``place`` is ``sentinel`` (the last day there is), ``month_end`` (of a drawn month)
+    or ``month`` (within the row's month, before an earlier column if one is named).
+    """
+
+    kind = "moment"
+    whole_day: bool
+    place: str = "month"
+    before: tuple[str, ...] = ()
+
+    def build(self, name: str, row: _Row) -> Column:
+        return getattr(self, "_" + self.place)(name, row)
+
+    def _sentinel(self, name: str, row: _Row) -> Column:
+        return F.lit((date.fromisoformat(LAST_DAY) - row.start).days * DAY).cast("bigint")
+
+    def _month_end(self, name: str, row: _Row) -> Column:
+        months = F.floor(row.draw(name) * (12 * (LAST_YEAR - FIRST_YEAR + 1))).cast("int")
+        end = F.last_day(F.add_months(F.lit(date(FIRST_YEAR, 1, 1)), months))
+        return F.datediff(end, F.lit(row.start)).cast("bigint") * DAY + (0 if self.whole_day else DAY - 1)
+
+    def _month(self, name: str, row: _Row) -> Column:
+        if self.whole_day:
+            return F.floor(row.draw(name) * row.days) * DAY
+        room = F.lit(row.days * DAY).cast("bigint")
+        caps = (row.earlier(other, "moment") for other in self.before)
+        cap = next((c for c in caps if c is not None), None)
         if cap is not None:
             room = F.when(cap.isNull(), room).otherwise(F.greatest(cap - 1, F.lit(0)))
-            break
-    return F.floor(row.draw(rule.name) * room)
+        return F.floor(row.draw(name) * room)
+
+    def shown(self, name: str, row: _Row) -> Column:
+        at = super().shown(name, row)
+        return row.day(at / DAY) if self.whole_day else row.moment(at)
+
+
+def _phrase(rule: ColumnRule) -> Cells | None:
+    """Rules that are told by a phrase, whatever the column's type."""
+    has = rule.rules.lower().__contains__
+    phrases = [
+        (has("unique number"), lambda: Key(rule.field_length or KEY_WIDTH)),
+        (has("us states only"), lambda: Choice(tuple(STATES), rule.field_length)),
+        (has("counties") and has("state"), lambda: Lookup("STATE", COUNTIES, tuple(OTHER_COUNTIES), rule.field_length)),
+    ]
+    return next((make() for fits, make in phrases if fits), None)
+
+
+def _bounds(rule: ColumnRule) -> Bounds:
+    found = list(BOUNDS.finditer(rule.rules))
+    others = tuple(dict.fromkeys(m.upper() for m in BELOW_FIELD.findall(rule.rules)))
+    compares = "<" in rule.rules or ">" in rule.rules
+    if compares and not found and not others:
+        raise ValueError(f"{rule.name}: no bound can be read from the rule {rule.rules!r}")
+    if not found:
+        return Bounds(0.0, None, others) if "<" in rule.rules else Bounds(*DEFAULT_RANGE)
+    highs = [m.group(2) for m in found if m.group(2) is not None]
+    return Bounds(float(found[-1].group(1)), float(highs[-1]) if highs else None, others)
+
+
+def _moments(rule: ColumnRule) -> Moments:
+    whole_day = rule.data_type.strip().lower() == "date"
+    if LAST_DAY in rule.rules and not (whole_day and "00:00:00" in rule.rules):
+        return Moments(whole_day, "sentinel")
+    if "last date of the month" in rule.rules.lower():
+        return Moments(whole_day, "month_end")
+    return Moments(whole_day, before=tuple(BELOW_FIELD.findall(rule.rules)))
+
+
+def _text(rule: ColumnRule) -> Cells:
+    text = rule.rules.strip()
+    options = tuple(o.strip() for o in text.split(",") if o.strip())
+    if options and "<" not in text and ">" not in text:
+        return Choice(options, rule.field_length) if "," in text else Literal(text, rule.field_length)
+    named = rule.data_type.strip().lower() in TEXT_TYPES
+    return Numbered(rule.name + "_", rule.field_length) if named else Numbered("")
 
 
-def cells_of(rule: ColumnRule, row: _Row) -> dict[str, Column]:
-    """The text of one cell, with its number or moment if it has one; the first rule that fits counts."""
-    text = rule.rules.strip()
-    words = text.lower()
-    kind = rule.data_type.strip().lower()
-    if "unique number" in words:
-        return {"text": F.lpad(row.number.cast("string"), _width(rule), "0")}
-    if "us states only" in words:
-        return {"text": _cut(row.choose(rule.name, _texts(STATES), len(STATES)), rule)}
-    if "counties" in words and "state" in words:
-        return {"text": _cut(_county(rule, row), rule)}
-    if kind in NUMBER_TYPES:
-        return {"number": _number(rule, row)}
-    if kind in ("date", "datetime"):
-        return {"moment": _moment(rule, row)}
-    compares = "<" in text or ">" in text
-    options = [o.strip() for o in text.split(",") if o.strip()]
-    if "," in text and not compares and options:
-        return {"text": _cut(row.choose(rule.name, _texts(options), len(options)), rule)}
-    if text and not compares and "," not in text:
-        return {"text": _cut(F.lit(text), rule)}
-    if kind in TEXT_TYPES:
-        return {"text": _cut(F.concat(F.lit(rule.name + "_"), row.number.cast("string")), rule)}
-    return {"text": row.number.cast("string")}
-
-
-def _text_of(rule: ColumnRule, row: _Row) -> Column:
-    """The finished text column of a rule, from the column kept for it."""
-    has = row.done[rule.name]
-    if has == "number":
-        return qcol("__n_" + rule.name).cast("bigint").cast("string")
-    if has == "moment":
-        at = qcol("__s_" + rule.name)
-        return row.day(at / 86_400) if rule.data_type.strip().lower() == "date" else row.moment(at)
-    return qcol("__t_" + rule.name)
+BY_TYPE = {**dict.fromkeys(NUMBER_TYPES, _bounds), **dict.fromkeys(["date", "datetime"], _moments)}
+
+
+def parse_rule(rule: ColumnRule) -> Cells:
+    """What a rule asks for, read once: a phrase if it holds one, else by the column's type."""
+    return _phrase(rule) or BY_TYPE.get(rule.data_type.strip().lower(), _text)(rule)
 
 
 def synthesize(ids: DataFrame, rules: Sequence[ColumnRule], seed: int, rows: int | None = None) -> DataFrame:
@@ -248,21 +338,21 @@ def synthesize(ids: DataFrame, rules: Sequence[ColumnRule], seed: int, rows: int
     names = [r.name for r in rules]
     if len(set(names)) < len(names):
         raise ValueError(f"duplicate column names in the rules: {names}")
-    row = _Row(seed)
+    row, cells = _Row(seed), {rule.name: parse_rule(rule) for rule in rules}
     table = ids.select(F.col("id").cast("bigint").alias("id"))
     pending: dict[str, Column] = {}
-    for rule in rules:
-        if "unique number" in rule.rules.lower() and rows is not None and rows > 10 ** _width(rule) - 1:
-            raise ValueError(f"{rule.name}: {rows} unique numbers do not fit in {_width(rule)} digits")
+    for name, cell in cells.items():
+        if isinstance(cell, Key) and rows is not None and rows > 10**cell.width - 1:
+            raise ValueError(f"{name}: {rows} unique numbers do not fit in {cell.width} digits")
         row.used.clear()
-        ((kind, cell),) = cells_of(rule, row).items()
+        built = cell.build(name, row)
         if row.used & set(pending):
             table = table.select("*", *pending.values())
             pending = {}
-        pending[rule.name] = cell.alias(PREFIX[kind] + rule.name)
-        row.done[rule.name] = kind
+        pending[name] = built.alias(PREFIX[cell.kind] + name)
+        row.done[name] = cell.kind
     table = table.select("*", *pending.values())
-    return table.select(*[_text_of(r, row).alias(r.name) for r in rules])
+    return table.select(*[cell.shown(name, row).alias(name) for name, cell in cells.items()])
 
 
 def generate(

@@ -89,15 +89,13 @@ def duplicated_key_values(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*[qcol(k) for k in keys]).agg(F.count(F.lit(1)).alias("cnt")).filter(F.col("cnt") > 1)
 
 
-def pattern_scan(df: DataFrame, fields: Sequence[str] | None = None, max_columns: int | None = None) -> DataFrame:
+def pattern_scan(df: DataFrame, fields: Sequence[str] | None = None) -> DataFrame:
     """``(field, pattern, hits)``: cells that look like ISO dates, IPv4 or e-mail addresses.
 
-    One scan without a shuffle of rows.  ``max_columns`` keeps the first so many fields,
-    as the dataset report does.
+    One scan of all the fields, without a shuffle of rows.
     """
-    fields = scalar_fields(df, fields)[:max_columns]
     per_field = {}
-    for name in fields:
+    for name in scalar_fields(df, fields):
         text = trim_text(text_of(qcol(name), type_of(df, name)))
         hits = [
             F.struct(F.lit(p).alias("pattern"), F.count_if(text.rlike("(?i)" + rx)).alias("hits"))
@@ -107,6 +105,6 @@ def pattern_scan(df: DataFrame, fields: Sequence[str] | None = None, max_columns
     return one_row_per_field(df, per_field).select("field", F.inline("found"))
 
 
-def pattern_total(df: DataFrame, fields: Sequence[str] | None = None, max_columns: int | None = 12) -> DataFrame:
+def pattern_total(df: DataFrame, fields: Sequence[str] | None = None) -> DataFrame:
     """``(pattern_hits)``: the hits of all patterns and fields added up."""
-    return pattern_scan(df, fields, max_columns).agg(F.coalesce(F.sum("hits"), F.lit(0)).alias("pattern_hits"))
+    return pattern_scan(df, fields).agg(F.coalesce(F.sum("hits"), F.lit(0)).alias("pattern_hits"))

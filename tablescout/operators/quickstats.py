@@ -15,6 +15,7 @@ from .percentiles import FINISH_ROWS, literal_double, percentile_values
 from .values import scalar_fields, typed_counts
 
 TOP_VALUES = 15
+SLICES = 32
 NUMBERS = ["min", "max", "sum", "mean", "median"]
 
 
@@ -31,11 +32,16 @@ def one_row_per_field(df: DataFrame, per_field: dict[str, list[Column]]) -> Data
 def ranked_top(counts: DataFrame, n: int, tie: str = "value") -> DataFrame:
     """The ``n`` most frequent rows per field with their ``rank``; ties by ``tie``.
 
-    The rank filter turns into a group limit, so every task sends at most ``n`` rows
-    per field to the final ranking.
+    Rows of a field are ranked in ``SLICES`` slices first, and what can still be among
+    the ``n`` of the field is ranked once more, so no task sorts a whole field however
+    large ``n`` is.
     """
-    w = Window.partitionBy("field").orderBy(F.desc("cnt"), F.asc(tie))
-    return counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= int(n))
+    order = [F.desc("cnt"), F.asc(tie)]
+    slice_of = F.pmod(F.xxhash64(tie), F.lit(SLICES))
+    best = F.row_number().over(Window.partitionBy("field", "slice").orderBy(*order))
+    rank = F.row_number().over(Window.partitionBy("field").orderBy(*order))
+    near = counts.withColumn("slice", slice_of).withColumn("best", best).filter(F.col("best") <= int(n)).drop("slice", "best")
+    return near.withColumn("rank", rank).filter(F.col("rank") <= int(n))
 
 
 def quick_top(

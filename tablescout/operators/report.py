@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import text_of, type_of
 from ..sources.dictionary import Dictionary
 from .profile import DatasetProfile, profile
 from .quality import duplicate_rows, pattern_total
@@ -14,8 +15,6 @@ from .values import scalar_fields
 RANDOM_ENTROPY, RANDOM_SHARE = 7.2, 0.45
 STRUCTURED_ENTROPY, STRUCTURED_DUPLICATES, STRUCTURED_SHARE = 3.4, 5.0, 0.2
 RISK_ROWS, RISK_UNIQUE_PCT, RISK_DISTINCT, RISK_DISTINCT_SHARE = 50, 92.0, 80, 0.4
-TIMELINE_SHOWN = 6
-PATTERN_COLUMNS = 12
 
 
 def _clamp(c: Column, low: float, high: float) -> Column:
@@ -66,11 +65,6 @@ def dataset_report(fields: DataFrame, duplicates: DataFrame, pattern_hits: DataF
         (total > 0) & (F.col("column_count") > 0),
         F.round(_clamp(100.0 * (1.0 - F.col("missing_cells") / (total * F.col("column_count"))), 0.0, 100.0), 2),
     ).otherwise(100.0)
-    extra = F.size("dated") - TIMELINE_SHOWN
-    timeline = F.concat(
-        F.array_join(F.slice("dated", 1, TIMELINE_SHOWN), ", "),
-        F.when(extra > 0, F.concat(F.lit(" (+"), extra.cast("string"), F.lit(" more)"))).otherwise(""),
-    )
     both = F.col("pooled_min").isNotNull() & F.col("pooled_max").isNotNull()
     hits = F.lit(None).cast("bigint") if pattern_hits is None else pattern_hits.scalar()
     out = sums.select(
@@ -90,7 +84,7 @@ def dataset_report(fields: DataFrame, duplicates: DataFrame, pattern_hits: DataF
         F.when(both, F.col("pooled_max")).alias("numeric_max"),
         F.when(both, F.col("mean_std")).alias("mean_std_pop"),
         "iqr_outliers",
-        timeline.alias("timeline_fields"),
+        F.array_join("dated", ", ").alias("timeline_fields"),
         F.when(
             (total >= RISK_ROWS) & (F.col("near_keys") >= F.greatest(F.lit(2), F.floor(F.col("column_count") / 5))),
             "High",
@@ -122,28 +116,27 @@ SECTIONS = {
 
 def report_sections(report: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     """The report as ``(section, metric, value)`` rows, headed by the file facts if given."""
-    def rows(table: DataFrame, section: str, metrics) -> DataFrame:
+
+    def rows(table: DataFrame, sections: dict[str, list[str]]) -> DataFrame:
         packed = [
-            F.struct(F.lit(section).alias("section"), F.lit(m).alias("metric"), F.col(m).cast("string").alias("value"))
+            F.struct(
+                F.lit(section).alias("section"), F.lit(m).alias("metric"),
+                text_of(F.col(m), type_of(table, m)).alias("value"),
+            )
+            for section, metrics in sections.items()
             for m in metrics
-        ]
+        ]
         return table.select(F.inline(F.array(*packed)))
 
-    parts = [] if facts is None else [rows(facts, "file", facts.columns)]
-    packed = [
-        F.struct(F.lit(s).alias("section"), F.lit(m).alias("metric"), F.col(m).cast("string").alias("value"))
-        for s, metrics in SECTIONS.items()
-        for m in metrics
-    ]
-    body = report.select(F.inline(F.array(*packed)))
-    return parts[0].unionByName(body) if parts else body
+    body = rows(report, SECTIONS)
+    return body if facts is None else rows(facts, {"file": facts.columns}).unionByName(body)
 
 
 def report_of(df: DataFrame, dictionary: Dictionary, exact: bool = True, full: DatasetProfile | None = None) -> DataFrame:
     """Profile a table and report on it, pattern hits included.
 
-    Patterns are looked for in the first twelve text fields by inference.  Which fields
-    are text is part of the profile, so the profile is run first and its rows, one per
+    Patterns are looked for in all text fields by inference.  Which fields are text is
+    part of the profile, so the profile is run first and its rows, one per
     field, are handed on; the table is not profiled again.
     """
     source = full.fields if full else profile(df, dictionary, exact)
@@ -152,5 +145,5 @@ def report_of(df: DataFrame, dictionary: Dictionary, exact: bool = True, full: D
     duplicates = full.duplicates if full else duplicate_rows(df, scalar_fields(df, dictionary.names))
     texty = {r["field"] for r in rows if r["inferred_semantic"] in ("string", "mixed")}
     ordered = [n for n in dictionary.names if n in texty]
-    hits = pattern_total(df, ordered, PATTERN_COLUMNS) if ordered else None
+    hits = pattern_total(df, ordered) if ordered else None
     return dataset_report(fields, duplicates, hits)

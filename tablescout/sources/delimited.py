@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.columns import qcol, safe_double, safe_timestamp
 from ..functions.formats import size_text
+from ..operators.quickstats import one_row_per_field
 from .dictionary import Dictionary
 
-CORRUPT = "_corrupt_record"
-
-
 def separator(text: str) -> str:
     """The delimiter itself; the two characters ``\\t`` stand for a tab."""
     return "\t" if text == "\\t" else text
@@ -21,13 +20,17 @@ def separator(text: str) -> str:
 
 @dataclass(frozen=True)
 class Dataset:
-    """A loaded table with its dictionary and where it came from."""
+    """A loaded table with its dictionary and where it came from.
+
+    ``raw`` is the text the file holds, ``df`` the same rows with the dictionary's types.
+    """
 
     df: DataFrame
     dictionary: Dictionary
     source: str = ""
     delimiter: str = ","
     decimals: int = 2
+    raw: DataFrame | None = None
 
     def register(self, name: str = "data") -> Dataset:
         """Make the table a temporary view; a reload under the same name replaces it."""
@@ -35,13 +38,57 @@ class Dataset:
         return self
 
     def save(self, path: str) -> Dataset:
-        """Write the table as Parquet, replacing what is there, and go on from that copy.
+        """Write text and typed table as Parquet, replacing what is there, and go on from that copy.
 
-        Text is parsed once this way however many statistics are asked for.
+        The file is split into cells once this way however many statistics are asked for.
         """
-        self.df.write.mode("overwrite").parquet(path)
-        stored = self.df.sparkSession.read.parquet(path)
-        return Dataset(stored, self.dictionary, self.source, self.delimiter, self.decimals)
+        spark = self.df.sparkSession
+        if self.raw is None:
+            self.df.write.mode("overwrite").parquet(path)
+            return replace(self, df=spark.read.parquet(path))
+        self.raw.write.mode("overwrite").parquet(path)
+        stored = spark.read.parquet(path)
+        return replace(self, df=typed(stored, self.dictionary), raw=stored)
+
+    def bad_cells(self) -> DataFrame:
+        """``(field, row_count, null_count, bad_count)``: cells without text, and with text of another type."""
+        if self.raw is None:
+            raise ValueError("this dataset was not read from text")
+        checks = typed(self.raw, self.dictionary, flags=True)
+        return one_row_per_field(
+            checks,
+            {
+                n: [
+                    F.count(F.lit(1)).alias("row_count"),
+                    F.count_if(qcol(n) == "null").alias("null_count"),
+                    F.count_if(qcol(n) == "bad").alias("bad_count"),
+                ]
+                for n in self.raw.columns
+            },
+        )
+
+
+def typed_cell(text: Column, dtype: T.DataType) -> Column:
+    """A text cell in the type asked for, NULL where it does not read as one."""
+    if isinstance(dtype, T.StringType):
+        return text
+    if isinstance(dtype, T.DoubleType):
+        return safe_double(text, T.StringType())
+    if isinstance(dtype, T.DecimalType):
+        return F.replace(F.btrim(text), F.lit("_"), F.lit("")).try_cast(dtype)
+    return safe_timestamp(text, T.StringType()).cast(dtype)
+
+
+def typed(raw: DataFrame, dictionary: Dictionary, flags: bool = False) -> DataFrame:
+    """The columns of a text table in the dictionary's types; with ``flags`` null, bad or good instead."""
+    cells = []
+    for name in raw.columns:
+        text = qcol(name)
+        cell = typed_cell(text, dictionary[name].spark_type)
+        if flags:
+            cell = F.when(text.isNull(), "null").when(cell.isNull(), "bad").otherwise("good")
+        cells.append(cell.alias(name))
+    return raw.select(*cells)
 
 
 def _options(delimiter: str, header: bool, multiline: bool) -> dict:
@@ -52,7 +99,6 @@ def _options(delimiter: str, header: bool, multiline: bool) -> dict:
         "quote": '"',
         "escape": '"',
         "mode": "PERMISSIVE",
-        "columnNameOfCorruptRecord": CORRUPT,
     }
 
 
@@ -78,30 +124,25 @@ def read_dataset(
     header: bool = True,
     decimals: int = 2,
     multiline: bool = False,
-    keep_corrupt: bool = False,
 ) -> Dataset:
     """Read delimited text with the types of its dictionary; lazily, in parallel splits.
 
     Nothing is inferred, so dimension codes keep their leading zeros.  Without a
-    dictionary every column is a text dimension.  A line that does not fit its types
-    keeps NULLs in the bad cells, and with ``keep_corrupt`` its text as well.
-    ``multiline`` allows line breaks in quoted cells but makes each file one split.
+    dictionary every column is a text dimension.  A cell that is not of its type is NULL
+    in ``df`` and keeps its text in ``raw``, where profiles tell it from a missing one;
+    ``bad_cells`` counts both.  ``multiline`` allows line breaks in quoted cells but makes each file one split.
     """
     if header or dictionary is None:
         names = file_header(spark, path, delimiter, header)
     else:
         names = dictionary.names
-    if dictionary is None:
-        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    else:
-        problem = header_mismatch(names, dictionary)
-        if problem:
-            raise ValueError(problem)
-        schema = dictionary.schema(names)
-    if keep_corrupt:
-        schema = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    df = spark.read.schema(schema).options(**_options(delimiter, header, multiline)).csv(path)
-    return Dataset(df, dictionary or Dictionary.of(df), path, separator(delimiter), decimals)
+    problem = header_mismatch(names, dictionary) if dictionary else None
+    if problem:
+        raise ValueError(problem)
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    raw = spark.read.schema(schema).options(**_options(delimiter, header, multiline)).csv(path)
+    known = dictionary or Dictionary.of(raw)
+    return Dataset(typed(raw, known), known, path, separator(delimiter), decimals, raw)
 
 
 # Labels of file extensions and delimiters.
@@ -133,28 +174,23 @@ def delimiter_label(delimiter: str) -> str:
     return DELIMITERS.get(separator(delimiter), repr(delimiter))
 
 
-def file_facts(df: DataFrame, delimiter: str = ",") -> DataFrame:
-    """``(file_name, file_count, file_size, size_text, format, delimiter)`` of the files behind a table.
+def file_facts(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
+    """``(file_name, file_count, file_size, size_text, format, delimiter)`` of the files at a path.
 
-    The file columns come from the scan itself, and each file is counted once.
+    The files are listed with their lengths; none of them is read.
     """
-    per_file = df.select("_metadata.file_path", "_metadata.file_size").groupBy("file_path").agg(
-        F.max("file_size").alias("file_size")
-    )
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
     name = F.element_at(F.split("first_path", "/"), -1)
     extension = F.regexp_extract(name, r"[^.]\.([^.]+)$", 1)
-    return (
-        per_file.agg(
-            F.min("file_path").alias("first_path"),
-            F.count(F.lit(1)).alias("file_count"),
-            F.coalesce(F.sum("file_size"), F.lit(0)).alias("file_size"),
-        )
-        .select(
-            name.alias("file_name"),
-            "file_count",
-            "file_size",
-            size_text(F.col("file_size")).alias("size_text"),
-            format_label(extension).alias("format"),
-            F.lit(delimiter_label(delimiter)).alias("delimiter"),
-        )
+    return files.agg(
+        F.min("path").alias("first_path"),
+        F.count(F.lit(1)).alias("file_count"),
+        F.coalesce(F.sum("length"), F.lit(0)).alias("file_size"),
+    ).select(
+        name.alias("file_name"),
+        "file_count",
+        "file_size",
+        size_text(F.col("file_size")).alias("size_text"),
+        format_label(extension).alias("format"),
+        F.lit(delimiter_label(delimiter)).alias("delimiter"),
     )

@@ -11,23 +11,24 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import double_text, is_temporal, qcol, type_of
+from ..functions.columns import double_text, is_temporal, qcol, text_of, type_of
 from ..functions.formats import fmt_dimension, fmt_measure
 from ..operators.generate import ColumnRule, generate
 from ..operators.grid import SortKey, grid_order, visible_columns
 from .delimited import separator
 from .dictionary import Dictionary
 
-DIGEST_CHARACTERS = 12_000
 PIVOT_FACTS = ["row_kind", "row_depth", "expandable", "ord"]
+# Writing options under which a cell's text comes back as it was; ``""`` tells the empty text from NULL.
+FAITHFUL = {"escape": '"', "emptyValue": '""', "nullValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
-def _write(df: DataFrame, path: str, sep: str, header: bool, mode: str = "overwrite", **options) -> None:
+def _write(df: DataFrame, path: str, sep: str, header: bool, mode: str = "overwrite") -> None:
     # Timestamps are written as their text, which keeps microseconds and no zone.
     texts = [
         qcol(f.name).cast("string").alias(f.name) if is_temporal(f.dataType) else qcol(f.name) for f in df.schema.fields
     ]
-    df.select(*texts).write.mode(mode).options(header=header, sep=separator(sep), escape='"', emptyValue="", **options).csv(path)
+    df.select(*texts).write.mode(mode).options(header=header, sep=separator(sep), **FAITHFUL).csv(path)
 
 
 def export_csv(
@@ -98,24 +99,48 @@ def write_synthetic(
     sep: str = "|",
     parts: int | None = None,
 ) -> None:
-    """Generate rows and write them as delimited text without quotes."""
-    _write(generate(spark, rules, rows, seed, parts), path, sep, header, quote="")
+    """Generate rows and write them as delimited text without quotes.
+
+    A cell that holds the delimiter or a line break has no such form and ends the job
+    with an error.  The header is a part file of its own, first in name order.
+    """
+    table = generate(spark, rules, rows, seed, parts)
+    lines = delimited_lines(table, sep)
+    if header:
+        names = separator(sep).join(table.columns)
+        lines = spark.range(0, 1, 1, 1).select(F.lit(names).alias("line")).unionAll(lines)
+    lines.write.mode("overwrite").text(path)
+
+
+def delimited_lines(table: DataFrame, sep: str = "|") -> DataFrame:
+    """``(line)``: the cells of each row as text with a delimiter between, unquoted; NULL is empty."""
+    sep = separator(sep)
+    cells = []
+    for name in table.columns:
+        text = F.coalesce(text_of(qcol(name), type_of(table, name)), F.lit(""))
+        bad = text.contains(sep) | text.rlike("[\\r\\n]")
+        problem = F.raise_error(F.concat(F.lit(f"{name}: a cell holds the delimiter or a line break: "), text))
+        cells.append(F.when(bad, problem).otherwise(text))
+    return table.select(F.concat_ws(sep, *cells).alias("line"))
 
 
 def _two(name: str) -> Column:
     return F.format_string("%.2f", F.col(name))
 
 
-def profile_digest(fields: DataFrame, distributions: DataFrame, duplicates: DataFrame, max_chars: int = DIGEST_CHARACTERS) -> DataFrame:
-    """``(digest)``: the profile as one short text, a block per field in field order."""
+def profile_digest(fields: DataFrame, distributions: DataFrame, duplicates: DataFrame) -> DataFrame:
+    """``(ord, field, digest)``: the profile as short texts, one per field after one for the table.
+
+    The table's text has ``ord`` -1 and no field.  Nothing is cut: each text shows all
+    the values that ``distributions`` kept, and who needs one text of some length joins
+    and cuts the rows as they like.
+    """
     tops = (
         distributions.filter(F.col("kind").isin("value", "null", "others", "total") & (F.col("ord") > 0))
         .groupBy("field")
         .agg(
-            F.slice(
-                F.sort_array(F.collect_list(F.struct("ord", F.concat_ws(":", "label", F.col("cnt").cast("string")).alias("t")))),
-                1,
-                5,
+            F.sort_array(
+                F.collect_list(F.struct("ord", F.concat_ws(":", "label", F.col("cnt").cast("string")).alias("t")))
             ).alias("tops")
         )
     )
@@ -146,17 +171,14 @@ def profile_digest(fields: DataFrame, distributions: DataFrame, duplicates: Data
             F.concat(F.lit("  top values: "), F.array_join(F.transform("tops", lambda t: t["t"]), ", ")),
         ),
     ]
-    # One short block per field: the text is bounded by the number of columns.
-    blocks = fields.join(F.broadcast(tops), "field", "left").select(
-        "ord", F.concat(F.concat_ws("\n", *lines), F.lit("\n")).alias("block")
-    )
-    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "block"))), lambda b: b["block"]), "\n")
+    # One row per field on the broadcast side.
+    blocks = fields.join(F.broadcast(tops), "field", "left").select("ord", "field", F.concat_ws("\n", *lines).alias("digest"))
     head = duplicates.select(
+        F.lit(-1).alias("ord"),
+        F.lit(None).cast("string").alias("field"),
         F.concat(
             F.lit("Rows: "), F.col("total_rows").cast("string"), F.lit("; duplicate extra rows: "),
-            F.col("duplicate_extra_rows").cast("string"), F.lit(" ("), _two("duplicate_pct"), F.lit("%)\n\n"),
-        )
-    ).scalar()
-    text = blocks.agg(body.alias("body")).select(F.concat(head, "body").alias("t"))
-    cut = F.concat(F.substring("t", 1, max_chars - 1), F.lit("…"))
-    return text.select(F.when(F.length("t") > max_chars, cut).otherwise(F.col("t")).alias("digest"))
+            F.col("duplicate_extra_rows").cast("string"), F.lit(" ("), _two("duplicate_pct"), F.lit("%)"),
+        ).alias("digest"),
+    )
+    return head.unionByName(blocks)

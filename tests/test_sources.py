@@ -6,7 +6,18 @@ import glob
 import pytest
 from pyspark.sql import functions as F
 
-from tablescout.operators.generate import ColumnRule, generate
+from tablescout.operators.generate import (
+    Bounds,
+    Choice,
+    ColumnRule,
+    Key,
+    Literal,
+    Moments,
+    Numbered,
+    generate,
+    parse_rule,
+    synthesize,
+)
 from tablescout.operators.grid import page
 from tablescout.operators.pivot import pivot
 from tablescout.plans.scratch import scratch_folder
@@ -46,12 +57,14 @@ def test_header_mismatch_names_both_sides(spark, tmp_path):
         delimited.read_dataset(spark, str(tmp_path / "absent.csv"), FIELDS)
 
 
-def test_bad_cells_are_null_and_kept_on_request(spark, tmp_path):
-    path = write(tmp_path, "d.csv", "CODE,AMT,DAY,AT,NOTE\n1,oops,,,\n2,3,,,\n")
-    df = delimited.read_dataset(spark, path, FIELDS, keep_corrupt=True).df
-    rows = {r["CODE"]: r for r in df.collect()}
-    assert rows["1"]["AMT"] is None and rows["1"]["_corrupt_record"] == "1,oops,,,"
-    assert rows["2"]["AMT"] == 3.0 and rows["2"]["_corrupt_record"] is None
+def test_bad_cells_are_counted_and_their_text_stays(spark, tmp_path):
+    path = write(tmp_path, "d.csv", "CODE,AMT,DAY,AT,NOTE\n1,oops,2024-02-30,,\n2,1_000,2024-02-28,x,\n3,,,,\n")
+    data = delimited.read_dataset(spark, path, FIELDS)
+    rows = {r["CODE"]: r for r in data.df.collect()}
+    assert rows["1"]["AMT"] is None and rows["1"]["DAY"] is None and rows["2"]["AMT"] == 1000.0
+    assert {r["field"]: (r["null_count"], r["bad_count"]) for r in data.bad_cells().collect()} == {
+        "CODE": (0, 0), "AMT": (1, 1), "DAY": (1, 1), "AT": (2, 1), "NOTE": (3, 0)}
+    assert {r["CODE"]: r["AMT"] for r in data.raw.collect()} == {"1": "oops", "2": "1_000", "3": None}
 
 
 def test_tabs_no_header_no_dictionary(spark, tmp_path):
@@ -86,6 +99,18 @@ def test_export_is_sorted_filtered_and_projected(spark, tmp_path):
     assert rows == want
 
 
+def test_cells_come_back_as_they_were(spark, tmp_path):
+    """Outer blanks, quotes, delimiters and line breaks stay; raw lines tell the empty text from NULL."""
+    texts = ["  lead", "trail  ", "a,b", 'say "x"', "two\nlines", " ", "\t", "plain", "'", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, t string").coalesce(1)
+    d = Dictionary.of(df, [], ["k"])
+    export.export_csv(df, str(tmp_path / "f"), d)
+    raw = "".join(open(p, newline="").read() for p in sorted(glob.glob(str(tmp_path / "f") + "/part-*")))
+    assert '9,""\n' in raw and "10,\n" in raw and "0,  lead\n" in raw
+    back = delimited.read_dataset(spark, str(tmp_path / "f"), d, multiline=True).raw
+    assert {int(r["k"]): r["t"] for r in back.collect()} == {i: t or None for i, t in enumerate(texts)}
+
+
 def test_timestamps_keep_microseconds(spark, tmp_path):
     df = spark.sql("SELECT 1 AS k, TIMESTAMP_NTZ'2024-01-01 00:09:58.778549' AS t")
     export.export_csv(df, str(tmp_path / "t"), Dictionary.of(df, [], ["k"]))
@@ -110,7 +135,7 @@ def test_pivot_file(spark, tmp_path):
 
 def test_file_facts(spark, tmp_path):
     path = write(tmp_path, "loans.txt", "A|B\n" + "1|2\n" * 500)
-    row = delimited.file_facts(delimited.read_dataset(spark, path, None, "|").df, "|").first()
+    row = delimited.file_facts(spark, path, "|").first()
     assert tuple(row) == ("loans.txt", 1, 2004, "1.96 KB", "Plain text (delimited)", "Pipe (|)")
     labels = spark.createDataFrame([("csv",), ("dat",), ("",), ("PQ",)], "e string").select(delimited.format_label(F.col("e")))
     assert [r[0] for r in labels.collect()] == [
@@ -138,6 +163,33 @@ def test_unique_numbers(spark):
     generate(spark, [ColumnRule("A", "Char", 2, "Unique Number")], 99)
 
 
+def test_unique_numbers_that_do_not_fit_end_the_job(spark):
+    rules = [ColumnRule("A", "Char", 2, "Unique Number")]
+    ids = spark.createDataFrame([(8,), (98,)], "id long")
+    assert [r["A"] for r in synthesize(ids, rules, 1).collect()] == ["09", "99"]
+    with pytest.raises(Exception, match="does not fit"):
+        synthesize(spark.createDataFrame([(98,), (99,), (999,)], "id long"), rules, 1).collect()
+
+
+def test_rules_are_read_once():
+    kinds = [
+        (ColumnRule("A", "Char", 5, "Unique Number"), Key(5)),
+        (ColumnRule("A", "Char", 2, "x, y ,"), Choice(("x", "y"), 2)),
+        (ColumnRule("A", "Num", None, ">=1 and <=5 and <b"), Bounds(1.0, 5.0, ("B",))),
+        (ColumnRule("A", "Num", None, "< b"), Bounds(0.0, None, ("B",))),
+        (ColumnRule("A", "Num", None, "any"), Bounds(1.0, 100_000.0)),
+        (ColumnRule("A", "Date", None, "Last Date of the Month"), Moments(True, "month_end")),
+        (ColumnRule("A", "Datetime", None, "< B"), Moments(False, "month", ("B",))),
+        (ColumnRule("A", "Char", 3, "one"), Literal("one", 3)),
+        (ColumnRule("A", "Text", 3, "a < b"), Numbered("A_", 3)),
+        (ColumnRule("A", "Blob", 3, ""), Numbered("")),
+    ]
+    for rule, want in kinds:
+        assert parse_rule(rule) == want
+    with pytest.raises(ValueError, match="no bound"):
+        parse_rule(ColumnRule("A", "Num", None, "> ?"))
+
+
 def test_same_seed_same_rows_whatever_the_partitions(spark):
     one, eight, other = (rows_of(spark, RULES, 300, s, p) for s, p in [(5, 1), (5, 8), (6, 8)])
     assert sorted(map(str, one)) == sorted(map(str, eight))
@@ -193,6 +245,13 @@ def test_synthetic_file(spark, tmp_path):
     export.write_synthetic(spark, rules, 3, str(tmp_path / "s"), seed=1, parts=1)
     text = "".join(open(p).read() for p in sorted(glob.glob(str(tmp_path / "s") + "/part-*")))
     assert text.splitlines() == ["ID|FLAG", "00001|A", "00002|A", "00003|A"]
+    parts = [open(p).read() for p in sorted(glob.glob(str(tmp_path / "s") + "/part-*"))]
+    assert parts[0].splitlines()[0] == "ID|FLAG"
+    raw = ColumnRule("RULE", "Char", None, "x|y")
+    export.write_synthetic(spark, [raw], 2, str(tmp_path / "c"), seed=1, sep=";")
+    assert sorted(r[0] for r in spark.read.text(str(tmp_path / "c")).collect()) == ["RULE", "x|y", "x|y"]
+    with pytest.raises(Exception, match="delimiter"):
+        export.write_synthetic(spark, [raw], 2, str(tmp_path / "bad"), seed=1)
     with pytest.raises(ValueError):
         generate(spark, rules, -1)
     assert generate(spark, rules, 0).count() == 0

@@ -221,9 +221,9 @@ def test_report_of_an_empty_table(spark):
 def test_digest(spark):
     df = loans(spark)
     full = profile.profile_dataset(df, Dictionary((Field("STATE"), Field("LOAN_AMT", "Num", "M")), ("STATE",)))
-    text = profile_digest(full.fields, full.distributions, full.duplicates).first()["digest"]
-    assert text.startswith("Rows: 3; duplicate extra rows: 0 (0.00%)\n\n=== STATE (string, meta Char) ===")
-    assert "  top values: CA:2, NY:1, Total:3\n" in text
-    assert "  min=100.0 max=200.0 mean=150.0 median=150.0" in text
-    short = profile_digest(full.fields, full.distributions, full.duplicates, max_chars=50).first()["digest"]
-    assert len(short) == 50 and short.endswith("…")
+    rows = profile_digest(full.fields, full.distributions, full.duplicates).orderBy("ord").collect()
+    assert [(r["ord"], r["field"]) for r in rows][:2] == [(-1, None), (0, "STATE")]
+    assert rows[0]["digest"] == "Rows: 3; duplicate extra rows: 0 (0.00%)"
+    assert rows[1]["digest"].startswith("=== STATE (string, meta Char) ===")
+    assert rows[1]["digest"].endswith("  top values: CA:2, NY:1, Total:3")
+    assert "  min=100.0 max=200.0 mean=150.0 median=150.0" in "".join(r["digest"] for r in rows)
