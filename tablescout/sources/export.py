@@ -15,10 +15,10 @@ from ..functions.columns import double_text, is_temporal, qcol, text_of, type_of
 from ..functions.formats import fmt_dimension, fmt_measure
 from ..operators.generate import ColumnRule, generate
 from ..operators.grid import SortKey, grid_order, visible_columns
+from ..operators.pivot import PIVOT_FACTS
 from .delimited import separator
 from .dictionary import Dictionary
 
-PIVOT_FACTS = ["row_kind", "row_depth", "expandable", "ord"]
 # Writing options under which a cell's text comes back as it was; ``""`` tells the empty text from NULL.
 FAITHFUL = {"escape": '"', "emptyValue": '""', "nullValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 

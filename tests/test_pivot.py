@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tablescout.operators.pivot import collapse, pivot, pivot_keys, pivot_leaves, wide_header
+from tablescout.operators.pivot import collapse, pivot, pivot_keys, pivot_leaves, pivot_long, wide_header
 from tablescout.sources.export import formatted_pivot
 
 POP = [("40", "5", "3", 10.0), ("40", "5", "4", 1.0), ("40", "7", "3", 5.0)]
@@ -89,10 +89,47 @@ def test_arguments(spark):
 
 
 def test_headers():
-    assert wide_header("Total", [], "v", 1) == "v"
-    assert wide_header("3", ["R"], "v", 1) == "R-3"
-    assert wide_header("a|b", ["R", "S"], "v", 2) == "R-a - S-b · v"
-    assert wide_header("a|b|c", ["R", "S"], "v", 1) == "R|S-a|b|c"
+    assert wide_header((), [], "v", 1) == "v"
+    assert wide_header(("3",), ["R"], "v", 1) == "R-3"
+    assert wide_header((None,), ["R"], "v", 1) == "R-"
+    assert wide_header(("a", "b"), ["R", "S"], "v", 2) == "R-a - S-b · v"
+    assert wide_header(("a|b", "c"), ["R", "S"], "v", 1) == "R-a|b - S-c"
+
+
+def test_values_with_bars_keep_columns_of_their_own(spark):
+    df = spark.createDataFrame([("x", "a|b", "c", 1.0), ("x", "a", "b|c", 2.0)], "d string, k string, l string, v double")
+    row = pivot(df, ["d"], ["k", "l"], ["v"]).first().asDict()
+    assert (row["k-a|b - l-c"], row["k-a - l-b|c"], row["GRAND TOTAL"]) == (1.0, 2.0, 3.0)
+
+
+def test_true_grand_totals(spark):
+    df = spark.createDataFrame([("a", "x", 1.0), ("a", "x", 3.0), ("a", "y", 5.0), ("b", None, None)], "d string, k string, v double")
+    for agg, want in (("AVG", [3.0, 0.0, 3.0]), ("MIN", [1.0, 0.0, 1.0]), ("MAX", [5.0, 0.0, 5.0]), ("SUM", [9.0, 0.0, 9.0]), ("COUNT", [3.0, 1.0, 4.0])):
+        assert [r["GRAND TOTAL"] for r in pivot(df, ["d"], ["k"], ["v"], agg, totals="true").collect()] == want, agg
+
+
+def test_headers_must_not_hide_other_columns(spark):
+    df = spark.createDataFrame([("a", 1.0)], "d string, ord double")
+    with pytest.raises(ValueError, match="already"):
+        pivot(df, ["d"], [], ["ord"])
+
+
+@pytest.mark.parametrize("agg", ["SUM", "AVG", "COUNT"])
+def test_many_columns_equal_few(spark, monkeypatch, agg):
+    df = spark.range(400).select(
+        (F.col("id") % 3).alias("d"), (F.col("id") % 4).alias("e"), F.when(F.col("id") % 9 > 0, F.col("id") % 7).alias("k"),
+        F.when(F.col("id") % 5 > 0, F.col("id").cast("double")).alias("v"), F.lit(1).alias("w"),
+    )
+    few = pivot(df, ["d", "e"], ["k"], ["v", "w"], agg).drop("ord").collect()
+    monkeypatch.setattr("tablescout.operators.pivot.CONDITIONAL_COLUMNS", 0)
+    assert pivot(df, ["d", "e"], ["k"], ["v", "w"], agg).drop("ord").collect() == few
+
+
+def test_long_form(spark):
+    out = pivot_long(population(spark), ["SUMLEV", "DIVISION"], ["REGION"], ["POP"])
+    assert sorted(map(str, (tuple(r) for r in out.collect()))) == sorted(map(str, [
+        ("40", "5", "3", 10.0, 2), ("40", "5", "4", 1.0, 2), ("40", "7", "3", 5.0, 2),
+        ("40", None, "3", 15.0, 1), ("40", None, "4", 1.0, 1), (None, None, "3", 15.0, 0), (None, None, "4", 1.0, 0)]))
 
 
 def test_condition_reaches_the_leaves(spark):
