@@ -10,7 +10,8 @@ take three of them.  Where a few far outliers put nearly all rows into one bin,
 quantile sketch proposes the next interval; its values split by rank, so the number
 of steps stays small whatever the data looks like.
 
-Filters on the interval reach the Parquet scan, so later steps skip row groups.
+A step reads the table once for all fields, quantiles and intervals.  ``finish_rows``
+only says when to stop narrowing; the values found do not depend on it.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -102,14 +102,25 @@ class _Search:
         if open_:
             self._finish(open_)
 
-    def _rows(self, targets: list[_Target]):
-        """``(span, x)`` of the rows in the targets' intervals, one branch per interval."""
+    def _rows(self, targets: list[_Target], place=None) -> tuple[list[tuple], DataFrame]:
+        """``(span, x[, bin])`` of the rows in the targets' intervals, all from one scan.
+
+        Each row unfolds into the intervals that hold one of its values; a filter on
+        the outermost bounds of all fields reaches the scan.
+        """
         spans = list(dict.fromkeys(t.span for t in targets))
-        branches = []
-        for i, (n, lo, hi) in enumerate(spans):
-            branch = self.df.select(F.lit(i).alias("span"), self.x[n].alias("x")).filter(F.col("x").between(lo, hi))
-            branches.append(branch)
-        return spans, branches
+        fields = list(dict.fromkeys(n for n, _, _ in spans))
+        some = self.df.select(*[self.x[n].alias(f"x{i}") for i, n in enumerate(fields)])
+        within, held = F.lit(False), []
+        for number, (n, lo, hi) in enumerate(spans):
+            x = F.col(f"x{fields.index(n)}")
+            cells = [F.lit(number).alias("span"), x.alias("x")]
+            if place:
+                cells.append(place(x, lo, hi).alias("bin"))
+            inside = x.between(lo, hi)
+            within = within | inside
+            held.append(F.when(inside, F.struct(*cells)))
+        return spans, some.filter(within).select(F.inline(F.array_compact(F.array(*held))))
 
     @staticmethod
     def _holding(counts: DataFrame, order: str, ranks: list[list[int]]) -> DataFrame:
@@ -124,17 +135,12 @@ class _Search:
         return [sorted({t.rank - t.base for t in targets if t.span == s}) for s in spans]
 
     def _bin(self, targets: list[_Target]) -> None:
-        spans, branches = self._rows(targets)
-        placed = []
-        for branch, (_, lo, hi) in zip(branches, spans):
+        def place(x: Column, lo: float, hi: float) -> Column:
             # The bin grows with x, so a bin's rows are exactly those between its least and greatest value.
-            place = F.least(F.floor((F.col("x") - lo) / F.lit((hi - lo) / BINS)), F.lit(BINS - 1))
-            placed.append(branch.select("span", place.cast("int").alias("bin"), "x"))
-        counts = (
-            reduce(DataFrame.unionAll, placed)
-            .groupBy("span", "bin")
-            .agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-        )
+            return F.least(F.floor((x - lo) / F.lit((hi - lo) / BINS)), F.lit(BINS - 1)).cast("int")
+
+        spans, rows = self._rows(targets, place)
+        counts = rows.groupBy("span", "bin").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
         for r in self._holding(counts, "bin", self._ranks(spans, targets)).collect():
             for t in targets:
                 before = t.base + r["upto"] - r["n"]
@@ -173,8 +179,8 @@ class _Search:
 
     def _finish(self, targets: list[_Target]) -> None:
         """Count the values left in each interval, at most ``finish_rows`` of them."""
-        spans, branches = self._rows(targets)
-        counts = reduce(DataFrame.unionAll, branches).groupBy("span", "x").agg(F.count(F.lit(1)).alias("n"))
+        spans, rows = self._rows(targets)
+        counts = rows.groupBy("span", "x").agg(F.count(F.lit(1)).alias("n"))
         for r in self._holding(counts, "x", self._ranks(spans, targets)).collect():
             for t in targets:
                 if t.span == spans[r["span"]] and r["upto"] - r["n"] <= t.rank - t.base < r["upto"]:
