@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import pivot_cases, source_cases, stats_cases, view_cases
+from . import dirty_cases, pivot_cases, source_cases, stats_cases, view_cases
 
-CASES = {**stats_cases.CASES, **view_cases.CASES, **pivot_cases.CASES, **source_cases.CASES}
+CASES = {**stats_cases.CASES, **view_cases.CASES, **pivot_cases.CASES, **source_cases.CASES, **dirty_cases.CASES}
 
 
 def queries() -> dict:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.pivot import collapse, pivot, pivot_leaves
@@ -19,10 +19,11 @@ def lines_by_year(spark, d) -> DataFrame:
 
 
 def comparable(df: DataFrame, row_dims, places: int = 2) -> DataFrame:
-    """Drop ``ord``, whose steps depend on the partitions, and round the cells."""
+    """Rounded cells, and for ``ord``, whose steps depend on the partitions, the place within the first dimension."""
     keep = [*row_dims, *FACTS, "ord"]
     cells = [F.round(F.col(f"`{c}`"), places).alias(c) for c in df.columns if c not in keep]
-    return df.select(*[F.col(f"`{c}`") for c in row_dims], *cells, *FACTS)
+    place = F.row_number().over(Window.partitionBy(F.col(f"`{row_dims[0]}`"), F.col("row_kind") == "grand").orderBy("ord"))
+    return df.select(*[F.col(f"`{c}`") for c in row_dims], *cells, *FACTS, place.alias("place"))
 
 
 def pivot_sql(
@@ -62,10 +63,12 @@ def pivot_sql(
     if len(measures) == 1:
         cells.append(f'ROUND(SUM(COALESCE(v0, 0.0)), {places}) AS "GRAND TOTAL"')
     depth = " + ".join(f"(1 - GROUPING(r{i}))" for i in range(n))
+    order = ", ".join(f"GROUPING(r{i}) DESC, r{i} ASC NULLS FIRST" for i in range(1, n)) or "1"
     return f"""WITH leaf AS (SELECT {leaves}, {key} AS k, {values} FROM {source} WHERE {where} GROUP BY {groups})
 SELECT {', '.join(labels)}, {', '.join(cells)},
   CASE WHEN GROUPING(r0) = 1 THEN 'grand' WHEN {depth} < {n} THEN 'subtotal' ELSE 'detail' END AS row_kind,
-  CAST({depth} AS INTEGER) AS row_depth, GROUPING(r0) = 0 AND {depth} < {n} AS expandable
+  CAST({depth} AS INTEGER) AS row_depth, GROUPING(r0) = 0 AND {depth} < {n} AS expandable,
+  CAST(ROW_NUMBER() OVER (PARTITION BY GROUPING(r0), r0 ORDER BY {order}) AS INTEGER) AS place
 FROM leaf GROUP BY ROLLUP ({', '.join(f'r{i}' for i in range(n))})"""
 
 
@@ -85,17 +88,26 @@ def _year_pivot(agg: str, places: int = 2, where: str | None = None):
 
 def _two_columns(s, d):
     df = lines_by_year(s, d)
-    out = pivot(df, ["l_returnflag"], ["year", "l_linestatus"], ["l_quantity"], condition=F.col("year") <= 1996)
+    out = pivot(df, ["l_returnflag"], ["year", "l_linestatus"], ["l_quantity"])
     return comparable(out, ["l_returnflag"])
 
 
-def _true_totals(s, d):
-    df = table(s, d, "lineitem")
-    return comparable(
-        pivot(df, ["l_returnflag"], ["l_linestatus"], ["l_extendedprice"], "AVG", totals="true").drop("GRAND TOTAL"),
-        ["l_returnflag"],
-        4,
-    )
+def _true_totals(agg: str):
+    def query(s, d):
+        df = table(s, d, "lineitem")
+        return comparable(pivot(df, ["l_returnflag"], ["l_linestatus"], ["l_extendedprice"], agg, totals="true"), ["l_returnflag"], 4)
+
+    return query
+
+
+def true_totals_sql(agg: str) -> str:
+    return f"""SELECT CASE WHEN GROUPING(l_returnflag) = 1 THEN 'Grand Total' ELSE l_returnflag END AS l_returnflag,
+  COALESCE(ROUND({agg}(l_extendedprice) FILTER (WHERE l_linestatus = 'F'), 4), 0.0) AS "l_linestatus-F",
+  COALESCE(ROUND({agg}(l_extendedprice) FILTER (WHERE l_linestatus = 'O'), 4), 0.0) AS "l_linestatus-O",
+  ROUND({agg}(l_extendedprice), 4) AS "GRAND TOTAL",
+  CASE WHEN GROUPING(l_returnflag) = 1 THEN 'grand' ELSE 'detail' END AS row_kind,
+  CAST(1 - GROUPING(l_returnflag) AS INTEGER) AS row_depth, FALSE AS expandable, 1 AS place
+FROM lineitem GROUP BY ROLLUP (l_returnflag)"""
 
 
 def _wide_keys(s, d):
@@ -155,8 +167,8 @@ FROM lineitem GROUP BY 1, 2, 3""",
         _two_columns,
         pivot_sql(
             "lineitem", {"l_returnflag": "l_returnflag"}, f"{YEAR_SQL} || '|' || l_linestatus",
-            {f"{y}|{k}": f"year-{y} - l_linestatus-{k}" for y in YEARS[:2] for k in STATUSES},
-            {"l_quantity": "l_quantity"}, where="year(l_shipdate) <= 1996",
+            {f"{y}|{k}": f"year-{y} - l_linestatus-{k}" for y in YEARS for k in STATUSES},
+            {"l_quantity": "l_quantity"},
         ),
     ),
     "pivot_orders": (
@@ -173,15 +185,9 @@ FROM lineitem GROUP BY 1, 2, 3""",
             {"c_acctbal": "c_acctbal"},
         ),
     ),
-    "pivot_true_totals": (
-        _true_totals,
-        """SELECT CASE WHEN GROUPING(l_returnflag) = 1 THEN 'Grand Total' ELSE l_returnflag END AS l_returnflag,
-  ROUND(AVG(l_extendedprice) FILTER (WHERE l_linestatus = 'F'), 4) AS "l_linestatus-F",
-  ROUND(AVG(l_extendedprice) FILTER (WHERE l_linestatus = 'O'), 4) AS "l_linestatus-O",
-  CASE WHEN GROUPING(l_returnflag) = 1 THEN 'grand' ELSE 'detail' END AS row_kind,
-  CAST(1 - GROUPING(l_returnflag) AS INTEGER) AS row_depth, FALSE AS expandable
-FROM lineitem GROUP BY ROLLUP (l_returnflag)""",
-    ),
+    "pivot_true_totals": (_true_totals("AVG"), true_totals_sql("AVG")),
+    "pivot_true_totals_min": (_true_totals("MIN"), true_totals_sql("MIN")),
+    "pivot_true_totals_max": (_true_totals("MAX"), true_totals_sql("MAX")),
     "pivot_collapsed": (
         lambda s, d: comparable(
             collapse(pivot(lines_by_year(s, d), FLAGS, ["year"], ["l_extendedprice"]), FLAGS, depth=1), FLAGS

@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.generate import ColumnRule, synthesize
+from ..operators.generate import COUNTIES, OTHER_COUNTIES, STATES, ColumnRule, synthesize
 from ..operators.grid import page
 from ..operators.pivot import pivot
 from ..sources import dictionary as meta
-from ..sources.delimited import file_facts, read_dataset
+from ..sources.delimited import read_dataset
 from ..sources.dictionary import Dictionary
 from ..sources.export import export_csv, export_pivot, export_tsv, formatted, formatted_pivot
 from .scratch import scratch_folder
@@ -104,13 +104,16 @@ def synthetic(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _generate_checked(spark, d):
     """The fixed columns of the synthetic rows, and whether the drawn ones keep their rules."""
     number = lambda c: F.col(c).cast("bigint")
+    texts = lambda names: F.array(*[F.lit(n) for n in names])
+    counties = F.create_map(*[c for state, names in COUNTIES.items() for c in (F.lit(state), texts(names))])
+    others = texts(OTHER_COUNTIES)
     return synthetic(spark, d).select(
         "LOAN_NBR",
         "END_DT",
         "ACTIVE",
         "NAME",
-        (F.length("STATE") == 2).alias("state_ok"),
-        (F.length("COUNTY") > 3).alias("county_ok"),
+        F.col("STATE").isin(STATES).alias("state_ok"),
+        F.array_contains(F.coalesce(F.try_element_at(counties, F.col("STATE")), others), F.col("COUNTY")).alias("county_ok"),
         ((number("LOAN_AMT") > 100) & (number("LOAN_AMT") < 10000)).alias("amount_ok"),
         ((number("UPB") > 100) & ((number("UPB") < number("LOAN_AMT")) | (number("LOAN_AMT") <= 102))).alias("upb_ok"),
         number("FEE").between(1, 100_000).alias("fee_ok"),
@@ -182,6 +185,12 @@ def _formatted_lines(spark, d):
 
 NAME_SQL = "'F' || p_partkey"
 
+
+def draw_sql(name: str, seed: int = 11) -> str:
+    """The uniform draw of a column: 52 bits of an MD5."""
+    return f"CAST('0x' || substr(md5(o_orderkey || '/{name}//{seed}'), 1, 13) AS BIGINT) / 4503599627370496.0"
+
+
 CASES = {
     "dictionary_text": (
         _dictionary_text,
@@ -228,8 +237,14 @@ SELECT name, field_type, role,
   'A' AS "ACTIVE", 'NAME_' || (o_orderkey + 1) AS "NAME", TRUE AS state_ok, TRUE AS county_ok, TRUE AS amount_ok,
   TRUE AS upb_ok, TRUE AS fee_ok, TRUE AS order_ok, TRUE AS month_ok, TRUE AS due_ok, TRUE AS method_ok FROM orders""",
     ),
-    "generate_rows": (synthetic, None),
-    "file_facts": (lambda s, d: file_facts(table(s, d, "orders")), None),
+    "generate_rows": (
+        lambda s, d: synthetic(s, d).select("LOAN_NBR", "STATE", "FEE", "METHOD"),
+        f"""WITH u AS (SELECT o_orderkey AS id, {draw_sql('STATE')} AS s, {draw_sql('FEE')} AS f, {draw_sql('METHOD')} AS m FROM orders)
+SELECT lpad(CAST(id + 1 AS VARCHAR), 9, '0') AS "LOAN_NBR",
+  list_extract({STATES!r}, CAST(floor(s * {len(STATES)}) AS INTEGER) + 1) AS "STATE",
+  CAST(CAST(round_even(2.0 + f * 99997.0, 0) AS BIGINT) AS VARCHAR) AS "FEE",
+  list_extract(['Cash', 'Card', 'Wire'], CAST(floor(m * 3) AS INTEGER) + 1) AS "METHOD" FROM u""",
+    ),
     "export_roundtrip": (_export_roundtrip, "SELECT * FROM orders WHERE o_orderstatus = 'F'"),
     "export_texts": (_text_roundtrip, "SELECT conv_id, turn, text FROM conversations"),
     "export_pivot": (

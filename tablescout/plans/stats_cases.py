@@ -274,14 +274,23 @@ def _customer(spark, d):
 
 
 def _digest(spark, d):
+    """Digests of the customers' profile; the table's own row and each field's heading and counts."""
     df, dictionary = _customer(spark, d)
     full = profile.profile_dataset(df, dictionary)
-    return profile_digest(full.fields, full.distributions, full.duplicates)
+    lines = F.split("digest", "\n")
+    return profile_digest(full.fields, full.distributions, full.duplicates).select(
+        "ord", "field", F.array_join(F.slice(lines, 1, 2), "\n").alias("head")
+    )
 
 
-def _report_sections(spark, d):
-    df, dictionary = _customer(spark, d)
-    return report.report_sections(rounded(report.report_of(df, dictionary), 3, "mean_std_pop"))
+def digest_sql(source: str, fields) -> str:
+    columns = ", ".join(n for n, *_ in fields)
+    return f"""WITH p AS ({profile_sql(source, fields)}), d AS ({duplicate_sql(source, columns)})
+SELECT -1 AS ord, NULL AS field, 'Rows: ' || total_rows || '; duplicate extra rows: ' || duplicate_extra_rows || ' ('
+  || format('{{:.2f}}', duplicate_pct) || '%)' AS head FROM d
+UNION ALL SELECT ord, field, '=== ' || field || ' (' || inferred_semantic || ', meta ' || meta_type || ') ===' || chr(10)
+  || '  missing%=' || format('{{:.2f}}', missing_pct) || ' nulls=' || null_count || ' empty_str=' || empty_count
+  || ' distinct=' || distinct_count || ' unique%=' || format('{{:.2f}}', unique_pct) FROM p"""
 
 
 def _unlabelled(df: DataFrame) -> DataFrame:
@@ -451,6 +460,5 @@ CASES = {
         lambda s, d: rounded(report.report_of(*_orders(s, d)), 3, "mean_std_pop"),
         report_sql("orders", ORDERS_FIELDS),
     ),
-    "report_sections": (_report_sections, None),
-    "profile_digest": (_digest, None),
+    "profile_digest": (_digest, digest_sql("customer", CUSTOMER_FIELDS)),
 }
