@@ -22,10 +22,13 @@ from tablescout.llm.common import read_bytes, small_batches
 
 #: The character that stands for byte b is chr(BYTE_BASE + b): letters, none of them a blank.
 BYTE_BASE = 0x100
-BYTE_CHARS = [chr(BYTE_BASE + b) for b in range(256)]
+BYTE_TABLE = {b: chr(BYTE_BASE + b) for b in range(256)}
 
-#: Distinct pre-tokens that a worker's table holds before it starts anew; memory only, not results.
-TABLE_ROWS = 200_000
+#: Distinct pre-tokens after which a worker's table starts anew; memory only, not results.
+TABLE_ROWS = 300_000
+
+#: Characters of texts that are encoded at a time, and ids of a text that are decoded by arrays; memory only.
+SLICE_CHARS, ARRAY_IDS = 2_000_000, 1_000_000
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -56,7 +59,7 @@ def _number(field: int, value: int) -> bytes:
 
 def mapped(data: bytes) -> str:
     """One character per byte."""
-    return "".join(map(BYTE_CHARS.__getitem__, data))
+    return data.decode("latin-1").translate(BYTE_TABLE)
 
 
 def serialise_model(tokens: list[bytes]) -> bytes:
@@ -76,29 +79,65 @@ def serialise_model(tokens: list[bytes]) -> bytes:
 
 
 class Encoder:
-    """Ids of texts by their pre-tokens."""
+    """Ids of texts by their pre-tokens, each distinct one encoded once while it stays in the table."""
 
     def __init__(self, tokens: list[bytes], pattern: str):
         import regex
         import sentencepiece
 
         self._find = regex.compile(pattern).findall
-        self._whole = {token: (rank,) for rank, token in enumerate(tokens)}
+        self._whole = {mapped(token): rank for rank, token in enumerate(tokens)}
         self._pieces = sentencepiece.SentencePieceProcessor(model_proto=serialise_model(tokens))
-        self._table: dict[str, tuple[int, ...]] = {}
-
-    def _ids(self, pre: str) -> tuple[int, ...]:
-        data = pre.encode("utf-8", "surrogatepass")
-        return self._whole.get(data) or tuple(i - 1 for i in self._pieces.encode(mapped(data)))
-
-    def __call__(self, text: str) -> np.ndarray:
-        found, table = self._find(text), self._table
-        if len(table) > TABLE_ROWS:
-            self._table = table = {}
-        for pre in set(found):
-            if pre not in table:
-                table[pre] = self._ids(pre)
-        return np.fromiter(chain.from_iterable(map(table.__getitem__, found)), dtype=np.int32)
+        self._start_anew()
+
+    def _start_anew(self) -> None:
+        self._table: dict[str, int] = {}  # pre-token -> number of its run of ids
+        self._sizes, self._flat = np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def _learn(self, new: list[str]) -> None:
+        """Runs of ids for pre-tokens that the table lacks: tokens as they are, the others in one call."""
+        names = [mapped(pre.encode("utf-8", "surrogatepass")) for pre in new]
+        parts = [name for name in names if name not in self._whole]
+        pieces = self._pieces.encode(parts, num_threads=1)
+        split = np.fromiter(chain.from_iterable(pieces), np.int32) - 1
+        cut, whole = iter(map(len, pieces)), self._whole.get
+        ranks = np.fromiter((whole(name, -1) for name in names), np.int32, len(names))
+        sizes = np.fromiter((1 if rank >= 0 else next(cut) for rank in ranks.tolist()), np.int64, len(names))
+        flat = np.empty(sizes.sum(), np.int32)
+        single = np.repeat(ranks >= 0, sizes)
+        flat[single], flat[~single] = ranks[ranks >= 0], split
+        first = len(self._table)
+        self._table.update(zip(new, range(first, first + len(new)), strict=True))
+        self._sizes = np.concatenate([self._sizes, sizes])
+        self._flat = np.concatenate([self._flat, flat])
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        out, at = [], 0
+        while at < len(texts):
+            to, chars = at + 1, len(texts[at])
+            while to < len(texts) and chars + len(texts[to]) <= SLICE_CHARS:
+                chars += len(texts[to])
+                to += 1
+            out += self._encode(texts[at:to])
+            at = to
+        return out
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        found = [self._find(text) for text in texts]
+        if len(self._table) > TABLE_ROWS:
+            self._start_anew()
+        table = self._table
+        self._learn([pre for pre in set().union(*found) if pre not in table])
+        sizes, flat = self._sizes, self._flat
+        starts = np.cumsum(sizes) - sizes
+        return [flat[spread(starts, sizes, np.fromiter(map(table.__getitem__, f), np.int64, len(f)))] for f in found]
+
+
+def spread(starts: np.ndarray, sizes: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Positions start, start + 1, ... of each chosen run, one run after the other."""
+    own = sizes[chosen]
+    ends = np.cumsum(own)
+    return np.repeat(starts[chosen] - ends + own, own) + np.arange(ends[-1] if len(ends) else 0)
 
 
 def lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -115,7 +154,7 @@ def encode_column(text: Column, tokens: list[bytes], pattern: str) -> Column:
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = Encoder(tokens, pattern)
         for texts in batches:
-            yield lists([encoder(text) for text in texts.to_pylist()])
+            yield lists(encoder(texts.to_pylist()))
 
     return encode(F.coalesce(text, F.lit("")))
 
@@ -125,8 +164,20 @@ def decode_column(ids: Column, tokens: list[bytes]) -> Column:
 
     @F.arrow_udf("binary")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        flat = np.frombuffer(b"".join(tokens), np.uint8)
+        sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        starts = np.cumsum(sizes) - sizes
+
+        def text(row: pa.ListScalar) -> bytes:
+            if not row.is_valid or not len(row):
+                return b""
+            own = row.values.to_numpy(zero_copy_only=False)
+            if len(own) > ARRAY_IDS:
+                return b"".join(map(tokens.__getitem__, own.tolist()))
+            return flat[spread(starts, sizes, own)].tobytes()
+
         for rows in batches:
-            yield pa.array([b"".join(map(tokens.__getitem__, row or ())) for row in rows.to_pylist()], pa.binary())
+            yield pa.array(map(text, rows), pa.binary())
 
     return decode(ids)
 

@@ -42,7 +42,7 @@ def test_counts_equal_the_library(text, counter, library):
 @settings(max_examples=300, deadline=None)
 @given(text=TEXT)
 def test_ids_equal_the_library(text, encoder, encoding):
-    assert encoder(text).tolist() == encoding.encode_ordinary(text)
+    assert encoder([text])[0].tolist() == encoding.encode_ordinary(text)
 
 
 def test_counts_of_rows(spark, library):
@@ -74,6 +74,21 @@ def test_encoding_round_trip(spark, encoding):
     assert got == sorted((repr(i), encoding.encode_ordinary(t or ""), (t or "").encode()) for i, t, _ in rows)
 
 
+def test_slices_and_old_tables_change_nothing(encoding, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "TABLE_ROWS", 4)
+    monkeypatch.setattr(byte_bpe, "SLICE_CHARS", 30)
+    own = byte_bpe.Encoder(byte_bpe.read_ranks(RANKS), public_tokenizers.PATTERN)
+    texts = [t or "" for t in brute.AWKWARD] * 2
+    assert [ids.tolist() for ids in own(texts)] == [encoding.encode_ordinary(t) for t in texts]
+
+
+def test_long_rows_decode_without_arrays(spark, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "ARRAY_IDS", 3)
+    docs = spark.createDataFrame([(1, "many tokens in one text é"), (2, "a")], "doc_id long, text string")
+    out = byte_bpe.encode_decode(docs, RANKS, public_tokenizers.PATTERN).orderBy("doc_id").collect()
+    assert [bytes(r.decoded).decode() for r in out] == ["many tokens in one text é", "a"]
+
+
 def test_encoding_of_no_rows(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert byte_bpe.encode_decode(docs, RANKS, public_tokenizers.PATTERN).collect() == []
@@ -81,8 +96,8 @@ def test_encoding_of_no_rows(spark):
 
 def test_a_token_is_taken_whole_even_where_merges_do_not_reach_it():
     tokens = [bytes([b]) for b in range(256)] + [b"abc"]
-    assert byte_bpe.Encoder(tokens, r"\S+|\s+")("abc").tolist() == [256]
-    assert byte_bpe.Encoder(tokens, r"\S+|\s+")("abcd").tolist() == list(b"abcd")
+    assert byte_bpe.Encoder(tokens, r"\S+|\s+")(["abc"])[0].tolist() == [256]
+    assert byte_bpe.Encoder(tokens, r"\S+|\s+")(["abcd"])[0].tolist() == list(b"abcd")
 
 
 def test_gaps_in_ranks_are_refused(tmp_path):
@@ -95,7 +110,7 @@ def test_gaps_in_ranks_are_refused(tmp_path):
 def test_character_classes_equal_the_library(encoder, encoding):
     for start in range(0, 0x30000, 64):
         text = "".join(f"a{chr(c)}1" for c in range(start, start + 64) if not 0xD800 <= c < 0xE000)
-        assert encoder(text).tolist() == encoding.encode_ordinary(text), hex(start)
+        assert encoder([text])[0].tolist() == encoding.encode_ordinary(text), hex(start)
 
 
 def test_lists_of_nothing():
