@@ -25,16 +25,16 @@ from tablescout.llm.common import saved, small_batches
 TOKEN = re.compile(rb"[a-z0-9'\x80-\xff]+")
 
 #: Buckets of tokens; the model is as large at any scale.
-BUCKETS = 1 << 18
+BUCKETS = 1 << 17
 
 #: At most so many labelled documents of each class are learnt from: those with the least hash of their id.
 SAMPLE = {1: 10_000, 0: 20_000}
 
 #: Prior strengths of a bucket in tokens to choose from, cost of a token, and evidence from which a segment is significant.
-PRIORS, TOKEN_COST, SIGNIFICANT = (0.3, 1.0, 3.0, 10.0, 30.0), 2.0, 1.5
+PRIORS, TOKEN_COST, SIGNIFICANT = (1.0, 3.0, 10.0), 2.0, 1.5
 
 #: Parts of the sample; each is weighed with scores learnt from the other parts.
-FOLDS = 5
+FOLDS = 4
 
 #: Distinct tokens that a worker remembers the bucket of; memory only.
 REMEMBERED = 300_000
@@ -119,9 +119,9 @@ def _class_counts(rows: DataFrame) -> np.ndarray:
             yield pd.DataFrame({"part": part, "bucket": spots, "n": total[part][spots]})
 
     found = rows.mapInPandas(count, "part int, bucket long, n long").groupBy("part", "bucket").agg(F.sum("n").alias("n"))
-    table = found.toPandas()  # at most a row per part and bucket
-    counts = np.zeros((FOLDS * 2, BUCKETS))
-    counts[table["part"], table["bucket"]] = table["n"]
+    table = found.select(F.col("part") * BUCKETS + F.col("bucket"), F.col("n")).toArrow()  # at most a row per part and bucket
+    counts = np.zeros(FOLDS * 2 * BUCKETS)
+    counts[table.column(0).to_numpy()] = table.column(1).to_numpy()
     return counts.reshape(FOLDS, 2, BUCKETS)
 
 
@@ -178,9 +178,11 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, allowed: Column, id_col:
     )
     # The sample has at most 30,000 ids, so it is safe to send everywhere.
     fold = F.pmod(F.crc32(F.concat(F.lit("fold"), F.col("marked").cast("string"))), F.lit(FOLDS)).cast("int")
+    # One row speaks for each id, however often it is repeated.
     rows = saved(
         docs.join(F.broadcast(sample), F.col(id_col) == F.col("marked"))
-        .select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), "toxic", fold.alias("fold"))
+        .groupBy("marked", "toxic").agg(F.max(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
+        .select("text", "toxic", fold.alias("fold"))
     )
     counts = _class_counts(rows)
     whole = counts.sum(axis=0)
