@@ -25,37 +25,47 @@ from .distribution import bin_distribution, value_distribution
 from .percentiles import FINISH_ROWS, literal_double, percentile_values
 from .quality import QUARTILES, duplicate_rows, outlier_counts
 from .quickstats import one_row_per_field
-from .values import scalar_fields, typed_counts
+from .values import families, key_of, scalar_fields
 
 NUMERIC_BLOCK = ["num_min", "num_max", "num_mean", "num_median", "num_std_pop", "num_var_pop"]
 OUTLIER_BLOCK = ["outlier_count", "outlier_pct"]
 
 
-def _facts_of(dtype: T.DataType, counts: DataFrame) -> DataFrame:
-    """Weigh every distinct value by its count; text is parsed once per distinct value.
+def _reads(c: Column, dtype: T.DataType) -> dict[str, Column]:
+    """What a non-NULL cell reads as, of which only text needs parsing."""
+    text, yes, no = isinstance(dtype, T.StringType), F.lit(True), F.lit(False)
+    number = isinstance(dtype, (T.NumericType, T.BooleanType))
+    fractional = isinstance(dtype, (T.DoubleType, T.FloatType))
+    return {
+        "empty": trim_text(c) == "" if text else no,
+        "boolean": no if fractional or is_temporal(dtype) else boolean_like(c, dtype),
+        "numeric": safe_double(c, dtype).isNotNull() if text else yes if number else no,
+        "timestamp": safe_timestamp(c, dtype).isNotNull() if text else yes if is_temporal(dtype) else no,
+    }
+
 
-    Only text needs parsing: numbers are numbers, dates are dates.
+def _facts(df: DataFrame, names: Sequence[str], dtype: T.DataType) -> DataFrame:
+    """Counts per field of one type.
+
+    Cells are counted by value (texts by digest) with what they read as, so a value
+    costs one small row per task however long or frequent it is.
     """
-    value, cnt = F.col("value"), F.col("cnt")
-    text = isinstance(dtype, T.StringType)
-    present = F.sum(F.when(value.isNotNull(), cnt).otherwise(0))
+    cells = []
+    for name in names:
+        c = qcol(name).cast(dtype)
+        flags = [F.coalesce(c.isNotNull() & reads, F.lit(False)).alias(k) for k, reads in _reads(c, dtype).items()]
+        cells.append(F.struct(F.lit(name).alias("field"), key_of(c, dtype).alias("value"), *flags))
+    kinds = ["empty", "boolean", "numeric", "timestamp"]
+    counts = df.select(F.inline(F.array(*cells))).groupBy("field", "value", *kinds).agg(F.count(F.lit(1)).alias("cnt"))
 
     def weight(cond: Column) -> Column:
-        return F.sum(F.when(cond, cnt).otherwise(0))
+        return F.sum(F.when(cond, F.col("cnt")).otherwise(0))
 
-    none = F.lit(0).cast("bigint")
-    number = isinstance(dtype, (T.NumericType, T.BooleanType))
-    fractional = isinstance(dtype, (T.DoubleType, T.FloatType))
     return counts.groupBy("field").agg(
         F.sum("cnt").alias("row_count"),
-        weight(value.isNull()).alias("null_count"),
-        (weight(trim_text(value) == "") if text else none).alias("empty_count"),
-        F.count(value).alias("distinct_count"),
-        (none if fractional or is_temporal(dtype) else weight(boolean_like(value, dtype))).alias("boolean_count"),
-        (weight(safe_double(value, dtype).isNotNull()) if text else present if number else none).alias("numeric_count"),
-        (weight(safe_timestamp(value, dtype).isNotNull()) if text else present if is_temporal(dtype) else none).alias(
-            "timestamp_count"
-        ),
+        weight(F.col("value").isNull()).alias("null_count"),
+        F.count("value").alias("distinct_count"),
+        *[weight(F.col(k)).alias(f"{k}_count") for k in kinds],
     )
 
 
@@ -65,7 +75,7 @@ def base_metrics(df: DataFrame, fields: Sequence[str] | None = None) -> DataFram
     Everything comes from the value counts: one shuffle for all columns of a type.
     """
     fields = scalar_fields(df, fields)
-    facts = [_facts_of(dtype, counts) for dtype, counts in typed_counts(df, fields)]
+    facts = [_facts(df, names, dtype) for dtype, names in families(df, fields)]
     table = facts[0]
     for part in facts[1:]:
         table = table.unionByName(part)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import qcol, require_columns, safe_double, text_of, trim_text, type_of
 from .percentiles import FINISH_ROWS, percentile_values
 from .quickstats import one_row_per_field
-from .values import scalar_fields
+from .values import key_of, scalar_fields
 
 QUARTILES = [0.25, 0.5, 0.75]
 # Formats looked for at the start of (or as the whole of) a trimmed cell.
@@ -47,17 +47,22 @@ def iqr_outliers(
     return one_row_per_field(df, per_field)
 
 
+def _keys(df: DataFrame, columns: Sequence[str]) -> list[Column]:
+    return [key_of(qcol(c), type_of(df, c)).alias(f"k{i}") for i, c in enumerate(columns)]
+
+
 def duplicate_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``(total_rows, distinct_full_rows, duplicate_extra_rows, duplicate_pct)``.
 
     Rows equal in all ``columns`` are copies of each other; NULLs are equal.  Copies
-    are counted before the shuffle, so a row repeated everywhere moves once per task.
+    are counted before the shuffle, so a row repeated everywhere moves once per task;
+    texts take part by their digests.
     """
     columns = scalar_fields(df, columns)
     if not columns:
         groups = df.select(F.lit(1).cast("bigint").alias("cnt"))
     else:
-        groups = df.groupBy(*[qcol(c) for c in columns]).agg(F.count(F.lit(1)).alias("cnt"))
+        groups = df.groupBy(*_keys(df, columns)).agg(F.count(F.lit(1)).alias("cnt"))
     total = F.coalesce(F.sum("cnt"), F.lit(0))
     distinct = F.count(F.lit(1))
     return groups.agg(
@@ -71,7 +76,7 @@ def duplicate_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``(total_rows, distinct_keys, duplicated_keys, duplicate_extra_rows, duplicate_pct)``."""
     require_columns(df, keys)
-    groups = df.groupBy(*[qcol(k) for k in keys]).agg(F.count(F.lit(1)).alias("cnt"))
+    groups = df.groupBy(*_keys(df, keys)).agg(F.count(F.lit(1)).alias("cnt"))
     total = F.coalesce(F.sum("cnt"), F.lit(0))
     distinct = F.count(F.lit(1))
     return groups.agg(

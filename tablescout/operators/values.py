@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,20 +41,30 @@ def scalar_fields(df: DataFrame, fields: Sequence[str] | None = None) -> list[st
     return list(fields)
 
 
-def typed_counts(df: DataFrame, fields: Sequence[str]) -> list[tuple[T.DataType, DataFrame]]:
-    """``(field, value, cnt)`` per type; NULL is counted as a value of its own."""
-    families: dict[str, tuple[T.DataType, list[str]]] = {}
+def families(df: DataFrame, fields: Sequence[str]) -> list[tuple[T.DataType, list[str]]]:
+    """The fields by the type they are counted in."""
+    found: dict[str, tuple[T.DataType, list[str]]] = {}
     for name in scalar_fields(df, fields):
         dtype = _shared_type(df.schema[name].dataType)
-        families.setdefault(dtype.simpleString(), (dtype, []))[1].append(name)
+        found.setdefault(dtype.simpleString(), (dtype, []))[1].append(name)
+    return list(found.values())
+
+
+def typed_counts(df: DataFrame, fields: Sequence[str]) -> list[tuple[T.DataType, DataFrame]]:
+    """``(field, value, cnt)`` per type; NULL is counted as a value of its own."""
     out = []
-    for dtype, names in families.values():
+    for dtype, names in families(df, fields):
         cols = [qcol(n).cast(dtype).alias(n) for n in names]
         long = df.select(*cols).unpivot([], [qcol(n) for n in names], "field", "value")
         out.append((dtype, long.groupBy("field", "value").agg(F.count(F.lit(1)).alias("cnt"))))
     return out
 
 
+def key_of(c: Column, dtype: T.DataType) -> Column:
+    """What rows are grouped by to tell equal cells: texts by their SHA-256, so that none is shuffled whole."""
+    return F.unhex(F.sha2(c, 256)) if isinstance(dtype, T.StringType) else c
+
+
 def value_counts(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     """``(field, value, cnt)`` of all fields with values as text."""
     parts = [

@@ -80,6 +80,16 @@ def test_a_percentile_step_is_one_scan(spark, lines, fields):
     assert plan_of(rows).count("FileScan parquet") == 1
 
 
+def test_texts_are_counted_by_digest(spark, sf_dir):
+    """No raw text is part of a shuffle of counts."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for df in (quality.duplicate_rows(docs, ["text"]), profile.base_metrics(docs, ["text"])):
+        plan = plan_of(df)
+        shuffles = [ln for ln in plan.splitlines() if "Exchange hashpartitioning" in ln]
+        assert shuffles and not any(re.search(r"\btext#", ln) for ln in shuffles)
+        assert "sha2" in plan
+
+
 def test_file_facts_read_no_file(spark, sf_dir):
     plan = plan_of(file_facts(spark, f"{sf_dir}/lineitem.parquet"), "formatted")
     assert "ReadSchema: struct<path:string,length:bigint>" in plan
