@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import is_temporal, qcol, require_columns, safe_double, text_of, type_of
+from ..functions.columns import is_complex, is_temporal, qcol, require_columns, safe_double, text_of, type_of
 from ..functions.formats import round_measure, yyyymmdd
 from ..sources.dictionary import Dictionary
 from .percentiles import FINISH_ROWS, literal_double, percentile_values
@@ -136,10 +137,14 @@ def quick_stats(
 ) -> dict[str, DataFrame]:
     """Quick statistics of every field by its bucket: ``top``, ``num`` and ``nulls`` tables.
 
-    Display-only fields and fields the table lacks are left out.  ``places`` rounds the
-    numbers of the measures.
+    Display-only fields and fields the table lacks are left out, and with a warning those
+    that hold no plain values.  ``places`` rounds the numbers of the measures.
     """
-    present = [f for f in dictionary.fields if f.name in df.columns]
+    present = [f for f in dictionary.fields if f.name in df.columns and f.stats_bucket != "skip"]
+    bad = [f.name for f in present if is_complex(type_of(df, f.name))]
+    if bad:
+        logging.getLogger(__name__).warning("no quick statistics for columns without plain values: %s", bad)
+        present = [f for f in present if f.name not in bad]
     char = [f for f in present if f.stats_bucket == "char"]
     num = [f for f in present if f.stats_bucket == "num"]
     out: dict[str, DataFrame] = {}

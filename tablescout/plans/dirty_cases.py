@@ -25,9 +25,9 @@ from .stats_cases import (
     _customer,
     _orders,
     base_sql,
-    bins_sql,
     duplicate_sql,
     histogram_sql,
+    labelled_bins_sql,
     outlier_sql,
     pattern_sql,
     profile_sql,
@@ -98,25 +98,6 @@ def _quick_stats_sql() -> str:
     return f"{numbers}\nUNION ALL\n{nulls}\nUNION ALL\nSELECT 'top', field, value, CAST(cnt AS DOUBLE) FROM ({top_sql(SOURCE, top, 4)})"
 
 
-def edge_sql(x: str) -> str:
-    return f"regexp_replace(CAST({x} AS VARCHAR), '\\.?0*$', '')"
-
-
-def labelled_bins_sql(source: str, column: str, bins: int, top: int) -> str:
-    """The bin distribution with its labels."""
-    lo, width = f"(mn + bin * ((mx - mn) / {bins}.0))", f"((mx - mn) / {bins}.0)"
-    return f"""SELECT * FROM (WITH h AS (SELECT bin, cnt, CASE WHEN mn = mx THEN mn ELSE {lo} END AS lo,
-  CASE WHEN mn = mx THEN mx ELSE {lo} + {width} END AS hi FROM ({bins_sql(source, column, bins)})),
-r AS (SELECT *, ROW_NUMBER() OVER (ORDER BY cnt DESC, lo) AS rn FROM h),
-t AS (SELECT COUNT(*) AS n, COUNT({column}) AS nn FROM {source}),
-k AS (SELECT CAST(SUM(cnt) AS BIGINT) AS kept FROM r WHERE rn <= {top})
-SELECT '{column}' AS field, 'bin' AS kind, {edge_sql('lo')} || ' - ' || {edge_sql('hi')} AS label,
-  ROUND(lo, 6) AS lo, ROUND(hi, 6) AS hi, cnt, CAST(rn AS INTEGER) AS ord FROM r WHERE rn <= {top}
-UNION ALL SELECT '{column}', 'others', 'Others', NULL, NULL, nn - kept, {top + 1} FROM t, k WHERE nn > kept
-UNION ALL SELECT '{column}', 'not_numeric', '(null or not numeric)', NULL, NULL, n - nn, {top + 2} FROM t WHERE n > nn
-UNION ALL SELECT '{column}', 'total', 'Total', NULL, NULL, n, {top + 3} FROM t)"""
-
-
 def _emails(s, d):
     """Fifteen text columns, each an address on every second customer."""
     key = F.col("c_custkey")

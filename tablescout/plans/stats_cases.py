@@ -137,15 +137,23 @@ def histogram_sql(source: str, column: str, bins: int) -> str:
 FROM ({bins_sql(source, column, bins)})"""
 
 
-def bin_distribution_sql(source: str, column: str, bins: int, top: int) -> str:
-    return f"""SELECT * FROM (WITH h AS ({histogram_sql(source, column, bins)}),
+def edge_sql(x: str) -> str:
+    return f"regexp_replace(CAST({x} AS VARCHAR), '\\.?0*$', '')"
+
+
+def labelled_bins_sql(source: str, column: str, bins: int, top: int) -> str:
+    """The bin distribution with its labels."""
+    lo, width = f"(mn + bin * ((mx - mn) / {bins}.0))", f"((mx - mn) / {bins}.0)"
+    return f"""SELECT * FROM (WITH h AS (SELECT bin, cnt, CASE WHEN mn = mx THEN mn ELSE {lo} END AS lo,
+  CASE WHEN mn = mx THEN mx ELSE {lo} + {width} END AS hi FROM ({bins_sql(source, column, bins)})),
 r AS (SELECT *, ROW_NUMBER() OVER (ORDER BY cnt DESC, lo) AS rn FROM h),
 t AS (SELECT COUNT(*) AS n, COUNT({column}) AS nn FROM {source}),
 k AS (SELECT CAST(SUM(cnt) AS BIGINT) AS kept FROM r WHERE rn <= {top})
-SELECT '{column}' AS field, 'bin' AS kind, lo, hi, cnt, CAST(rn AS INTEGER) AS ord FROM r WHERE rn <= {top}
-UNION ALL SELECT '{column}', 'others', NULL, NULL, nn - kept, {top + 1} FROM t, k WHERE nn > kept
-UNION ALL SELECT '{column}', 'not_numeric', NULL, NULL, n - nn, {top + 2} FROM t WHERE n > nn
-UNION ALL SELECT '{column}', 'total', NULL, NULL, n, {top + 3} FROM t)"""
+SELECT '{column}' AS field, 'bin' AS kind, {edge_sql('lo')} || ' - ' || {edge_sql('hi')} AS label,
+  ROUND(lo, 6) AS lo, ROUND(hi, 6) AS hi, cnt, CAST(rn AS INTEGER) AS ord FROM r WHERE rn <= {top}
+UNION ALL SELECT '{column}', 'others', 'Others', NULL, NULL, nn - kept, {top + 1} FROM t, k WHERE nn > kept
+UNION ALL SELECT '{column}', 'not_numeric', '(null or not numeric)', NULL, NULL, n - nn, {top + 2} FROM t WHERE n > nn
+UNION ALL SELECT '{column}', 'total', 'Total', NULL, NULL, n, {top + 3} FROM t)"""
 
 
 def pattern_sql(source: str, columns) -> str:
@@ -293,10 +301,6 @@ UNION ALL SELECT ord, field, '=== ' || field || ' (' || inferred_semantic || ',
   || ' distinct=' || distinct_count || ' unique%=' || format('{{:.2f}}', unique_pct) FROM p"""
 
 
-def _unlabelled(df: DataFrame) -> DataFrame:
-    return rounded(df, 6, "lo", "hi").drop("label")
-
-
 DAY = "strftime({c}, '%Y%m%d')"
 LINE_TEXTS = {c: f"CAST({c} AS VARCHAR)" for c in LINE_DIMS}
 
@@ -401,10 +405,10 @@ CASES = {
         union(histogram_sql("lineitem", c, 10) for c in LINE_MEASURES),
     ),
     "bin_distribution": (
-        lambda s, d: _unlabelled(
-            distribution.bin_distribution(table(s, d, "lineitem"), ["l_quantity", "l_extendedprice"])
+        lambda s, d: rounded(
+            distribution.bin_distribution(table(s, d, "lineitem"), ["l_quantity", "l_extendedprice"]), 6, "lo", "hi"
         ),
-        union(bin_distribution_sql("lineitem", c, 200, 50) for c in ["l_quantity", "l_extendedprice"]),
+        union(labelled_bins_sql("lineitem", c, 200, 50) for c in ["l_quantity", "l_extendedprice"]),
     ),
     "iqr_outliers": (
         lambda s, d: rounded(quality.iqr_outliers(table(s, d, "events"), ["value", "user_id"]), 6, "outlier_pct"),

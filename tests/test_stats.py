@@ -190,6 +190,13 @@ def test_complex_columns(spark):
         profile.base_metrics(df, ["zzz"])
 
 
+def test_quick_stats_leave_out_fields_without_plain_values(spark, caplog):
+    df = spark.createDataFrame([("a", [1], 2.0)], "k string, l array<int>, x double")
+    out = quickstats.quick_stats(df, Dictionary((Field("k"), Field("l"), Field("x", "Num", "M"), Field("gone"))))
+    assert {r["field"] for r in out["nulls"].collect()} == {"k", "x"}
+    assert "['l']" in caplog.text
+
+
 def test_patterns(spark):
     cells = [" 2024-01-05 ", "2024-01-05x", "10.0.0.255", "10.0.0.256", "A.b@C.org", "a@b", "a@b.org\n", None]
     df = spark.createDataFrame([(c,) for c in cells], "v string")
