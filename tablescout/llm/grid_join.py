@@ -195,7 +195,8 @@ def near_vectors(
         "rep", "least", F.coalesce("component", "rep").alias("component"),
         (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
     )
-    named = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
+    # Written first: a join of two shuffled sides is one that Spark can split where a component is large.
+    named = saved(grouped.groupBy("component").agg(F.min("least").alias("component_id")))
     of_rep = grouped.join(named, "component").select("rep", "n_links", "component_id")
     return rows.select("id", "rep").join(of_rep, "rep", "left").select(
         F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),

@@ -241,6 +241,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     grouped = prints.join(found, prints["fp"] == found["node"], "left").select(
         "fp", "least", F.coalesce("component", "fp").alias("component")
     )
-    least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
+    # Written first: a join of two shuffled sides is one that Spark can split where a component is large.
+    least = saved(grouped.groupBy("component").agg(F.min("least").alias("component_id")))
     named = grouped.join(least, "component").select("fp", "component_id")
     return marked.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
