@@ -8,6 +8,17 @@ from pyspark.sql import functions as F
 from tablescout.llm.common import saved
 
 
+def split_join(rows: DataFrame, one_each: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined to a table with a row per key, so that Spark can split the rows of a hot key.
+
+    Spark splits a partition of a join only where both sides were shuffled for it.  Wrapped in a
+    struct, the key is not the one that ``one_each`` was grouped by, so it is shuffled once more.
+    """
+    wrapped = F.struct(F.col(key).alias("key")).alias("__key")
+    small = one_each.select(wrapped, *[c for c in one_each.columns if c != key])
+    return rows.select("*", wrapped).join(small, "__key").drop("__key")
+
+
 def components(links: DataFrame) -> DataFrame:
     """Rows (node, component) for all nodes of ``links`` (u, v): the smallest node reachable.
 
@@ -22,10 +33,10 @@ def components(links: DataFrame) -> DataFrame:
     while not _are_stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = split_join(both.where("v > u"), least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = saved(large.where("u <> v").distinct())
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        small = split_join(large, low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         edges = saved(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

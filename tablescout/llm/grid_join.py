@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablescout.llm.common import saved
-from tablescout.llm.components import components
+from tablescout.llm.components import components, split_join
 
 #: Vectors that the principal dimensions are fitted on: those with the least hash.  They affect cost only.
 SAMPLE = 5_000
@@ -195,9 +195,8 @@ def near_vectors(
         "rep", "least", F.coalesce("component", "rep").alias("component"),
         (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
     )
-    # Written first: a join of two shuffled sides is one that Spark can split where a component is large.
-    named = saved(grouped.groupBy("component").agg(F.min("least").alias("component_id")))
-    of_rep = grouped.join(named, "component").select("rep", "n_links", "component_id")
+    named = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
+    of_rep = split_join(grouped, named, "component").select("rep", "n_links", "component_id")
     return rows.select("id", "rep").join(of_rep, "rep", "left").select(
         F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component_id", "id").alias("component_id"),

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablescout.llm.common import saved, small_batches, words
-from tablescout.llm.components import components
+from tablescout.llm.components import components, split_join
 
 #: Fingerprints that partitions and thresholds are chosen by: those with the least hash.
 SAMPLE = 2_000
@@ -241,7 +241,6 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     grouped = prints.join(found, prints["fp"] == found["node"], "left").select(
         "fp", "least", F.coalesce("component", "fp").alias("component")
     )
-    # Written first: a join of two shuffled sides is one that Spark can split where a component is large.
-    least = saved(grouped.groupBy("component").agg(F.min("least").alias("component_id")))
-    named = grouped.join(least, "component").select("fp", "component_id")
+    least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = split_join(grouped, least, "component").select("fp", "component_id")
     return marked.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
