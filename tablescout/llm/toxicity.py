@@ -180,8 +180,9 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, allowed: Column, id_col:
     fold = F.pmod(F.crc32(F.concat(F.lit("fold"), F.col("marked").cast("string"))), F.lit(FOLDS)).cast("int")
     # One row speaks for each id, however often it is repeated.
     rows = saved(
-        docs.join(F.broadcast(sample), F.col(id_col) == F.col("marked"))
-        .groupBy("marked", "toxic").agg(F.max(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
+        docs.select(F.col(id_col).alias("marked"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+        .join(F.broadcast(sample), "marked")
+        .groupBy("marked", "toxic").agg(F.max("text").alias("text"))
         .select("text", "toxic", fold.alias("fold"))
     )
     counts = _class_counts(rows)

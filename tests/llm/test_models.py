@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tablescout.llm import logbilinear, toxicity
+from tablescout.llm import decontaminate, line_dedup, logbilinear, sharding, simhash, toxicity
 from tablescout.llm.common import in_fold
 from tests.llm import brute
 
@@ -88,6 +88,24 @@ def test_nothing_to_learn_from(spark):
         assert [r[0].score < 0.1 for r in docs.select(toxicity.toxicity_column(F.col("text"), model)).collect()] == [True]
 
 
+CLASHES = ["id", "marked", "toxic", "fold", "h", "row", "n", "word", "kind", "c", "p", "rare", "label", "cell", "shard", "slot", "line", "pos", "key", "m"]
+
+
+def test_extra_columns_with_clashing_names(spark):
+    """Operators read the id and the text only, whatever other columns are called."""
+    rows, labels = toxic_corpus(120)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("*", *[F.lit("x").alias(c) for c in CLASHES])
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int").withColumn("marked", F.lit("x"))
+    model = toxicity.learn_toxicity(docs, marks, F.lit(True))
+    assert docs.select("*", toxicity.toxicity_column(F.col("text"), model)["score"]).count() == 120
+    assert logbilinear.language_scores(docs, F.lit(True)).count() == 120
+    assert simhash.simhash_components(docs).count() == 120
+    assert sharding.shard_by_bytes(docs, 4).count() == 120
+    assert line_dedup.drop_lines(docs).count() == 120
+    items = spark.createDataFrame([(1, rows[0][1])], "item_id long, text string").withColumn("hit", F.lit(1))
+    assert decontaminate.contaminated(docs.withColumn("hit", F.lit(2)), items).count() == 1
+
+
 # Language model
 
 
