@@ -65,11 +65,12 @@ class Benchmark:
                 continue
             sets = {tuple(found[i : i + own]) for i in range(len(found) - own + 1)}
             needed = self.needed(len(sets))
-            self.items[place] = (item_id, own, sets, needed)
+            marks = np.unique(hashes.shingles(found, own))
+            self.items[place] = (item_id, own, sets, needed, marks)
             # A size class spans (2^(k-1), 2^k] shingles; all its items keep as many minima as its largest needs.
             top = 1 << (len(sets) - 1).bit_length()
             keep = min(len(sets), max(top - self.needed(top), len(sets) - needed) + 1)
-            for h in np.unique(hashes.shingles(found, own))[:keep].tolist():
+            for h in marks[:keep].tolist():
                 minima[own][h].append(place)
         self.classes = {}
         for own, table in minima.items():
@@ -85,16 +86,16 @@ class Benchmark:
         found, hits = words(text), []
         for own, (bloom, table) in self.classes.items():
             marks = hashes.shingles(found, own)
-            marks = marks[bloom[marks >> np.uint64(64 - FILTER_BITS)]]
-            candidates = {place for h in set(marks.tolist()) for place in table.get(h, ())}
-            # Too few shingles for a size class: none of its items can be contained.
-            candidates = [c for c in candidates if self.items[c][3] <= len(found) - own + 1]
-            if not candidates:
-                continue
-            there = set(zip(*(found[k:] for k in range(own)), strict=False))
+            kept = marks[bloom[marks >> np.uint64(64 - FILTER_BITS)]]
+            candidates = {place for h in set(kept.tolist()) for place in table.get(h, ())}
             for place in candidates:
-                item_id, _, sets, needed = self.items[place]
-                shared = len(sets & there)
+                item_id, _, sets, needed, item_marks = self.items[place]
+                # Too few shingles for its size class: the item can't be contained.
+                if needed > len(marks):
+                    continue
+                # Shared shingles share hashes, so only places with an item's hash are looked at as words.
+                places = np.flatnonzero(np.isin(marks, item_marks)).tolist()
+                shared = len(sets & {tuple(found[i : i + own]) for i in places})
                 if shared >= needed:
                     hits.append({"item_id": item_id, "n_shingles": len(sets), "n_shared": shared, "containment": shared / len(sets)})
         return sorted(hits, key=lambda hit: hit["item_id"])
