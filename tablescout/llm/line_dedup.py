@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablescout.llm.common import BLANKS, lower_ascii, saved
+from tablescout.llm.components import split_join
 
 #: Slices that the rows of one line are dealt to.
 SALTS = 256
@@ -59,7 +60,7 @@ def keep_bitmaps(
     shared = firsts.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc").alias("last")).where(
         F.col("n") >= min_docs
     )
-    going = lines.join(shared, ["h1", "h2"]).where(F.col("doc") < F.col("last"))
+    going = split_join(lines, shared, "h1", "h2").where(F.col("doc") < F.col("last"))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.col("pos"), F.lit(64)))
     word = F.floor(F.col("pos") / 64).cast("int").alias("word")
     return going.groupBy("doc", "text_hash", word).agg(F.bit_or(bit).alias("bits"))
