@@ -107,7 +107,7 @@ def allocate(sample: np.ndarray, groups: list[list[int]], radius: int, n: int) -
         costs = [(0, 0.0)]
         for t in range(radius + 1):
             masks = comb(len(group), t)
-            if masks > MOST_MASKS:
+            if not 0 < masks <= MOST_MASKS:
                 break
             met = sum((near[d] + 0.1 / (d + 1)) * comb(len(group) - d, t - d) for d in range(t + 1))
             costs.append((t + 1, 4.0 * n * masks + met * 0.05 * n * n / 2 / pairs))
@@ -184,29 +184,30 @@ def _verified(rows: np.ndarray, cuts: np.ndarray, radius: int) -> pd.DataFrame:
     return pd.DataFrame(links, columns=["u", "v"], dtype="int64")
 
 
-def near_links(prints: DataFrame, radius: int = 3) -> DataFrame:
-    """Links (u, v) between distinct fingerprints (column ``fp``) that connect all within ``radius`` bits.
+def dealt_keys(
+    prints: DataFrame, radius: int, partitions: tuple[int, ...] = PARTITIONS, carried: tuple[str, ...] = ("fp",)
+) -> DataFrame | None:
+    """Rows (mask, key, pair, side, *carried), sorted, in which fingerprints within ``radius`` bits share a key.
 
-    Not every pair is named: of the fingerprints that share a key a spanning forest of the true
-    links remains, which connects the same components.
+    None where there are fewer than two rows.
     """
     n = prints.count()
     if n < 2:
-        return prints.select(F.col("fp").alias("u"), F.col("fp").alias("v")).where("u <> v")
-    sample = prints.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+        return None
+    sample = prints.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).select("fp").toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     plans = []
-    for parts in PARTITIONS:
+    for parts in partitions:
         groups = group_bits(sample, parts)
         plans.append((*allocate(sample, groups, radius, n), groups))
     _, thresholds, groups = min(plans, key=lambda plan: plan[0])
     masks = F.array(*(F.struct(F.lit(i).alias("mask"), F.lit(_signed(m)).alias("keep")) for i, m in _masks(groups, thresholds)))
-    keyed = prints.select("fp", F.explode(masks).alias("m")).select(
-        F.col("m.mask").alias("mask"), F.col("fp").bitwiseAND(F.col("m.keep")).alias("key"), "fp"
+    keyed = prints.select(*carried, F.explode(masks).alias("m")).select(
+        F.col("m.mask").alias("mask"), F.col("fp").bitwiseAND(F.col("m.keep")).alias("key"), *carried
     )
     # Keys of many fingerprints are verified block by block; the table of such keys is short.
     full = keyed.groupBy("mask", "key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    own = F.pmod(F.xxhash64(*carried), F.col("blocks")).cast("int")
     pairs = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
         lambda other: F.struct(
@@ -218,10 +219,21 @@ def near_links(prints: DataFrame, radius: int = 3) -> DataFrame:
         keyed.join(full, ["mask", "key"])
         .withColumn("blocks", blocks)
         .withColumn("own", own)
-        .select("mask", "key", "fp", F.explode(pairs).alias("p"))
-        .select("mask", "key", F.col("p.pair").cast("long").alias("pair"), F.col("p.side").alias("side"), "fp")
+        .select("mask", "key", *carried, F.explode(pairs).alias("p"))
+        .select("mask", "key", F.col("p.pair").cast("long").alias("pair"), F.col("p.side").alias("side"), *carried)
     )
-    tasks = dealt.repartition("mask", "key", "pair").sortWithinPartitions("mask", "key", "pair", "side")
+    return dealt.repartition("mask", "key", "pair").sortWithinPartitions("mask", "key", "pair", "side")
+
+
+def near_links(prints: DataFrame, radius: int = 3) -> DataFrame:
+    """Links (u, v) between distinct fingerprints (column ``fp``) that connect all within ``radius`` bits.
+
+    Not every pair is named: of the fingerprints that share a key a spanning forest of the true
+    links remains, which connects the same components.
+    """
+    tasks = dealt_keys(prints, radius)
+    if tasks is None:
+        return prints.select(F.col("fp").alias("u"), F.col("fp").alias("v")).where("u <> v")
     return tasks.mapInPandas(_linker(radius), "u long, v long")
 
 

@@ -66,3 +66,22 @@ def test_run_on_given_tables(spark, sf_dir):
     expected = {i: brute.sha(t) for i, t in rows if i not in leaked}
     out = corpus_pipeline.run(spark, sf_dir).collect()
     assert {r.doc_id: r.decoded_sha256 for r in out} == expected and len(out) == len(expected)
+
+
+def jaccard(a, b):
+    a, b = ({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in map(brute.words, (a, b)))
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_near_copies_of_five_words(spark, tables):
+    """Edited copies down to a Jaccard similarity of 0.8 go, those below stay: brute force over all pairs."""
+    texts = []
+    for base in range(12):
+        plain = [f"b{base}w{i}" for i in range(300)]
+        for edits in (0, 3, 5, 8, 20):
+            gone = {(edits * 7 + base + k * 300 // max(1, edits)) % 300 for k in range(edits)}
+            texts.append(" ".join("new" if i in gone else w for i, w in enumerate(plain)))
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a) if jaccard(texts[a], texts[b]) >= 0.8]
+    kept = [i for i, c in enumerate(brute.classes(len(texts), pairs)) if i == c]
+    out = corpus_pipeline.drop_near_duplicates(spark, frame(spark, texts), tables)
+    assert sorted(r.doc_id for r in out.collect()) == kept and len(kept) == 36
