@@ -18,6 +18,8 @@ PAGE_SIZE = 100
 # Order terms of so many rows are ranked at once; deeper positions are narrowed first, by the same order.
 RANKED_ROWS = 100_000
 SAMPLE_ROWS = 5_000
+# Of a page of more rows than these only the border rows' terms reach the driver.
+COLLECTED_ROWS = 1_000
 
 SortKey = tuple[str, bool]
 
@@ -154,7 +156,10 @@ def page(
     shown = list(columns or df.columns)
     terms = _terms(rows, sort_keys(user, keys), shown)
     offset = max(0, index) * size
-    found = _rows_at(rows, terms, offset, size, total, max(ranked_rows, 2 * size))
+    if size > COLLECTED_ROWS:
+        found = _large_page(rows, terms, offset, size, rows.count() if total is None else total, ranked_rows)
+    else:
+        found = _rows_at(rows, terms, offset, size, total, max(ranked_rows, 2 * size))
     return found if columns is None else found.select(*[qcol(c) for c in columns])
 
 
@@ -247,6 +252,30 @@ def _rows_at(rows: DataFrame, terms: Sequence[_Term], offset: int, size: int, to
     return level.unionAll(rest).orderBy(*order)
 
 
+def _large_page(rows: DataFrame, terms: Sequence[_Term], offset: int, size: int, total: int, ranked_rows: int) -> DataFrame:
+    """The ``size`` rows from ``offset`` on, in order; the driver holds the first and the last row's terms only."""
+    end = min(offset + size, total)
+    if offset >= end:
+        return rows.limit(0)
+    border = []
+    for place in (offset, end - 1):
+        found = _rows_at(rows, terms, place, 1, total, max(ranked_rows, 2))
+        border.append(list(found.select(*[t.kept.alias(f"k{i}") for i, t in enumerate(terms)]).first()))
+    cuts = [_comes_before(terms, row, level) for row in border for level in (False, True)]
+    before_first, upto_first, before_last, upto_last = rows.agg(*[F.count_if(c).alias(f"c{i}") for i, c in enumerate(cuts)]).first()
+    order = [t.sort for t in terms]
+    if before_first == before_last:
+        return rows.filter(cuts[1] & ~cuts[0]).limit(end - offset)
+    # Copies of a border row may lie on both sides of the border; any of them will do.
+    cut_first, cut_last = before_first < offset, upto_last > end
+    page_rows = rows.filter(~cuts[1 if cut_first else 0] & cuts[2 if cut_last else 3])
+    if cut_first:
+        page_rows = page_rows.unionAll(rows.filter(cuts[1] & ~cuts[0]).limit(upto_first - offset))
+    if cut_last:
+        page_rows = page_rows.unionAll(rows.filter(cuts[3] & ~cuts[2]).limit(end - before_last))
+    return page_rows.orderBy(*order)
+
+
 def next_page(
     df: DataFrame,
     last: dict,

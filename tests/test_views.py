@@ -232,3 +232,26 @@ def test_distinct_values(spark):
     assert [r["value"] for r in filters.distinct_values(df, "x").collect()] == ["10.0", "2.0", None]
     assert [r["value"] for r in filters.distinct_values(df, "x", contains=" 0.0").collect()] == ["10.0"]
     assert filters.distinct_values(df, "x", limit=1).count() == 1
+
+
+def test_large_pages_keep_terms_off_the_driver(spark, monkeypatch):
+    """Pages of many rows are right, copies on their borders too, and no collected frame has more than two rows."""
+    rows = [(i % 7, i // 3 % 11, "x" if i % 5 else None) for i in range(900)]
+    df = spark.createDataFrame(rows, "a int, b int, c string").repartition(5)
+    seen, collect = [], type(df).collect
+
+    def counted(self):
+        out = collect(self)
+        seen.append(len(out))
+        return out
+
+    monkeypatch.setattr(grid, "COLLECTED_ROWS", 10, raising=False)
+    monkeypatch.setattr(type(df), "collect", counted)
+    pages = [grid.page(df, [("b", False)], ["a"], index=i, size=250, total=900, ranked_rows=100) for i in range(4)]
+    largest = max(seen)
+    monkeypatch.undo()
+    got = [[tuple(r) for r in p.collect()] for p in pages]
+    assert [len(p) for p in got] == [250, 250, 250, 150] and largest <= 2
+    assert sorted(map(repr, sum(got, []))) == sorted(map(repr, rows))
+    keys = [(-b, a) for a, b, _ in sum(got, [])]
+    assert keys == sorted(keys)
