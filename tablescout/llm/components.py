@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 from tablescout.llm.common import saved
 
 
-def split_join(rows: DataFrame, one_each: DataFrame, *keys: str) -> DataFrame:
-    """``rows`` joined to a table with a row per key, so that Spark can split the rows of a hot key.
+def split_join(rows: DataFrame, one_each: DataFrame, *keys: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined (inner or left) to a table with a row per key, so that Spark can split the rows of a hot key.
 
     Spark splits a partition of a join only where both sides were shuffled for it.  Wrapped in a
     struct, the key is not the one that ``one_each`` was grouped by, so it is shuffled once more.
     """
     wrapped = F.struct(*keys).alias("__key")
     small = one_each.select(wrapped, *[c for c in one_each.columns if c not in keys])
-    return rows.select("*", wrapped).join(small, "__key").drop("__key")
+    return rows.select("*", wrapped).join(small, "__key", how).drop("__key")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -5,7 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescout.llm import byte_bpe, decontaminate, grid_join, line_dedup, logbilinear, sharding, simhash, token_counts, toxicity, url_rules
+from tablescout.llm import (
+    byte_bpe,
+    decontaminate,
+    filter_audit,
+    grid_join,
+    line_dedup,
+    logbilinear,
+    secrets,
+    sharding,
+    simhash,
+    source_audit,
+    token_counts,
+    toxicity,
+    url_rules,
+)
+from tablescout.llm.audit_sql import OP11_SQL, OP12_SQL, OP13_SQL
 from tablescout.llm.common import in_fold, small_batches
 
 #: Rules over URLs: verdict, and host with path.
@@ -102,6 +117,24 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    return filter_audit.filter_orders(filter_audit.mask_counts(table(spark, sf_dir, "documents"), labels))
+
+
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    base = secrets.KINDS[:3]
+    return found.select(
+        "doc_id", *(F.size(kind).cast("long").alias(f"n_{kind}") for kind in base),
+        F.sha2(secrets.span_list(*base), 256).alias("base_sha256"), secrets.span_list(*secrets.KINDS).alias("spans"),
+    )
+
+
 #: Rules over URLs as rows of the SQL form, longest first.
 _RULE_ROWS = ", ".join(
     f"('{verdict}', '{rule}', '{rule.partition('/')[0]}', '/{rule.partition('/')[2]}')" for verdict, rule in URL_RULES
@@ -187,12 +220,15 @@ GROUP BY doc_id, item_id HAVING count(*) >= ceil(0.8 * any_value(n) - 1e-9)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": OP4_SQL, "op8_line_dedup": OP8_SQL, "op9_near_vectors": OP9_SQL, "op10_decontamination": OP10_SQL}
+    return {
+        "op4_url_filter": OP4_SQL, "op8_line_dedup": OP8_SQL, "op9_near_vectors": OP9_SQL, "op10_decontamination": OP10_SQL,
+        "op11_filter_audit": OP11_SQL, "op12_source_audit": OP12_SQL, "op13_secrets": OP13_SQL,
+    }
 
 
 def queries() -> dict:
     own = [
         op1_toxicity, op2_token_counts, op3_sharding, op4_url_filter, op5_simhash, op6_byte_bpe, op7_lm_scores,
-        op8_line_dedup, op9_near_vectors, op10_decontamination,
+        op8_line_dedup, op9_near_vectors, op10_decontamination, op11_filter_audit, op12_source_audit, op13_secrets,
     ]
     return {query.__name__: query for query in own}

@@ -14,7 +14,7 @@ def documents(spark, sf_dir):
 
 
 def test_names():
-    assert [name.split("_")[0] for name in queries.queries()] == [f"op{n}" for n in range(1, 11)]
+    assert [name.split("_")[0] for name in queries.queries()] == [f"op{n}" for n in range(1, 14)]
 
 
 def test_token_counts(spark, sf_dir, documents):
