@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tablescout.llm.secrets import JUDGED, LEARNT, MARGIN, PATTERNS, PRIOR, SYMBOLS
+from tablescout.llm.secrets import JUDGED, LEARNT, MARGIN, MIXED, PATTERNS, PRIOR, SYMBOLS
 
 LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
@@ -110,7 +110,8 @@ WITH docs AS (
 ), ordinary AS (
     SELECT DISTINCT unnest(regexp_extract_all(t, {_quoted(LEARNT)})) AS value FROM docs
 ), labelled AS (
-    SELECT value, 1 AS label FROM random UNION ALL SELECT value, 0 FROM ordinary WHERE value NOT IN (SELECT value FROM random)
+    SELECT value, 1 AS label FROM random UNION ALL SELECT value, 0 FROM ordinary
+    WHERE NOT regexp_matches(value, {_quoted(MIXED)}) AND value NOT IN (SELECT value FROM random)
 ), steps AS (
     SELECT label, CASE WHEN i = 1 THEN 0 ELSE strpos('{SYMBOLS}', value[i - 1]) END AS before, strpos('{SYMBOLS}', value[i]) AS after
     FROM (SELECT label, value, unnest(range(1, length(value) + 1)) AS i FROM labelled)

@@ -1,7 +1,8 @@
 """Secrets in texts: three fixed patterns, and random-looking strings by character Markov models.
 
 In DataFrame expressions only.  The patterns' own finds are labelled samples of random strings,
-all other long strings of the corpus samples of ordinary identifiers.  Transitions from character
+strings of words in one case and numbers, joined by symbols, are samples of ordinary identifiers.
+Other strings have no label.  Transitions from character
 to character are counted in the distinct strings of either label; a string that no pattern finds
 is a secret too if the log-likelihood ratio of the two models passes a margin.  The ratios travel
 as one array of integers inside the expression, so scanning needs no join.
@@ -41,6 +42,9 @@ SYMBOLS = string.ascii_letters + string.digits + "+/_-"
 LEARNT = r"[A-Za-z0-9+/_-]{8,}"
 JUDGED = r"[A-Za-z0-9+/_-]{16,}"
 
+#: What no string labelled as ordinary holds: letters of both cases in a word but for a first capital, or letters beside digits.
+MIXED = "[a-z][A-Z0-9]|[A-Z][0-9]|[0-9][A-Za-z]|[A-Z][A-Z][a-z]"
+
 #: What each transition counts beforehand; log-likelihood ratio, in thousandths, that a secret passes.
 PRIOR, MARGIN = 0.5, 12_000
 
@@ -136,12 +140,12 @@ def randomness(value: Column, ratios: list[int]) -> Column:
 
 
 def labelled_strings(texts: DataFrame, spans: DataFrame, text: str = "text") -> DataFrame:
-    """Distinct strings (value, random): those that a fixed pattern finds, and all others of the texts."""
+    """Distinct strings (value, random): those that a fixed pattern finds, and others of the texts that look ordinary."""
     parts = F.flatten(F.transform("assign", lambda s: F.regexp_extract_all(s["value"], F.lit(LEARNT), F.lit(0))))
     whole = F.transform(F.concat("access", "hex"), lambda s: s["value"])
     random = spans.select(F.explode(F.concat(parts, whole)).alias("value")).distinct()
     every = texts.select(F.explode(F.regexp_extract_all(text, F.lit(LEARNT), F.lit(0))).alias("value")).distinct()
-    ordinary = every.join(random, "value", "left_anti")
+    ordinary = every.where(~F.col("value").rlike(MIXED)).join(random, "value", "left_anti")
     return random.withColumn("random", F.lit(True)).unionByName(ordinary.withColumn("random", F.lit(False)))
 
 
