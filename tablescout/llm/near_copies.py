@@ -1,15 +1,17 @@
 """Near copies: texts whose sets of word shingles have a Jaccard similarity of a threshold or more.
 
 Texts with the same shingles are one node.  Candidates come from SimHash's pigeonhole search with a
-wide radius, and every link is verified on the shingles themselves.  The first round verifies only
-forests of candidates, nearest first, so a large group of copies costs about one check a node.  The
-second takes all candidates that lie in different groups after the first, so no candidate pair that
-could join two groups stays unverified.
+wide radius; a second sketch, one bit of each of 128 minima of the shingle hashes, refuses most of
+them where they are found.  Every link is then verified on the sets of shingle hashes.  The first
+round verifies only forests of candidates, nearest first, so a large group of copies costs about
+one check a node.  Groups that a refused candidate leaves open are settled in a second round: their
+nodes meet block by block with their sets of hashes, every candidate that could still join two
+groups is checked on the spot, and only links that do so come out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import pairwise
 
 import numpy as np
@@ -18,92 +20,154 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablescout.llm.common import saved, words
-from tablescout.llm.components import components
-from tablescout.llm.simhash import dealt_keys, fingerprint
+from tablescout.llm.components import components, split_join
+from tablescout.llm.simhash import dealt_keys
 
 #: Words of a shingle and the least Jaccard similarity of near copies.
 SHINGLE, SIMILAR = 5, 0.8
 
-#: Bits that candidates may differ in.  At a similarity of 0.8 about 10 are expected, with a deviation of 3.
+#: Bits that candidates may differ in.  At a similarity of 0.8 about 10 are expected, with a deviation of 3;
+#: measured on the test data 0.987 of the links or more lie within 14 (README).
 RADIUS = 14
 
 #: Numbers of partitions that the pigeonhole search chooses from for so wide a radius.
 PARTITIONS = (3, 4, 5, 6, 7)
 
-#: Fingerprints compared with a block at a time.
-STRIP = 256
+#: Minima whose bits make the second sketch, and the bits of it that candidates may differ in: at a
+#: similarity of 0.8 a tenth of them is expected to, with a deviation of 3.4; of unlike texts, half.
+MINIMA, APART = 128, 32
 
+#: Fingerprints compared with a block at a time, and rows of a key that one task compares at most.
+STRIP, BLOCK = 256, 1_024
+
+#: Shingles hashed at a time, and shingle hashes of a block of the second round.
+CHUNK, BLOCK_HASHES = 1 << 16, 1 << 18
+
+#: Columns that travel with a key.
+CARRIED = ("fp", "s1", "s2", "node", "size", "label")
+
+
+def shingle_hashes(text: str | None) -> np.ndarray:
+    """64-bit hashes of a text's word shingles in order; fewer words make one shingle, none give none."""
+    import xxhash
 
-def shingle_set(text: str | None) -> set[bytes]:
-    """Word shingles of a text; fewer words make one shingle, none give the empty set."""
     found = words(text)
-    return {b" ".join(found[i : i + SHINGLE]) for i in range(max(1, len(found) - SHINGLE + 1))} if found else set()
+    line, size = b" ".join(found), len(found)
+    ends = np.cumsum(np.fromiter(map(len, found), np.int64, size) + 1) - 1
+    starts, width = np.concatenate([[0], ends + 1]), min(SHINGLE, size)
+    total, hash_of = size - width + 1 if size else 0, xxhash.xxh64_intdigest
+    out = np.empty(total, np.uint64)
+    for at in range(0, total, CHUNK):
+        to = min(at + CHUNK, total)
+        spans = zip(starts[at:to].tolist(), ends[at + width - 1 : to + width - 1].tolist(), strict=True)
+        out[at:to] = [hash_of(line[a:b], 42) for a, b in spans]
+    return out
+
+
+def _simhash(hashes: np.ndarray) -> np.ndarray:
+    """The bits that over half of the hashes have, as one number; zero for none."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), CHUNK):
+        bits = np.unpackbits(hashes[at : at + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones += bits.sum(axis=0, dtype=np.int64)
+    return np.packbits((ones * 2 > len(hashes)).astype(np.uint8), bitorder="little").view("<i8")
+
+
+def _minima_bits(own: np.ndarray) -> np.ndarray:
+    """One bit of the least value of each of 128 linear hashes over the set, as two numbers."""
+    draw = np.random.Generator(np.random.PCG64(11)).integers(0, 1 << 63, (2, MINIMA), np.uint64)
+    factor, offset = (draw[0] * np.uint64(2) + np.uint64(1))[:, None], (draw[1] * np.uint64(2))[:, None]
+    least = np.full(MINIMA, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(own), 2_048):
+        least = np.minimum(least, (own[None, at : at + 2_048] * factor + offset).min(axis=1))
+    bits = ((least >> np.uint64(21)) & np.uint64(1)).astype(np.uint8)
+    return np.packbits(bits, bitorder="little").view("<i8")
 
 
 def node_column(text: Column) -> Column:
-    """Struct (node, fp, size): a hash of the shingle set, SimHash of the shingles, size of the set."""
+    """Struct (node, fp, s1, s2, size): hash of the set of shingle hashes, SimHash of the shingles, second sketch, size."""
 
-    @F.pandas_udf("node long, fp long, size long")
+    @F.pandas_udf("node long, fp long, s1 long, s2 long, size long")
     def mark(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import xxhash
 
         for texts in batches:
-            sets = [shingle_set(t) for t in texts]
-            nodes = [xxhash.xxh64_intdigest(b"\n".join(sorted(s)), 42) for s in sets]
-            prints = [fingerprint(t, SHINGLE) for t in texts]
-            yield pd.DataFrame({
-                "node": np.array(nodes, np.uint64).view(np.int64), "fp": np.array(prints, np.uint64).view(np.int64),
-                "size": np.array([len(s) for s in sets], np.int64),
-            })
+            out = np.zeros((len(texts), 5), np.int64)
+            for row, text in zip(out, texts, strict=True):
+                hashes = shingle_hashes(text)
+                own = np.unique(hashes)
+                row[0] = np.uint64(xxhash.xxh64_intdigest(own.tobytes(), 42)).view(np.int64)
+                row[1], row[2:4], row[4] = _simhash(hashes)[0], _minima_bits(own), len(own)
+            yield pd.DataFrame(out, columns=["node", "fp", "s1", "s2", "size"])
 
     return mark(F.coalesce(text, F.lit("")))
 
 
+def hash_set_column(text: Column) -> Column:
+    """The distinct shingle hashes of a text."""
+
+    @F.pandas_udf("array<long>")
+    def sets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([np.unique(shingle_hashes(t)).view(np.int64) for t in texts])
+
+    return sets(F.coalesce(text, F.lit("")))
+
+
+#: Places of a run's columns: four of the key, then CARRIED.
+FP, S1, S2, NODE, SIZE, LABEL = range(4, 10)
+
+
 def _near(rows: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Places and distances of pairs of a run that may be near copies and have different labels."""
-    size, label = rows[:, 6], rows[:, 7]
-    prints = rows[:, 4].copy().view(np.uint64)
+    size, label = rows[:, SIZE], rows[:, LABEL]
+    marks = [rows[:, c].copy().view(np.uint64) for c in (FP, S1, S2)]
     for at in range(0, len(left), STRIP):
         a = left[at : at + STRIP]
-        far = np.bitwise_count(prints[a][:, None] ^ prints[right][None, :])
+        far = np.bitwise_count(marks[0][a][:, None] ^ marks[0][right][None, :])
         i, j = np.nonzero(far <= RADIUS)
-        d, i, j = far[i, j], a[i], right[j]
+        i, j = a[i], right[j]
+        d = np.bitwise_count(marks[1][i] ^ marks[1][j]).astype(np.int64) + np.bitwise_count(marks[2][i] ^ marks[2][j])
         fit = np.minimum(size[i], size[j]) >= SIMILAR * np.maximum(size[i], size[j]) - 1e-9
-        fit &= (label[i] != label[j]) & (rows[i, 5] != rows[j, 5])
+        fit &= (d <= APART) & (label[i] != label[j]) & (rows[i, NODE] != rows[j, NODE])
         yield i[fit], j[fit], d[fit]
 
 
-def _pairs(run: np.ndarray, forest: bool) -> list[tuple[int, int]]:
-    """Candidates of one run: all of them, or a forest of the nearest that connects the same nodes."""
+def _sorted_pairs(run: np.ndarray) -> tuple[list[int], list[int]]:
+    """Places of all candidates of a run, nearest first."""
     second = run[:, 3] == 1
     left = np.flatnonzero(~second)
     found = list(_near(run, left, np.flatnonzero(second) if second.any() else left))
     i, j, d = (np.concatenate([f[k] for f in found]) for k in range(3))
-    nodes = run[:, 5]
-    if not forest:
-        return list(zip(np.minimum(nodes[i], nodes[j]).tolist(), np.maximum(nodes[i], nodes[j]).tolist(), strict=True))
-    links, root = [], list(range(len(run)))
+    order = np.argsort(d, kind="stable")
+    return i[order].tolist(), j[order].tolist()
+
+
+def _forest(run: np.ndarray, near: Callable[[int, int], bool] = lambda i, j: True) -> list[tuple[int, int]]:
+    """Links (u, v) of a run's nearest candidates that ``near`` accepts and that join labels still apart."""
+    nodes, labels, links = run[:, NODE], run[:, LABEL].tolist(), []
+    root = {label: label for label in labels}
 
     def top(x: int) -> int:
         while root[x] != x:
             root[x] = x = root[root[x]]
         return x
 
-    for k in np.argsort(d, kind="stable").tolist():
-        a, b = top(int(i[k])), top(int(j[k]))
-        if a != b:
+    for i, j in zip(*_sorted_pairs(run), strict=True):
+        a, b = top(labels[i]), top(labels[j])
+        if a != b and near(i, j):
             root[a] = b
-            u, v = int(nodes[i[k]]), int(nodes[j[k]])
+            u, v = int(nodes[i]), int(nodes[j])
             links.append((min(u, v), max(u, v)))
     return links
 
 
-def _candidates(nodes: DataFrame, forest: bool) -> DataFrame | None:
-    """Distinct pairs (u, v) of nodes with different ``label`` that share a key and lie within the radius."""
-    tasks = dealt_keys(nodes, RADIUS, PARTITIONS, ("fp", "node", "size", "label"))
+def _candidates(nodes: DataFrame) -> DataFrame | None:
+    """Distinct pairs (u, v) of nodes within both sketches' bounds: a forest for each key that nodes share."""
+    tasks = dealt_keys(nodes, RADIUS, PARTITIONS, CARRIED, BLOCK)
     if tasks is None:
         return None
-    names = ("mask", "key", "pair", "side", "fp", "node", "size", "label")
+    names = ("mask", "key", "pair", "side", *CARRIED)
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = np.zeros((0, len(names)), np.int64)
@@ -113,7 +177,7 @@ def _candidates(nodes: DataFrame, forest: bool) -> DataFrame | None:
             cuts = (np.flatnonzero((rest[1:, :3] != rest[:-1, :3]).any(axis=1)) + 1).tolist()
             # The last run may go on in the next batch.
             ends = [0, *cuts] if batch is not None else [0, *cuts, len(rest)]
-            links = {p for a, b in pairwise(ends) if b - a > 1 for p in _pairs(rest[a:b], forest)}
+            links = {p for a, b in pairwise(ends) if b - a > 1 for p in _forest(rest[a:b])}
             yield pd.DataFrame(list(links), columns=["u", "v"], dtype="int64")
             rest = rest[ends[-1] :]
 
@@ -126,52 +190,112 @@ def _ended(batches: Iterator) -> Iterator:
     yield None
 
 
-def _verified(links: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links whose texts (node, text) have a Jaccard similarity of ``SIMILAR`` or more."""
+def _hash_sets(links: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows (node, own): the sets of shingle hashes of the nodes that ``links`` name, written."""
+    ends = links.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    wanted = ends.join(nodes.select("node", "place"), "node")
+    held = texts.join(wanted.hint("shuffle_hash"), "place")
+    return saved(held.select("node", hash_set_column(F.col("text")).alias("own")))
+
+
+def _verified(links: DataFrame, held: DataFrame) -> DataFrame:
+    """Links whose sets of shingle hashes have a Jaccard similarity of ``SIMILAR`` or more."""
+    both = links.join(held.select(F.col("node").alias("u"), F.col("own").alias("first")), "u")
+    both = both.join(held.select(F.col("node").alias("v"), F.col("own").alias("second")), "v")
+    shared, sizes = F.size(F.array_intersect("first", "second")), F.size("first") + F.size("second")
+    return both.where(shared >= SIMILAR * (sizes - shared) - 1e-9).select("u", "v")
+
+
+def _settled(left: DataFrame, held: DataFrame) -> DataFrame:
+    """Links (u, v) of near copies that join all labels of ``left`` that can be joined within a value of ``wide``."""
+    blocks = left.groupBy("wide").agg(F.ceil(F.sum("size") / BLOCK_HASHES).cast("int").alias("blocks"))
+    dealt = split_join(left, blocks.withColumn("blocks", F.greatest("blocks", F.lit(1))), "wide")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    pairs = F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1),
+        lambda other: F.struct(
+            (F.least(own, other) * F.col("blocks") + F.greatest(own, other)).alias("pair"), (own > other).cast("int").alias("side")
+        ),
+    )
+    dealt = dealt.join(held, "node").select("wide", "own", *CARRIED, F.explode(pairs).alias("p"))
+    dealt = dealt.select("wide", "p.pair", "p.side", "own", *CARRIED)
+    names = ("wide", "pair", "pair", "side", *CARRIED)
+
+    def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come sorted by wide, pair, side; one run of a pair of blocks is held at a time."""
+        rows, sets = np.zeros((0, len(names)), np.int64), []
+
+        def near(first: int) -> Callable[[int, int], bool]:
+            def check(i: int, j: int) -> bool:
+                a, b = sets[first + i], sets[first + j]
+                shared = len(np.intersect1d(a, b, assume_unique=True))
+                return shared >= SIMILAR * (len(a) + len(b) - shared) - 1e-9
+
+            return check
 
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            near, last, own = [], None, set()
-            for u, first, second in zip(batch["u"], batch["first"], batch["second"], strict=True):
-                if u != last:
-                    last, own = u, shingle_set(first)
-                other = shingle_set(second)
-                shared = len(own & other)
-                near.append(shared >= SIMILAR * (len(own) + len(other) - shared) - 1e-9)
-            yield batch.loc[np.array(near, bool), ["u", "v"]]
+        for batch in _ended(batches):
+            if batch is not None:
+                rows = np.concatenate([rows, np.column_stack([batch[c].to_numpy(np.int64) for c in names])])
+                sets += list(batch["own"])
+            cuts = (np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(axis=1)) + 1).tolist()
+            ends = [0, *cuts] if batch is not None else [0, *cuts, len(rows)]
+            links = [p for a, b in pairwise(ends) if b - a > 1 for p in _forest(rows[a:b], near(a))]
+            yield pd.DataFrame(links, columns=["u", "v"], dtype="int64")
+            rows, sets = rows[ends[-1] :], sets[ends[-1] :]
 
-    ends = links.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    held = saved(texts.join(ends.hint("shuffle_hash"), "node"))
-    both = links.join(held.select(F.col("node").alias("u"), F.col("text").alias("first")), "u")
-    both = both.join(held.select(F.col("node").alias("v"), F.col("text").alias("second")), "v")
-    return both.select("u", "v", "first", "second").mapInPandas(check, "u long, v long")
+    tasks = dealt.repartition("wide", "pair").sortWithinPartitions("wide", "pair", "side")
+    return tasks.mapInPandas(settle, "u long, v long").distinct()
 
 
 def _labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
     found = components(links)
     named = nodes.drop("label").join(found, "node", "left")
-    return named.select("node", "fp", "size", F.coalesce("component", "node").alias("label"))
+    return named.select(*CARRIED[:-1], F.coalesce("component", "node").alias("label"))
 
 
 def near_copy_groups(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Rows (node, label) for distinct ``nodes`` (node, fp, size): the label is shared by a group of near copies.
+    """Rows (node, label) for distinct ``nodes`` (node, fp, s1, s2, size, place): near copies share a label.
 
-    ``texts`` (node, text) has one text of each node.
+    ``texts`` (place, text) has a text for the place of each node.  All texts without words are one
+    node; a text of fewer words than a shingle is like another only with the same words.  No nodes
+    give no rows.  Copies are missed only if they differ in more bits of a sketch than allowed.
     """
-    alone = nodes.select("node", "fp", "size", F.col("node").alias("label"))
-    tried = _candidates(alone, True)
+    alone = nodes.select(*CARRIED[:-1], F.col("node").alias("label"))
+    tried = _candidates(alone)
     if tried is None:
         return alone.select("node", "label")
     tried = saved(tried)
-    true = saved(_verified(tried, texts))
-    grouped = saved(_labelled(nodes, true))
-    # Only groups that a refused candidate touches can still be joined; all of their candidates are taken.
-    wide = saved(_labelled(nodes, tried)).select("node", F.col("label").alias("wide"))
+    held = _hash_sets(tried, nodes, texts)
+    true = saved(_verified(tried, held))
+    grouped = saved(_labelled(alone, true))
+    # Only groups that a refused candidate touches can still be joined; each of their nodes has a
+    # candidate and so its set at hand.
+    wide = saved(_labelled(alone, tried)).select("node", F.col("label").alias("wide"))
     both = grouped.join(wide, "node")
     open_ = both.groupBy("wide").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    left = saved(both.join(open_.select("wide"), "wide", "left_semi").drop("wide"))
-    more = _candidates(left, False)
-    if more is None:
-        return grouped.select("node", "label")
-    more = saved(more.join(tried, ["u", "v"], "left_anti"))
-    return _labelled(nodes, true.unionByName(_verified(more, texts))).select("node", "label")
+    left = saved(both.join(open_.select("wide"), "wide", "left_semi"))
+    return _labelled(alone, true.unionByName(_settled(left, held))).select("node", "label")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of near copies, with all its columns: that of the least id.
+
+    Of rows with the same id the one with the least hash over all columns stays, so the choice does
+    not hang on how rows are dealt; rows that are equal in all columns are one.  Rows with a null id
+    stay only where their group has no id.  Null and texts without words are one group.  An empty
+    table gives no rows; columns keep their names, whatever they are.
+    """
+    # The rows are written once with a number of their own, so that rows sharing an id stay apart.
+    every = [F.col(f"`{c}`") for c in docs.columns]
+    own = docs.select(
+        F.struct(*every).alias("row"), F.xxhash64(*every).alias("mix"), F.monotonically_increasing_id().alias("place"),
+        node_column(F.col(text_col)).alias("mark"),
+    )
+    numbered = saved(own.select("row", "mix", "place", "mark.*"))
+    key_id = F.col("row")[id_col]
+    key = F.struct(key_id.isNull().alias("none"), key_id.alias("id"), "mix", "place")
+    marks = [F.min(m).alias(m) for m in ("fp", "s1", "s2", "size")]
+    nodes = saved(numbered.groupBy("node").agg(*marks, F.min(key).alias("least")).withColumn("place", F.col("least.place")))
+    groups = near_copy_groups(nodes, numbered.select("place", F.col("row")[text_col].alias("text")))
+    first = nodes.join(groups, "node").groupBy("label").agg(F.min("least").alias("least")).select(F.col("least.place").alias("place"))
+    return numbered.join(first.hint("shuffle_hash"), "place", "left_semi").select("row.*")

@@ -185,7 +185,7 @@ def _verified(rows: np.ndarray, cuts: np.ndarray, radius: int) -> pd.DataFrame:
 
 
 def dealt_keys(
-    prints: DataFrame, radius: int, partitions: tuple[int, ...] = PARTITIONS, carried: tuple[str, ...] = ("fp",)
+    prints: DataFrame, radius: int, partitions: tuple[int, ...] = PARTITIONS, carried: tuple[str, ...] = ("fp",), block: int = BLOCK
 ) -> DataFrame | None:
     """Rows (mask, key, pair, side, *carried), sorted, in which fingerprints within ``radius`` bits share a key.
 
@@ -206,7 +206,7 @@ def dealt_keys(
     )
     # Keys of many fingerprints are verified block by block; the table of such keys is short.
     full = keyed.groupBy("mask", "key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    blocks = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64(*carried), F.col("blocks")).cast("int")
     pairs = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),

@@ -45,13 +45,13 @@ def classes(size, links):
     return [find(x) for x in range(size)]
 
 
-def simhash(text):
+def simhash(text, width=3):
     import xxhash
 
     found = words(text)
     if not found:
         return 0
-    shingles = [" ".join(found[i : i + 3]) for i in range(max(1, len(found) - 2))]
+    shingles = [" ".join(found[i : i + width]) for i in range(max(1, len(found) - width + 1))]
     hashes = [xxhash.xxh64_intdigest(s.encode(), seed=42) for s in shingles]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 

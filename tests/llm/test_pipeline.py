@@ -1,8 +1,9 @@
+import numpy as np
 import public_tokenizers
 import pytest
 
 import corpus_pipeline
-from tablescout.llm import queries
+from tablescout.llm import near_copies, queries
 from tests.llm import brute
 
 ITEM = "seven plain words make up this item and five more follow here"
@@ -58,8 +59,11 @@ def test_run_on_given_tables(spark, sf_dir):
     kept = corpus_pipeline.reject_toxic(spark, docs, sf_dir).select("doc_id", "text").collect()
     rows = sorted((r.doc_id, r.text) for r in kept)
     rows = [(i, text) for (i, _), (_, _, text) in zip(rows, brute.dedup_lines(rows), strict=True)]
-    prints = [brute.simhash(t) for _, t in rows]
-    pairs = [(a, b) for a in range(len(rows)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 3]
+    sets, prints = [five_words(t) for _, t in rows], [brute.simhash(t, 5) for _, t in rows]
+    similar = [(a, b) for a in range(len(rows)) for b in range(a) if jaccard(sets[a], sets[b]) >= 0.8]
+    # Candidates are within 14 bits of each other, the stated recall of the search.
+    pairs = [(a, b) for a, b in similar if (prints[a] ^ prints[b]).bit_count() <= near_copies.RADIUS]
+    assert len(pairs) >= 0.9 * len(similar)
     rows = [rows[i] for i, c in enumerate(brute.classes(len(rows), pairs)) if i == c]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     leaked = {doc for doc, *_ in brute.contained(rows, items)}
@@ -68,8 +72,12 @@ def test_run_on_given_tables(spark, sf_dir):
     assert {r.doc_id: r.decoded_sha256 for r in out} == expected and len(out) == len(expected)
 
 
+def five_words(text):
+    w = brute.words(text)
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
 def jaccard(a, b):
-    a, b = ({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in map(brute.words, (a, b)))
     return len(a & b) / len(a | b) if a | b else 1.0
 
 
@@ -81,7 +89,68 @@ def test_near_copies_of_five_words(spark, tables):
         for edits in (0, 3, 5, 8, 20):
             gone = {(edits * 7 + base + k * 300 // max(1, edits)) % 300 for k in range(edits)}
             texts.append(" ".join("new" if i in gone else w for i, w in enumerate(plain)))
-    pairs = [(a, b) for a in range(len(texts)) for b in range(a) if jaccard(texts[a], texts[b]) >= 0.8]
+    sets = list(map(five_words, texts))
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a) if jaccard(sets[a], sets[b]) >= 0.8]
     kept = [i for i, c in enumerate(brute.classes(len(texts), pairs)) if i == c]
     out = corpus_pipeline.drop_near_duplicates(spark, frame(spark, texts), tables)
     assert sorted(r.doc_id for r in out.collect()) == kept and len(kept) == 36
+
+
+def test_near_dedup_of_an_empty_table_and_clashing_names(spark, tables):
+    names = ["node", "place", "row", "mix", "mark", "fp", "s1", "size", "label", "least", "id", "wide"]
+    docs = frame(spark, ["one two three four five six", "ONE two three four five six", "other words", None], 3)
+    docs = docs.selectExpr("*", *(f"doc_id % 2 as `{n}`" for n in names))
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, tables)
+    assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [3, 5, 6]
+    assert all(r["node"] == r["wide"] == r.doc_id % 2 for r in out.collect())
+    assert corpus_pipeline.drop_near_duplicates(spark, docs.limit(0), tables).count() == 0
+    assert corpus_pipeline.drop_contaminated(spark, docs.limit(0), tables).count() == 0
+    assert corpus_pipeline.encode(spark, docs.limit(0), tables).count() == 0
+
+
+def test_rows_of_one_id_choose_alike_however_dealt(spark, tables):
+    text = "a text that several rows of one id have in common"
+    rows = [(7, text, "en", f"s{k}", k, "n") for k in range(40)]
+    chosen = set()
+    for parts in (1, 3, 8):
+        docs = spark.createDataFrame(rows, COLUMNS).repartition(parts, "source")
+        chosen |= {tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, docs, tables).collect()}
+    assert len(chosen) == 1
+
+
+def test_recall_of_the_search():
+    """Of copies whose similarity is 0.8 to 0.85 at least nine in ten are within both sketches' bounds."""
+    import random
+
+    draw, near, every = random.Random(5), 0, 0
+    for _ in range(400):
+        plain = [f"w{draw.randrange(10**6)}" for _ in range(300)]
+        edited = list(plain)
+        for at in draw.sample(range(300), 6):
+            edited[at] = "new"
+        (a, b) = map(near_copies.shingle_hashes, (" ".join(plain), " ".join(edited)))
+        if 0.8 <= jaccard(set(a), set(b)) < 0.85:
+            every += 1
+            far = [np.bitwise_count((f(a) ^ f(b)).view(np.uint64)).sum() for f in (near_copies._simhash, near_copies._minima_bits)]
+            near += far[0] <= near_copies.RADIUS and far[1] <= near_copies.APART
+    assert every > 50 and near >= 0.9 * every
+
+
+def test_open_groups_are_settled_in_blocks(spark, tables, monkeypatch):
+    """Many loosely similar texts of one origin, few of them near copies of each other, dealt to small blocks."""
+    import random
+
+    draw = random.Random(3)
+    plain = [f"w{i}" for i in range(200)]
+    texts = []
+    for _ in range(120):
+        words = list(plain)
+        for at in draw.sample(range(200), draw.choice((2, 4, 5, 6))):
+            words[at] = f"x{draw.randrange(10**6)}"
+        texts.append(" ".join(words))
+    monkeypatch.setattr(near_copies, "BLOCK_HASHES", 2_000)
+    sets = list(map(five_words, texts))
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a) if jaccard(sets[a], sets[b]) >= 0.8]
+    kept = [i for i, c in enumerate(brute.classes(len(texts), pairs)) if i == c]
+    out = corpus_pipeline.drop_near_duplicates(spark, frame(spark, texts), tables)
+    assert sorted(r.doc_id for r in out.collect()) == kept and 1 < len(kept) < 120
