@@ -34,27 +34,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the row of its least id, of equal ones any.
-
-    Near-duplicates share at least 0.8 of their five-word shingles (Jaccard).  Rows with a null id
-    stay only where their group has no id; of several such rows one stays.
-    """
+    """One document of each group of near-duplicates (`near_copies.one_of_each`)."""
     small_batches(spark)
-    # The rows are written once with a number of their own, so that rows sharing an id stay apart.
-    numbered = saved(
-        docs.withColumn("__row", F.monotonically_increasing_id()).withColumn("__mark", near_copies.node_column(F.col("text")))
-    )
-    # Numbers of rows in the order of ids: the least row of a group is the row of its least id.
-    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")
-    nodes = saved(
-        numbered.groupBy("__mark.node").agg(
-            F.min("__mark.fp").alias("fp"), F.min("__mark.size").alias("size"), F.min(key).alias("least")
-        )
-    )
-    texts = numbered.join(nodes.select("node", F.col("least.__row").alias("__own")).hint("shuffle_hash"), F.col("__row") == F.col("__own"))
-    groups = near_copies.near_copy_groups(nodes.select("node", "fp", "size"), texts.select("node", "text"))
-    first = nodes.join(groups, "node").groupBy("label").agg(F.min("least").alias("least")).select(F.col("least.__row").alias("__kept"))
-    return numbered.join(first.hint("shuffle_hash"), F.col("__row") == F.col("__kept"), "left_semi").select(docs.columns)
+    return near_copies.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
