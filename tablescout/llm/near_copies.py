@@ -1,7 +1,7 @@
 """Near copies: texts whose sets of word shingles have a Jaccard similarity of a threshold or more.
 
 Texts with the same shingles are one node.  Candidates come from SimHash's pigeonhole search with a
-wide radius; a second sketch, one bit of each of 128 minima of the shingle hashes, refuses most of
+wide radius; a second sketch, one bit of each of 96 minima of the shingle hashes, refuses most of
 them where they are found.  Every link is then verified on the sets of shingle hashes.  The first
 round verifies only forests of candidates, nearest first, so a large group of copies costs about
 one check a node.  Groups that a refused candidate leaves open are settled in a second round: their
@@ -34,8 +34,11 @@ RADIUS = 14
 PARTITIONS = (3, 4, 5, 6, 7)
 
 #: Minima whose bits make the second sketch, and the bits of it that candidates may differ in: at a
-#: similarity of 0.8 a tenth of them is expected to, with a deviation of 3.4; of unlike texts, half.
-MINIMA, APART = 128, 32
+#: similarity of 0.8 a tenth of them is expected to, with a deviation of 2.9; of unlike texts, half.
+MINIMA, APART = 96, 23
+
+#: Bits of the packed half of the sketch that hold the size of the set.
+SIZE_BITS = 32
 
 #: Fingerprints compared with a block at a time, and rows of a key that one task compares at most.
 STRIP, BLOCK = 256, 1_024
@@ -43,8 +46,9 @@ STRIP, BLOCK = 256, 1_024
 #: Shingles hashed at a time, and shingle hashes of a block of the second round.
 CHUNK, BLOCK_HASHES = 1 << 16, 1 << 18
 
-#: Columns that travel with a key.
-CARRIED = ("fp", "s1", "s2", "node", "size", "label")
+#: Columns of a node that travel with its keys: two sketches, the second with the size in its low bits, and
+#: a short number that stands for the node.
+CARRIED = ("fp", "s1", "s2", "place")
 
 
 def shingle_hashes(text: str | None) -> np.ndarray:
@@ -74,31 +78,32 @@ def _simhash(hashes: np.ndarray) -> np.ndarray:
 
 
 def _minima_bits(own: np.ndarray) -> np.ndarray:
-    """One bit of the least value of each of 128 linear hashes over the set, as two numbers."""
+    """One bit of the least value of each of 96 linear hashes over the set, and its size: two numbers."""
     draw = np.random.Generator(np.random.PCG64(11)).integers(0, 1 << 63, (2, MINIMA), np.uint64)
     factor, offset = (draw[0] * np.uint64(2) + np.uint64(1))[:, None], (draw[1] * np.uint64(2))[:, None]
     least = np.full(MINIMA, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(own), 2_048):
         least = np.minimum(least, (own[None, at : at + 2_048] * factor + offset).min(axis=1))
-    bits = ((least >> np.uint64(21)) & np.uint64(1)).astype(np.uint8)
-    return np.packbits(bits, bitorder="little").view("<i8")
+    bits = np.zeros(128, np.uint8)
+    bits[:64], bits[64 + SIZE_BITS :] = np.split(((least >> np.uint64(21)) & np.uint64(1)).astype(np.uint8), [64])
+    return np.packbits(bits, bitorder="little").view("<i8") + np.array([0, min(len(own), (1 << SIZE_BITS) - 1)])
 
 
 def node_column(text: Column) -> Column:
-    """Struct (node, fp, s1, s2, size): hash of the set of shingle hashes, SimHash of the shingles, second sketch, size."""
+    """Struct (node, fp, s1, s2): hash of the set of shingle hashes, SimHash of the shingles, second sketch with the size."""
 
-    @F.pandas_udf("node long, fp long, s1 long, s2 long, size long")
+    @F.pandas_udf("node long, fp long, s1 long, s2 long")
     def mark(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import xxhash
 
         for texts in batches:
-            out = np.zeros((len(texts), 5), np.int64)
+            out = np.zeros((len(texts), 4), np.int64)
             for row, text in zip(out, texts, strict=True):
                 hashes = shingle_hashes(text)
                 own = np.unique(hashes)
                 row[0] = np.uint64(xxhash.xxh64_intdigest(own.tobytes(), 42)).view(np.int64)
-                row[1], row[2:4], row[4] = _simhash(hashes)[0], _minima_bits(own), len(own)
-            yield pd.DataFrame(out, columns=["node", "fp", "s1", "s2", "size"])
+                row[1], row[2:] = _simhash(hashes)[0], _minima_bits(own)
+            yield pd.DataFrame(out, columns=["node", "fp", "s1", "s2"])
 
     return mark(F.coalesce(text, F.lit("")))
 
@@ -114,14 +119,16 @@ def hash_set_column(text: Column) -> Column:
     return sets(F.coalesce(text, F.lit("")))
 
 
-#: Places of a run's columns: four of the key, then CARRIED.
-FP, S1, S2, NODE, SIZE, LABEL = range(4, 10)
+#: Places of a run's columns: four of the key, then CARRIED, then in the second round the label.
+FP, S1, S2, PLACE, LABEL = range(4, 9)
 
 
 def _near(rows: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Places and distances of pairs of a run that may be near copies and have different labels."""
-    size, label = rows[:, SIZE], rows[:, LABEL]
     marks = [rows[:, c].copy().view(np.uint64) for c in (FP, S1, S2)]
+    size = (marks[2] & np.uint64((1 << SIZE_BITS) - 1)).astype(np.int64)
+    marks[2] >>= np.uint64(SIZE_BITS)
+    label = rows[:, -1]
     for at in range(0, len(left), STRIP):
         a = left[at : at + STRIP]
         far = np.bitwise_count(marks[0][a][:, None] ^ marks[0][right][None, :])
@@ -129,7 +136,7 @@ def _near(rows: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[tup
         i, j = a[i], right[j]
         d = np.bitwise_count(marks[1][i] ^ marks[1][j]).astype(np.int64) + np.bitwise_count(marks[2][i] ^ marks[2][j])
         fit = np.minimum(size[i], size[j]) >= SIMILAR * np.maximum(size[i], size[j]) - 1e-9
-        fit &= (d <= APART) & (label[i] != label[j]) & (rows[i, NODE] != rows[j, NODE])
+        fit &= (d <= APART) & (label[i] != label[j])
         yield i[fit], j[fit], d[fit]
 
 
@@ -145,7 +152,7 @@ def _sorted_pairs(run: np.ndarray) -> tuple[list[int], list[int]]:
 
 def _forest(run: np.ndarray, near: Callable[[int, int], bool] = lambda i, j: True) -> list[tuple[int, int]]:
     """Links (u, v) of a run's nearest candidates that ``near`` accepts and that join labels still apart."""
-    nodes, labels, links = run[:, NODE], run[:, LABEL].tolist(), []
+    nodes, labels, links = run[:, PLACE], run[:, -1].tolist(), []
     root = {label: label for label in labels}
 
     def top(x: int) -> int:
@@ -190,36 +197,36 @@ def _ended(batches: Iterator) -> Iterator:
     yield None
 
 
-def _hash_sets(links: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Rows (node, own): the sets of shingle hashes of the nodes that ``links`` name, written."""
-    ends = links.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    wanted = ends.join(nodes.select("node", "place"), "node")
-    held = texts.join(wanted.hint("shuffle_hash"), "place")
-    return saved(held.select("node", hash_set_column(F.col("text")).alias("own")))
+def _hash_sets(links: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows (place, own): the sets of shingle hashes of the nodes that ``links`` name, written."""
+    ends = links.select(F.explode(F.array("u", "v")).alias("place")).distinct()
+    held = texts.join(ends.hint("shuffle_hash"), "place")
+    return saved(held.select("place", hash_set_column(F.col("text")).alias("own")))
 
 
 def _verified(links: DataFrame, held: DataFrame) -> DataFrame:
     """Links whose sets of shingle hashes have a Jaccard similarity of ``SIMILAR`` or more."""
-    both = links.join(held.select(F.col("node").alias("u"), F.col("own").alias("first")), "u")
-    both = both.join(held.select(F.col("node").alias("v"), F.col("own").alias("second")), "v")
+    both = links.join(held.select(F.col("place").alias("u"), F.col("own").alias("first")), "u")
+    both = both.join(held.select(F.col("place").alias("v"), F.col("own").alias("second")), "v")
     shared, sizes = F.size(F.array_intersect("first", "second")), F.size("first") + F.size("second")
     return both.where(shared >= SIMILAR * (sizes - shared) - 1e-9).select("u", "v")
 
 
 def _settled(left: DataFrame, held: DataFrame) -> DataFrame:
     """Links (u, v) of near copies that join all labels of ``left`` that can be joined within a value of ``wide``."""
-    blocks = left.groupBy("wide").agg(F.ceil(F.sum("size") / BLOCK_HASHES).cast("int").alias("blocks"))
+    size = F.col("s2").bitwiseAND(F.lit((1 << SIZE_BITS) - 1))
+    blocks = left.groupBy("wide").agg(F.ceil(F.sum(size) / BLOCK_HASHES).cast("int").alias("blocks"))
     dealt = split_join(left, blocks.withColumn("blocks", F.greatest("blocks", F.lit(1))), "wide")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    own = F.pmod(F.xxhash64("place"), F.col("blocks")).cast("int")
     pairs = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
         lambda other: F.struct(
             (F.least(own, other) * F.col("blocks") + F.greatest(own, other)).alias("pair"), (own > other).cast("int").alias("side")
         ),
     )
-    dealt = dealt.join(held, "node").select("wide", "own", *CARRIED, F.explode(pairs).alias("p"))
-    dealt = dealt.select("wide", "p.pair", "p.side", "own", *CARRIED)
-    names = ("wide", "pair", "pair", "side", *CARRIED)
+    dealt = dealt.join(held, "place").select("wide", "own", *CARRIED, "label", F.explode(pairs).alias("p"))
+    dealt = dealt.select("wide", "p.pair", "p.side", "own", *CARRIED, "label")
+    names = ("wide", "pair", "pair", "side", *CARRIED, "label")
 
     def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows come sorted by wide, pair, side; one run of a pair of blocks is held at a time."""
@@ -248,33 +255,32 @@ def _settled(left: DataFrame, held: DataFrame) -> DataFrame:
 
 
 def _labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    found = components(links)
-    named = nodes.drop("label").join(found, "node", "left")
-    return named.select(*CARRIED[:-1], F.coalesce("component", "node").alias("label"))
+    """``nodes`` with the least place that ``links`` reach as ``label``."""
+    found = components(links).select(F.col("node").alias("place"), F.col("component").alias("label"))
+    return nodes.join(found, "place", "left").withColumn("label", F.coalesce("label", "place"))
 
 
 def near_copy_groups(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Rows (node, label) for distinct ``nodes`` (node, fp, s1, s2, size, place): near copies share a label.
+    """Rows (place, label) for distinct ``nodes`` (fp, s1, s2, place): near copies share a label.
 
     ``texts`` (place, text) has a text for the place of each node.  All texts without words are one
     node; a text of fewer words than a shingle is like another only with the same words.  No nodes
     give no rows.  Copies are missed only if they differ in more bits of a sketch than allowed.
     """
-    alone = nodes.select(*CARRIED[:-1], F.col("node").alias("label"))
-    tried = _candidates(alone)
+    tried = _candidates(nodes)
     if tried is None:
-        return alone.select("node", "label")
+        return nodes.select("place", F.col("place").alias("label"))
     tried = saved(tried)
-    held = _hash_sets(tried, nodes, texts)
+    held = _hash_sets(tried, texts)
     true = saved(_verified(tried, held))
-    grouped = saved(_labelled(alone, true))
+    grouped = saved(_labelled(nodes, true))
     # Only groups that a refused candidate touches can still be joined; each of their nodes has a
     # candidate and so its set at hand.
-    wide = saved(_labelled(alone, tried)).select("node", F.col("label").alias("wide"))
-    both = grouped.join(wide, "node")
+    wide = saved(_labelled(nodes, tried)).select("place", F.col("label").alias("wide"))
+    both = grouped.join(wide, "place")
     open_ = both.groupBy("wide").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
     left = saved(both.join(open_.select("wide"), "wide", "left_semi"))
-    return _labelled(alone, true.unionByName(_settled(left, held))).select("node", "label")
+    return _labelled(nodes, true.unionByName(_settled(left, held))).select("place", "label")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -294,8 +300,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     numbered = saved(own.select("row", "mix", "place", "mark.*"))
     key_id = F.col("row")[id_col]
     key = F.struct(key_id.isNull().alias("none"), key_id.alias("id"), "mix", "place")
-    marks = [F.min(m).alias(m) for m in ("fp", "s1", "s2", "size")]
+    marks = [F.min(m).alias(m) for m in ("fp", "s1", "s2")]
     nodes = saved(numbered.groupBy("node").agg(*marks, F.min(key).alias("least")).withColumn("place", F.col("least.place")))
-    groups = near_copy_groups(nodes, numbered.select("place", F.col("row")[text_col].alias("text")))
-    first = nodes.join(groups, "node").groupBy("label").agg(F.min("least").alias("least")).select(F.col("least.place").alias("place"))
+    groups = near_copy_groups(nodes.select(*CARRIED), numbered.select("place", F.col("row")[text_col].alias("text")))
+    first = nodes.join(groups, "place").groupBy("label").agg(F.min("least").alias("least")).select(F.col("least.place").alias("place"))
     return numbered.join(first.hint("shuffle_hash"), "place", "left_semi").select("row.*")
