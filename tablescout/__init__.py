@@ -17,7 +17,7 @@ from .operators.filters import (
     where_ranges,
 )
 from .operators.generate import ColumnRule, generate, synthesize
-from .operators.grid import grid_order, next_page, page, project, row_count, sort_result
+from .operators.grid import RankIndex, grid_order, next_page, page, project, row_count, sort_result, with_places
 from .operators.percentiles import percentiles
 from .operators.pivot import collapse, pivot, pivot_keys, pivot_leaves, pivot_long
 from .operators.profile import base_metrics, profile, profile_dataset

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,11 +16,9 @@ from ..sources.dictionary import Dictionary
 from .filters import chart_number
 
 PAGE_SIZE = 100
-# Order terms of so many rows are ranked at once; deeper positions are narrowed first, by the same order.
+# Sort keys of so many rows are ranked at once; places further down are narrowed first, by the same order.
 RANKED_ROWS = 100_000
 SAMPLE_ROWS = 5_000
-# Of a page of more rows than these only the border rows' terms reach the driver.
-COLLECTED_ROWS = 1_000
 
 SortKey = tuple[str, bool]
 
@@ -109,13 +108,12 @@ class _Term:
         return F.lit(str(value)).cast(self.dtype) if is_temporal(self.dtype) else F.lit(value).cast(self.dtype)
 
     def at(self, i: int) -> _Term:
-        """The same term over a table that holds ``kept`` values as ``k0``, ``k1``, ..."""
-        name = F.col(f"k{i}")
-        return _Term(name.cast(self.dtype) if is_temporal(self.dtype) else name, self.up, self.dtype)
+        """The same term over a table that holds the terms as ``k0``, ``k1``, ..."""
+        return _Term(F.col(f"k{i}"), self.up, self.dtype)
 
 
-def _terms(df: DataFrame, order: Sequence[SortKey], shown: Sequence[str] = ()) -> list[_Term]:
-    """Terms of sort keys; keys without plain values go by their canonical text, then a digest of ``shown``."""
+def _terms(df: DataFrame, order: Sequence[SortKey]) -> list[_Term]:
+    """Terms of sort keys; keys without plain values go by their canonical text."""
     require_columns(df, [n for n, _ in order])
     terms = []
     for name, up in order:
@@ -124,11 +122,14 @@ def _terms(df: DataFrame, order: Sequence[SortKey], shown: Sequence[str] = ()) -
             terms.append(_Term(canonical(qcol(name), dtype), up, T.StringType()))
         else:
             terms.append(_Term(qcol(name), up, dtype))
-    if shown:
-        terms.append(_Term(row_digest(df, shown), True, T.StringType()))
     return terms
 
 
+def _last_term(df: DataFrame, shown: Sequence[str]) -> _Term:
+    """The term that ends a total order: a digest of the columns shown."""
+    return _Term(row_digest(df, shown), True, T.StringType())
+
+
 def page(
     df: DataFrame,
     user: Sequence[SortKey] = (),
@@ -143,23 +144,28 @@ def page(
     """One page of the filtered rows in grid order; an index past the end gives the last page.
 
     The order is total: sort keys, then a digest of the columns shown, whatever their
-    types, so rows level in it are copies and pages neither repeat nor miss a row.  The
-    page's place is found on the order's terms alone: where the page lies deep, exact
-    counts around sampled rows narrow the table until ``ranked_rows`` terms are left to
-    rank, which changes the cost but not the page.  Whole rows are read for the page
-    only.  ``total`` saves the row count.
+    types, so rows level in it are copies and pages neither repeat nor miss a row.  Where
+    the page begins and ends is found on the sort keys alone, and whole rows are read
+    between these two keys only.  Digests are made of the rows read, and of rows level in
+    the keys with a border that lies among them.  Far down, exact counts around sampled
+    keys narrow the table until ``ranked_rows`` keys are left to rank, which changes the
+    cost but not the page.  ``total`` saves the row count.
     """
     rows = df if condition is None else df.filter(condition)
-    if index > 0 or total is not None:
+    # Ranking as many keys as a sample has costs no more than drawing one.
+    start, ranked_rows = 0, max(ranked_rows, SAMPLE_ROWS)
+    if index > 0 or total is not None or size >= ranked_rows:
         total = rows.count() if total is None else total
-        index = min(max(0, index), page_count(total, size) - 1)
+        start = min(max(0, index), page_count(total, size) - 1) * size
     shown = list(columns or df.columns)
-    terms = _terms(rows, sort_keys(user, keys), shown)
-    offset = max(0, index) * size
-    if size > COLLECTED_ROWS:
-        found = _large_page(rows, terms, offset, size, rows.count() if total is None else total, ranked_rows)
-    else:
-        found = _rows_at(rows, terms, offset, size, total, max(ranked_rows, 2 * size))
+    terms, last = _terms(rows, sort_keys(user, keys)), _last_term(rows, shown)
+    levels = [terms, [last]] if terms else [[last]]
+    found = rows.limit(0)
+    if size > 0 and (total is None or start < total):
+        found = _slice(rows, levels, start, start + size if total is None else min(start + size, total), total, ranked_rows)
+    found = found.orderBy(*[t.sort for t in terms], last.sort)
+    if size <= ranked_rows:
+        found = found.limit(max(0, size))
     return found if columns is None else found.select(*[qcol(c) for c in columns])
 
 
@@ -181,7 +187,7 @@ def _comes_before(terms: Sequence[_Term], row: Sequence, or_equal: bool) -> Colu
 def _around(rows: DataFrame, terms: Sequence[_Term], start: float, stop: float, total: int) -> tuple[list, list] | None:
     """Terms of two sampled rows, one somewhat before and one somewhat behind a range of shares."""
     drawn = rows.sample(min(1.0, SAMPLE_ROWS / total), seed=17)
-    narrow = drawn.select(*[t.kept.alias(f"k{i}") for i, t in enumerate(terms)])
+    narrow = drawn.select(*[t.column.alias(f"k{i}") for i, t in enumerate(terms)])
     # About SAMPLE_ROWS rows of terms: a bounded sample, whatever the table holds.
     ranked = narrow.select(
         "*",
@@ -191,89 +197,210 @@ def _around(rows: DataFrame, terms: Sequence[_Term], start: float, stop: float,
     slack = 2.0 * F.sqrt("held") + 1
     low = F.greatest(F.floor(F.col("held") * start - slack), F.lit(0)) + 1
     high = F.least(F.ceil(F.col("held") * stop + slack) + 1, F.col("held"))
-    picked = ranked.filter((F.col("place") == low) | (F.col("place") == high)).orderBy("place").collect()
+    kept = [t.at(i).kept.alias(f"k{i}") for i, t in enumerate(terms)]
+    picked = ranked.filter((F.col("place") == low) | (F.col("place") == high)).orderBy("place").select(*kept).collect()
     if not picked:
         return None
     cut = lambda row: list(row)[: len(terms)]
     return cut(picked[0]), cut(picked[-1])
 
 
-def _rows_at(rows: DataFrame, terms: Sequence[_Term], offset: int, size: int, total: int | None, ranked_rows: int) -> DataFrame:
-    """The ``size`` rows from ``offset`` on, in order."""
-    order = [t.sort for t in terms]
-    if size <= 0 or (total is not None and offset >= total):
-        return rows.limit(0)
-    while offset + size > ranked_rows:
-        around = _around(rows, terms, offset / total, (offset + size) / total, total)
+def _keys_at(rows: DataFrame, terms: Sequence[_Term], places: Sequence[int], total: int | None, ranked_rows: int) -> dict[int, list]:
+    """Term values of the rows at some places of the order, places from 0; those past the end are left out."""
+    places = sorted(set(places))
+    low, high = places[0], places[-1]
+    if high - low >= ranked_rows:
+        # The places are those of a page's two borders; each is looked for on its own.
+        half = [p for p in places if p - low < ranked_rows // 2 + 1]
+        rest = [p for p in places if p not in half]
+        return _keys_at(rows, terms, half, total, ranked_rows) | _keys_at(rows, terms, rest, total, ranked_rows)
+    skipped = 0
+    while high - skipped >= ranked_rows + 1 and total is not None:
+        around = _around(rows, terms, (low - skipped) / total, (high + 1 - skipped) / total, total)
         if around is None:
             break
-        low, high = around
-        cuts = [_comes_before(terms, low, False), _comes_before(terms, low, True)]
-        cuts += [_comes_before(terms, high, False), _comes_before(terms, high, True)]
-        counts = rows.agg(*[F.count_if(c).alias(f"c{i}") for i, c in enumerate(cuts)]).first()
-        before_low, upto_low, before_high, upto_high = counts
-        end = min(offset + size, total)
-        if before_low <= offset and end <= upto_low:
-            return rows.filter(cuts[1] & ~cuts[0]).limit(end - offset)
-        if before_high <= offset and end <= upto_high:
-            return rows.filter(cuts[3] & ~cuts[2]).limit(end - offset)
-        # Each bound that holds cuts rows away; copies of a bound that reach into the page stay.
-        held = total
-        if upto_low <= offset:
-            rows, offset, total = rows.filter(~cuts[1]), offset - upto_low, total - upto_low
-            upto_high, before_high, end = upto_high - upto_low, before_high - upto_low, end - upto_low
-        elif before_low <= offset and before_low:
-            rows, offset, total = rows.filter(~cuts[0]), offset - before_low, total - before_low
-            upto_high, before_high, end = upto_high - before_low, before_high - before_low, end - before_low
-        if end <= before_high < total:
-            rows, total = rows.filter(cuts[2]), before_high
-        elif end <= upto_high < total:
-            rows, total = rows.filter(cuts[3]), upto_high
+        first, second = around
+        cuts = [_comes_before(terms, first, False), _comes_before(terms, first, True)]
+        cuts += [_comes_before(terms, second, False), _comes_before(terms, second, True)]
+        counts = list(rows.agg(*[F.count_if(c).alias(f"c{i}") for i, c in enumerate(cuts)]).first())
+        # A place among the copies of a sampled row has that row's keys.
+        found = {}
+        for place in places:
+            for row, before, upto in ((first, *counts[:2]), (second, *counts[2:])):
+                if before <= place - skipped < upto:
+                    found[place] = row
+        rest = [p for p in places if p not in found]
+        if len(rest) < len(places):
+            more = _keys_at(rows, terms, [p - skipped for p in rest], total, ranked_rows) if rest else {}
+            return found | {p + skipped: row for p, row in more.items()}
+        # Rows on the far sides of the sampled ones go, wherever all places lie beyond.
+        held, cut = total, 0
+        if counts[1] <= low - skipped:
+            rows, cut = rows.filter(~cuts[1]), counts[1]
+        if high - skipped < counts[2]:
+            rows, total = rows.filter(cuts[2]), counts[2]
+        skipped, total = skipped + cut, total - cut
         if total == held:
             break
-    # Ranking the terms tells the page's first and last row, and the row before; whole rows follow by a filter.
-    skip = min(offset, 1)
-    narrow = rows.select(*[t.kept.alias(f"k{i}") for i, t in enumerate(terms)])
-    ranked = narrow.orderBy(*[t.at(i).sort for i, t in enumerate(terms)]).offset(offset - skip).limit(size + skip)
-    place = [list(r) for r in ranked.collect()]
-    before, place = place[:skip], place[skip:]
-    if not place:
+    narrow = rows.select(*[t.column.alias(f"k{i}") for i, t in enumerate(terms)])
+    order = [t.at(i).sort for i, t in enumerate(terms)]
+    # Of the keys ranked only those at the places leave the executors.
+    ranked = narrow.orderBy(*order).limit(high - skipped + 1).withColumn("__place", F.row_number().over(Window.orderBy(*order)) - 1)
+    kept = [t.at(i).kept.alias(f"k{i}") for i, t in enumerate(terms)]
+    picked = ranked.filter(F.col("__place").isin([p - skipped for p in places])).select(*kept, "__place").collect()
+    return {r["__place"] + skipped: list(r)[: len(terms)] for r in picked}
+
+
+def _slice(
+    rows: DataFrame, levels: Sequence[Sequence[_Term]], start: int, stop: int, total: int | None, ranked_rows: int
+) -> DataFrame:
+    """The rows at places ``start`` to ``stop`` of the order, in any order; rows level in all ``levels`` are copies."""
+    if total is not None and start <= 0 and stop >= total:
+        return rows
+    if not levels:
+        return rows.limit(stop - start)
+    terms = levels[0]
+    found = _keys_at(rows, terms, [p for p in (start - 1, start, stop - 1, stop) if p >= 0], total, ranked_rows)
+    if start not in found:
         return rows.limit(0)
-    first, last = place[0], place[-1]
-    copies = sum(repr(r) == repr(first) for r in place)
+    if stop - 1 not in found:
+        # The table ends before; only one without a known count can do so.
+        total = rows.count()
+        return _slice(rows, levels, start, min(stop, total), total, ranked_rows)
+    first, last = found[start], found[stop - 1]
+    level = lambda a, b: a is not None and repr(a) == repr(b)
+    cut_first, cut_last = level(found.get(start - 1), first), level(found.get(stop), last)
     from_first, upto_last = ~_comes_before(terms, first, False), _comes_before(terms, last, True)
-    if not before or repr(before[0]) != repr(first):
-        return rows.filter(from_first & upto_last).orderBy(*order).limit(size)
-    # Copies of the first row stand before the page too, so its own are counted off.
-    level = rows.filter(from_first & _comes_before(terms, first, True)).limit(copies)
-    if copies == len(place):
-        return level
-    rest = rows.filter(~_comes_before(terms, first, True) & upto_last).orderBy(*order).limit(size - copies)
-    return level.unionAll(rest).orderBy(*order)
-
-
-def _large_page(rows: DataFrame, terms: Sequence[_Term], offset: int, size: int, total: int, ranked_rows: int) -> DataFrame:
-    """The ``size`` rows from ``offset`` on, in order; the driver holds the first and the last row's terms only."""
-    end = min(offset + size, total)
-    if offset >= end:
-        return rows.limit(0)
-    border = []
-    for place in (offset, end - 1):
-        found = _rows_at(rows, terms, place, 1, total, max(ranked_rows, 2))
-        border.append(list(found.select(*[t.kept.alias(f"k{i}") for i, t in enumerate(terms)]).first()))
-    cuts = [_comes_before(terms, row, level) for row in border for level in (False, True)]
-    before_first, upto_first, before_last, upto_last = rows.agg(*[F.count_if(c).alias(f"c{i}") for i, c in enumerate(cuts)]).first()
-    order = [t.sort for t in terms]
-    if before_first == before_last:
-        return rows.filter(cuts[1] & ~cuts[0]).limit(end - offset)
-    # Copies of a border row may lie on both sides of the border; any of them will do.
-    cut_first, cut_last = before_first < offset, upto_last > end
-    page_rows = rows.filter(~cuts[1 if cut_first else 0] & cuts[2 if cut_last else 3])
+    if not cut_first and not cut_last:
+        return rows.filter(from_first & upto_last)
+    # A border lies among rows level in these terms: the next terms tell which of them are in.
+    after_first, before_last = ~_comes_before(terms, first, True), _comes_before(terms, last, False)
+    counted = [~from_first, ~after_first, before_last, upto_last]
+    before, upto_low, before_high, upto = rows.agg(*[F.count_if(c).alias(f"c{i}") for i, c in enumerate(counted)]).first()
+    rest = levels[1:]
+    if level(first, last):
+        return _slice(rows.filter(from_first & upto_last), rest, start - before, stop - before, upto - before, ranked_rows)
+    out = rows.filter((after_first if cut_first else from_first) & (before_last if cut_last else upto_last))
     if cut_first:
-        page_rows = page_rows.unionAll(rows.filter(cuts[1] & ~cuts[0]).limit(upto_first - offset))
+        own = rows.filter(from_first & ~after_first)
+        out = out.unionAll(_slice(own, rest, start - before, upto_low - before, upto_low - before, ranked_rows))
     if cut_last:
-        page_rows = page_rows.unionAll(rows.filter(cuts[3] & ~cuts[2]).limit(end - before_last))
-    return page_rows.orderBy(*order)
+        own = rows.filter(upto_last & ~before_last)
+        out = out.unionAll(_slice(own, rest, 0, stop - before_high, upto - before_high, ranked_rows))
+    return out
+
+
+# -- a table kept in order ------------------------------------------------------------------------
+
+PART, WITHIN, PLACE = "__part", "__within", "__place"
+PARTS_SCHEMA = "__part int, held long, before long"
+
+
+def _mixed(df: DataFrame) -> Column:
+    """A hash of a row's cells."""
+    return F.xxhash64(*[canonical(qcol(f.name), f.dataType) if is_complex(f.dataType) else qcol(f.name) for f in df.schema.fields])
+
+
+def write_in_order(df: DataFrame, path: str, order: Sequence[Column], parts: int | None = None) -> None:
+    """Write rows range-partitioned by ``order``, each with its part and its number inside the part.
+
+    Rows level in ``order`` may be dealt to several parts, by a hash of their plain cells, so that
+    many rows with one key do not end in one task.
+    """
+    if taken := {PART, WITHIN, PLACE} & set(df.columns):
+        raise ValueError(f"columns that the written table needs itself: {sorted(taken)}")
+    terms = [*order, _mixed(df).asc()]
+    dealt = df.repartitionByRange(*([parts] if parts else []), *terms).sortWithinPartitions(*terms)
+    number = F.monotonically_increasing_id()
+    placed = dealt.select("*", F.shiftright(number, 33).cast("int").alias(PART), number.bitwiseAND(F.lit((1 << 33) - 1)).alias(WITHIN))
+    placed.write.partitionBy(PART).parquet(path + "/rows")
+    # The schema is kept beside: a table without rows has no part to read it from.
+    spark = df.sparkSession
+    spark.createDataFrame([(placed.schema.json(),)], "schema string").coalesce(1).write.text(path + "/schema")
+    # One row per part: its rows, and how many stand before it.
+    counts = _rows_of(spark, path).groupBy(PART).agg(F.count(F.lit(1)).alias("held"))
+    before = F.sum("held").over(Window.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1))
+    counts.select(PART, "held", F.coalesce(before, F.lit(0)).alias("before")).coalesce(1).write.parquet(path + "/parts")
+
+
+def _rows_of(spark: SparkSession, path: str) -> DataFrame:
+    schema = T.StructType.fromJson(json.loads(spark.read.text(path + "/schema").first()[0]))
+    return spark.read.schema(schema).parquet(path + "/rows")
+
+
+@dataclass(frozen=True)
+class RankIndex:
+    """A table written once in a total order, any page of which is found by sums of the parts' row counts.
+
+    A page reads the parts that it touches and of these the rows between two numbers, however deep
+    it lies; nothing is sorted again but the page.  ``parts`` has a row per written part.
+    """
+
+    rows: DataFrame
+    parts: DataFrame
+
+    @staticmethod
+    def write(df: DataFrame, path: str, user: Sequence[SortKey] = (), keys: Sequence[str] = (), parts: int | None = None) -> RankIndex:
+        """Write ``df`` to ``path`` in grid order; ``parts`` is the number of part files, Spark's choice if not given."""
+        write_in_order(df, path, [t.sort for t in _terms(df, sort_keys(user, keys))], parts)
+        return RankIndex.read(df.sparkSession, path)
+
+    @staticmethod
+    def read(spark: SparkSession, path: str) -> RankIndex:
+        return RankIndex(_rows_of(spark, path), spark.read.schema(PARTS_SCHEMA).parquet(path + "/parts"))
+
+    def total(self) -> int:
+        return self.parts.agg(F.coalesce(F.sum("held"), F.lit(0))).first()[0]
+
+    def page(self, index: int = 0, size: int = PAGE_SIZE) -> DataFrame:
+        """The rows of a page in order, with their ``__place`` from 0; an index past the end gives the last page."""
+        total = self.total()
+        start = min(max(0, index), page_count(total, size) - 1) * size
+        return self.between(start, min(start + size, total))
+
+    def between(self, start: int, stop: int) -> DataFrame:
+        """The rows at places from ``start`` to before ``stop``, in order."""
+        touched = self.parts.filter((F.col("before") < stop) & (F.col("before") + F.col("held") > start))
+        # Parts that a page touches: few, and their numbers reach the scan as filters on folders and row groups.
+        spans = [(r[PART], r["before"]) for r in touched.orderBy(PART).collect()]
+        here, place = F.lit(False), F.lit(None).cast("long")
+        for part, before in spans:
+            own = F.col(PART) == part
+            here = here | (own & (F.col(WITHIN) >= start - before) & (F.col(WITHIN) < stop - before))
+            place = F.when(own, F.col(WITHIN) + before).otherwise(place)
+        return self.rows.filter(here).withColumn(PLACE, place).orderBy(PLACE).drop(PART, WITHIN)
+
+    def numbered(self) -> DataFrame:
+        """All rows with their ``__place`` from 0, without gaps, in no order."""
+        return self.rows.join(self.parts.select(PART, "before"), PART).withColumn(PLACE, F.col("before") + F.col(WITHIN)).drop(
+            PART, WITHIN, "before"
+        )
+
+
+def dense_places(df: DataFrame, ord_name: str, path: str, name: str = "place") -> DataFrame:
+    """All rows with their place from 1 and without gaps, by a column that grows with the part and inside the part.
+
+    Such a column comes from ``monotonically_increasing_id`` over ordered rows, some of which may
+    have been dropped since.  The rows are written to ``path`` once, so that places stay the same
+    whatever is computed again; rows are numbered inside parts, and parts' counts are added up.
+    """
+    df.write.parquet(path)
+    rows = df.sparkSession.read.schema(df.schema).parquet(path).withColumn(PART, F.shiftright(F.col(ord_name), 33))
+    counts = rows.groupBy(PART).agg(F.count(F.lit(1)).alias("__held"))
+    before = F.sum("__held").over(Window.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select(PART, F.coalesce(before, F.lit(0)).alias("__before"))
+    within = F.row_number().over(Window.partitionBy(PART).orderBy(ord_name))
+    numbered = rows.withColumn(WITHIN, within).join(offsets, PART)
+    return numbered.withColumn(name, F.col("__before") + F.col(WITHIN)).drop(PART, WITHIN, "__before")
+
+
+def with_places(df: DataFrame, order: Sequence[Column], path: str, name: str = "place") -> DataFrame:
+    """All rows with their place in an order, from 1 and without gaps; the ordered rows are written to ``path`` once.
+
+    Rows level in ``order`` follow each other by a hash of their cells; many of them are dealt to several parts.
+    """
+    ordered = df.orderBy(*order, _mixed(df).asc()).withColumn(PLACE, F.monotonically_increasing_id())
+    return dense_places(ordered, PLACE, path, name).drop(PLACE)
 
 
 def next_page(
@@ -302,10 +429,10 @@ def result_sort_keys(user: Sequence[SortKey], columns: Sequence[str], keys: Sequ
     return sort_keys(chosen, [*[k for k in keys if k in known], *columns])
 
 
-def sort_result(
+def result_order(
     result: DataFrame, user: Sequence[SortKey] = (), keys: Sequence[str] = (), measures: Sequence[str] = ()
-) -> DataFrame:
-    """Sort a chart's result: measures as numbers with non-numbers last, text without case."""
+) -> list[Column]:
+    """Order-by columns of a chart's result: measures as numbers with non-numbers last, text without case."""
     terms = []
     for name, up in result_sort_keys(user, result.columns, keys):
         dtype = type_of(result, name)
@@ -315,4 +442,11 @@ def sort_result(
         else:
             text = F.lower(F.coalesce(text_of(qcol(name), dtype), F.lit("")))
             terms.append(text.asc() if up else text.desc())
-    return result.orderBy(*terms)
+    return terms
+
+
+def sort_result(
+    result: DataFrame, user: Sequence[SortKey] = (), keys: Sequence[str] = (), measures: Sequence[str] = ()
+) -> DataFrame:
+    """A chart's result in the order of `result_order`."""
+    return result.orderBy(*result_order(result, user, keys, measures))

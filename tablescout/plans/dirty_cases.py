@@ -124,10 +124,9 @@ def _drill_null(s, d):
 
 
 def _sorted(s, d):
-    """Positions within the order of a result: numbers in text, no numbers last."""
-    df = dirty(s, d).select("k", "written").filter("k % 9 <> 0")
-    ordered = grid.sort_result(df, [("written", False)], ["k"], measures=["written"])
-    return ordered.select("k", "written")
+    """Places in the order of a result, over all rows: numbers in text, no numbers last."""
+    df = dirty(s, d).select("k", "written")
+    return grid.with_places(df, grid.result_order(df, [("written", False)], ["k"], ["written"]), scratch_folder(s))
 
 
 def _bad_cells(s, d):
@@ -244,7 +243,11 @@ CASES = {
         pivot_sql(SOURCE, {"status": "status"}, "'Total'", {"Total": "{m}"}, {"written": WRITTEN}),
     ),
     "drill_null": (_drill_null, f"SELECT k, status, amount FROM {SOURCE} WHERE status IS NULL"),
-    "sort_result_dirty": (_sorted, f"SELECT k, written FROM {SOURCE} WHERE k % 9 <> 0"),
+    "sort_result_dirty": (
+        _sorted,
+        f"""SELECT k, written, ROW_NUMBER() OVER (ORDER BY {WRITTEN} DESC NULLS LAST, lower(CAST(k AS VARCHAR))) AS place
+FROM {SOURCE}""",
+    ),
     "pattern_scan_wide": (lambda s, d: quality.pattern_scan(_emails(s, d)), pattern_sql(EMAILS, [f"t{i}" for i in range(15)])),
     "dataset_report_wide": (
         _emails_report,

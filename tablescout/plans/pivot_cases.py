@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.grid import dense_places
 from ..operators.pivot import collapse, pivot, pivot_leaves
+from .scratch import scratch_folder
 from .stats_cases import table
 
 FLAGS = ["l_returnflag", "l_linestatus"]
@@ -19,11 +21,11 @@ def lines_by_year(spark, d) -> DataFrame:
 
 
 def comparable(df: DataFrame, row_dims, places: int = 2) -> DataFrame:
-    """Rounded cells, and for ``ord``, whose steps depend on the partitions, the place within the first dimension."""
+    """Rounded cells, and for ``ord``, whose steps depend on the partitions, the place in display order."""
     keep = [*row_dims, *FACTS, "ord"]
     cells = [F.round(F.col(f"`{c}`"), places).alias(c) for c in df.columns if c not in keep]
-    place = F.row_number().over(Window.partitionBy(F.col(f"`{row_dims[0]}`"), F.col("row_kind") == "grand").orderBy("ord"))
-    return df.select(*[F.col(f"`{c}`") for c in row_dims], *cells, *FACTS, place.alias("place"))
+    shown = df.select(*[F.col(f"`{c}`") for c in row_dims], *cells, *FACTS, "ord")
+    return dense_places(shown, "ord", scratch_folder(df.sparkSession)).drop("ord")
 
 
 def pivot_sql(
@@ -68,7 +70,7 @@ def pivot_sql(
 SELECT {', '.join(labels)}, {', '.join(cells)},
   CASE WHEN GROUPING(r0) = 1 THEN 'grand' WHEN {depth} < {n} THEN 'subtotal' ELSE 'detail' END AS row_kind,
   CAST({depth} AS INTEGER) AS row_depth, GROUPING(r0) = 0 AND {depth} < {n} AS expandable,
-  CAST(ROW_NUMBER() OVER (PARTITION BY GROUPING(r0), r0 ORDER BY {order}) AS INTEGER) AS place
+  ROW_NUMBER() OVER (ORDER BY GROUPING(r0), r0 ASC NULLS FIRST, {order}) AS place
 FROM leaf GROUP BY ROLLUP ({', '.join(f'r{i}' for i in range(n))})"""
 
 
@@ -106,7 +108,8 @@ def true_totals_sql(agg: str) -> str:
   COALESCE(ROUND({agg}(l_extendedprice) FILTER (WHERE l_linestatus = 'O'), 4), 0.0) AS "l_linestatus-O",
   ROUND({agg}(l_extendedprice), 4) AS "GRAND TOTAL",
   CASE WHEN GROUPING(l_returnflag) = 1 THEN 'grand' ELSE 'detail' END AS row_kind,
-  CAST(1 - GROUPING(l_returnflag) AS INTEGER) AS row_depth, FALSE AS expandable, 1 AS place
+  CAST(1 - GROUPING(l_returnflag) AS INTEGER) AS row_depth, FALSE AS expandable,
+  ROW_NUMBER() OVER (ORDER BY GROUPING(l_returnflag), l_returnflag ASC NULLS FIRST) AS place
 FROM lineitem GROUP BY ROLLUP (l_returnflag)"""
 
 
@@ -192,7 +195,7 @@ FROM lineitem GROUP BY 1, 2, 3""",
         lambda s, d: comparable(
             collapse(pivot(lines_by_year(s, d), FLAGS, ["year"], ["l_extendedprice"]), FLAGS, depth=1), FLAGS
         ),
-        "SELECT * FROM ("
+        "SELECT * REPLACE (ROW_NUMBER() OVER (ORDER BY place) AS place) FROM ("
         + pivot_sql("lineitem", FLAG_DIMS, YEAR_SQL, YEAR_KEYS, {"l_extendedprice": "l_extendedprice"})
         + ") WHERE row_depth <= 1",
     ),
@@ -200,7 +203,7 @@ FROM lineitem GROUP BY 1, 2, 3""",
         lambda s, d: comparable(
             collapse(pivot(lines_by_year(s, d), FLAGS, ["year"], ["l_extendedprice"]), FLAGS, nodes=[["A"]]), FLAGS
         ),
-        "SELECT * FROM ("
+        "SELECT * REPLACE (ROW_NUMBER() OVER (ORDER BY place) AS place) FROM ("
         + pivot_sql("lineitem", FLAG_DIMS, YEAR_SQL, YEAR_KEYS, {"l_extendedprice": "l_extendedprice"})
         + ") WHERE NOT (row_depth > 1 AND l_returnflag = 'A')",
     ),

@@ -13,6 +13,7 @@ from ..operators import charts, filters, grid
 from ..operators.filters import DrillSpec, FilterSpec, RangeSpec
 from ..sources.dictionary import Dictionary
 from ..sources.export import formatted
+from .scratch import scratch_folder
 from .stats_cases import rounded, table
 
 LINE_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
@@ -97,7 +98,9 @@ def _filter_result(spark, d):
 
 def _sort_result(spark, d):
     result = charts.chart_sum(table(spark, d, "lineitem"), ["l_partkey"], ["l_quantity"])
-    return grid.sort_result(result, [("l_quantity", False)], ["l_partkey"], measures=["l_quantity"])
+    return grid.with_places(
+        result, grid.result_order(result, [("l_quantity", False)], ["l_partkey"], ["l_quantity"]), scratch_folder(spark)
+    )
 
 
 def _combined(spark, d):
@@ -140,6 +143,13 @@ def _page(index: int, size: int = 100, **more):
     return query
 
 
+def _rank_index(spark, d):
+    """Pages near the front, deep and last of an order that was written once, with their places."""
+    index = grid.RankIndex.write(table(spark, d, "lineitem"), scratch_folder(spark), [("l_shipdate", False)], LINE_KEYS)
+    pages = reduce(DataFrame.unionAll, [index.page(i, 100) for i in (3, 250, 10**9)])
+    return pages.withColumnRenamed("__place", "place").distinct()
+
+
 def _filtered_page(spark, d):
     df = table(spark, d, "lineitem")
     return grid.page(
@@ -352,8 +362,14 @@ WHERE instr(CAST(l_suppkey AS VARCHAR), '1') > 0 AND l_quantity BETWEEN 100 AND
     ),
     "sort_result": (
         _sort_result,
-        """SELECT l_partkey, SUM(l_quantity) AS l_quantity FROM lineitem GROUP BY 1
-ORDER BY l_quantity DESC NULLS LAST, lower(CAST(l_partkey AS VARCHAR))""",
+        """SELECT *, ROW_NUMBER() OVER (ORDER BY l_quantity DESC NULLS LAST, lower(CAST(l_partkey AS VARCHAR))) AS place
+FROM (SELECT l_partkey, SUM(l_quantity) AS l_quantity FROM lineitem GROUP BY 1)""",
+    ),
+    "grid_rank_index": (
+        _rank_index,
+        f"""SELECT *, ROW_NUMBER() OVER (ORDER BY l_shipdate DESC NULLS LAST, {LINE_ORDER}) - 1 AS place FROM lineitem
+QUALIFY place BETWEEN 300 AND 399 OR place BETWEEN (SELECT ((COUNT(*) - 1) // 100) * 100 FROM lineitem) AND (SELECT COUNT(*) FROM lineitem)
+  OR place // 100 = (SELECT LEAST(25000, ((COUNT(*) - 1) // 100) * 100) // 100 FROM lineitem)""",
     ),
     "grid_page": (
         _page(3),
