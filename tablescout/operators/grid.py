@@ -6,6 +6,7 @@ import json
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -317,10 +318,17 @@ def write_in_order(df: DataFrame, path: str, order: Sequence[Column], parts: int
     # The schema is kept beside: a table without rows has no part to read it from.
     spark = df.sparkSession
     spark.createDataFrame([(placed.schema.json(),)], "schema string").coalesce(1).write.text(path + "/schema")
-    # One row per part: its rows, and how many stand before it.
-    counts = _rows_of(spark, path).groupBy(PART).agg(F.count(F.lit(1)).alias("held"))
-    before = F.sum("held").over(Window.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1))
-    counts.select(PART, "held", F.coalesce(before, F.lit(0)).alias("before")).coalesce(1).write.parquet(path + "/parts")
+    parts_of(_rows_of(spark, path), F.col(PART)).coalesce(1).write.parquet(path + "/parts")
+
+
+def parts_of(rows: DataFrame, part: Column) -> DataFrame:
+    """``(__part, held, before)``: each part's rows, and how many stand in parts before it.
+
+    The driver adds up one count per written part, of which it knows anyway.
+    """
+    counts = sorted(tuple(r) for r in rows.groupBy(part.alias(PART)).agg(F.count(F.lit(1)).alias("held")).collect())
+    before = accumulate([0, *(held for _, held in counts)])
+    return rows.sparkSession.createDataFrame([(p, held, b) for (p, held), b in zip(counts, before, strict=False)], PARTS_SCHEMA)
 
 
 def _rows_of(spark: SparkSession, path: str) -> DataFrame:
@@ -385,13 +393,11 @@ def dense_places(df: DataFrame, ord_name: str, path: str, name: str = "place") -
     whatever is computed again; rows are numbered inside parts, and parts' counts are added up.
     """
     df.write.parquet(path)
-    rows = df.sparkSession.read.schema(df.schema).parquet(path).withColumn(PART, F.shiftright(F.col(ord_name), 33))
-    counts = rows.groupBy(PART).agg(F.count(F.lit(1)).alias("__held"))
-    before = F.sum("__held").over(Window.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select(PART, F.coalesce(before, F.lit(0)).alias("__before"))
+    rows = df.sparkSession.read.schema(df.schema).parquet(path)
+    part = F.shiftright(F.col(ord_name), 33).cast("int")
     within = F.row_number().over(Window.partitionBy(PART).orderBy(ord_name))
-    numbered = rows.withColumn(WITHIN, within).join(offsets, PART)
-    return numbered.withColumn(name, F.col("__before") + F.col(WITHIN)).drop(PART, WITHIN, "__before")
+    numbered = rows.withColumn(PART, part).withColumn(WITHIN, within).join(parts_of(rows, part), PART)
+    return numbered.withColumn(name, F.col("before") + F.col(WITHIN)).drop(PART, WITHIN, "held", "before")
 
 
 def with_places(df: DataFrame, order: Sequence[Column], path: str, name: str = "place") -> DataFrame:

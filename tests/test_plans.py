@@ -104,6 +104,23 @@ def test_pages_are_a_top_k(lines):
     assert "TakeOrderedAndProject" in plan_of(grid.page(lines, keys=["l_orderkey"], index=2))
 
 
+def test_a_page_ranks_keys_only(lines, monkeypatch):
+    """Where a page lies is found on its sort keys; whole rows are read between two keys."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    plans, collect = [], DataFrame.collect
+
+    def seen(self):
+        plans.append(plan_of(self))
+        return collect(self)
+
+    monkeypatch.setattr(DataFrame, "collect", seen)
+    out = grid.page(lines, [("l_shipdate", False)], ["l_orderkey", "l_linenumber"])
+    (ranking,) = plans
+    assert "ReadSchema: struct<l_orderkey:bigint,l_linenumber:int,l_shipdate" in ranking and "sha2" not in ranking
+    assert "l_shipdate" in plan_of(out).split("DataFilters", 1)[1]
+
+
 def test_a_hot_sort_key_is_spread(spark):
     df = spark.range(8000).select((F.col("id") % 1).alias("k"), F.lit("same").alias("v")).repartition(8)
     ordered = df.orderBy(*grid.grid_order(df, [], ["k"]), F.spark_partition_id())
