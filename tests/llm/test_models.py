@@ -160,6 +160,64 @@ def test_probabilities_sum_to_one(spark):
     assert np.allclose(inside, model.masses)
 
 
+def test_every_place_is_learnt_from(spark):
+    """Whole texts of all rows: null, empty, long, repeated, without an id; parts of any number."""
+    rows = corpus(80) + [(3, "a1 a2"), (None, "a1"), (500, None), (501, ""), (502, "a1 a2 " * 200_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for parts in (1, 7):
+        model = logbilinear.learn_language(docs.repartition(parts), logbilinear.count_words(docs))
+        assert model.places == model.tokens == sum(len(tokens(t)) for _, t in rows)
+
+
+def test_average_weighs_parts_by_their_places(spark):
+    """One round over two parts is the mean of what each part learns alone, by its places."""
+    shares = np.full(logbilinear.OTHERS + 3, 1 / (logbilinear.OTHERS + 3))
+    known, class_of, start = {b"a": 0, b"b": 1, b"": 2}, np.arange(3), logbilinear.first_guess(shares)
+    texts = ["a b a b", "a b"]
+    alone, seen = [], []
+    for part, text in enumerate(texts):
+        learner = logbilinear.NceLearner(start, shares, 0.01, part)
+        learner.add(np.array([known[w.encode()] for w in tokens(text)]))
+        alone.append(learner.finish())
+        seen.append(learner.seen)
+    expected = np.average(alone, axis=0, weights=seen)
+    docs = spark.sparkContext.parallelize([(t,) for t in texts], 2).toDF("text string")
+    got, places = logbilinear.learn_round(docs, start, shares, known, class_of, 0.01)
+    assert places == 5 + 3 and np.allclose(np.concatenate([v.ravel() for v in got.values()]), expected, atol=1e-6)
+    same, none = logbilinear.learn_round(docs.where("false"), start, shares, known, class_of, 0.01)
+    assert none == 0 and all(np.array_equal(same[k], start[k]) for k in start)
+
+
+def test_scores_are_sums_of_the_models_log_probabilities(spark, monkeypatch):
+    """Token by token: softmax over all classes, times the word's share of its class's counts."""
+    monkeypatch.setattr(logbilinear, "KNOWN", 300)
+    rows = corpus(90)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    training = ~in_fold("doc_id", 5, 1)
+    counts = logbilinear.count_words(docs.where(training))
+    model = logbilinear.learn_language(docs.where(training), counts)
+    table = {bytes(r.word): r.c for r in counts.collect()}
+
+    def class_of(word):
+        rank = model.known.get(word, model.top)
+        return rank if rank < model.top else model.top + logbilinear.other_class(word)
+
+    def score(text):
+        total, before = 0.0, [model.classes] * logbilinear.CONTEXT
+        for word in (w.encode() for w in tokens(text)):
+            hat = sum(model.context[k][before[k]] for k in range(logbilinear.CONTEXT))
+            odds = (model.vectors @ hat + model.bias).astype(float)
+            own = class_of(word)
+            total += odds[own] - np.log(np.exp(odds).sum())
+            if own >= model.top:
+                total += math.log((table.get(word, 0) + 0.5) / model.masses[own - model.top])
+            before = [own, *before[:-1]]
+        return total / math.log(10)
+
+    out = {r.doc_id: r.score for r in logbilinear.language_scores(docs, training).collect()}
+    assert all(abs(out[i] - score(t)) < 1e-3 * len(tokens(t)) ** 0.5 for i, t in rows)
+
+
 def test_no_training_rows_and_no_rows(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     out = logbilinear.language_scores(docs, F.lit(False)).orderBy("doc_id").collect()
