@@ -25,16 +25,20 @@ from tablescout.llm.common import saved, small_batches
 TOKEN = re.compile(rb"[a-z0-9'\x80-\xff]+")
 
 #: Buckets of tokens; the model is as large at any scale.
-BUCKETS = 1 << 17
+BUCKETS = 1 << 18
 
 #: At most so many labelled documents of each class are learnt from: those with the least hash of their id.
 SAMPLE = {1: 10_000, 0: 20_000}
 
-#: Prior strengths of a bucket in tokens to choose from, cost of a token, and evidence from which a segment is significant.
-PRIORS, TOKEN_COST, SIGNIFICANT = (1.0, 3.0, 10.0), 2.0, 1.5
+#: What the training folds choose from: a bucket's prior strength in tokens, the cost of a token, and the
+#: evidence from which a segment is significant.
+PRIORS, COSTS, LEVELS = (0.3, 1.0, 3.0, 10.0, 30.0), (1.0, 1.5, 2.0, 3.0), (0.0, 1.5, 3.0)
+
+#: Cost under which the prior is chosen.
+FIRST_COST = 1.5
 
 #: Parts of the sample; each is weighed with scores learnt from the other parts.
-FOLDS = 4
+FOLDS = 5
 
 #: Distinct tokens that a worker remembers the bucket of; memory only.
 REMEMBERED = 300_000
@@ -90,22 +94,32 @@ class ToxicityModel:
     scores: np.ndarray  # by bucket
     rate: float  # lambda: scores times this are in nats
     log_k: float  # ln K of the extreme-value law
+    level: float  # evidence from which a segment is significant
     offset: float
     slope: float
 
-    def evidence(self, found: np.ndarray) -> tuple[float, list[tuple[int, int, float]]]:
-        """The sum of the significant segments' evidence (else that of the best one), and those segments."""
+    def rated(self, found: np.ndarray) -> list[tuple[int, int, float]]:
+        """All maximal segments with their evidence."""
         if not len(found):
-            return 0.0, []
+            return []
         least = self.log_k + np.log(len(found))
-        rated = [(a, b, self.rate * s - least) for a, b, s in maximal_segments(self.scores[found])]
-        strong = [x for x in rated if x[2] >= SIGNIFICANT]
-        return (sum(x[2] for x in strong) if strong else max([0.0, *(x[2] for x in rated)])), strong
+        return [(a, b, self.rate * s - least) for a, b, s in maximal_segments(self.scores[found])]
+
+    def evidence(self, found: np.ndarray) -> tuple[float, list[tuple[int, int, float]]]:
+        """The sum of the significant segments' evidence (else that of the best one), and those segments."""
+        rated = self.rated(found)
+        return total_evidence(rated, self.level), [x for x in rated if x[2] >= self.level]
 
     def probability(self, evidence: float) -> float:
         return float(1 / (1 + np.exp(-(self.offset + self.slope * np.arcsinh(evidence)))))
 
 
+def total_evidence(rated: list[tuple[int, int, float]], level: float) -> float:
+    """Evidence of all segments from ``level``; where there are none, of the best one, 0 at least."""
+    strong = [x[2] for x in rated if x[2] >= level]
+    return sum(strong) if strong else max([0.0, *(x[2] for x in rated)])
+
+
 def _class_counts(rows: DataFrame) -> np.ndarray:
     """Token counts by fold, class (clean, toxic) and bucket of rows (text, toxic, fold)."""
 
@@ -125,14 +139,14 @@ def _class_counts(rows: DataFrame) -> np.ndarray:
     return counts.reshape(FOLDS, 2, BUCKETS)
 
 
-def _scored(counts: np.ndarray, prior: float) -> ToxicityModel:
+def _scored(counts: np.ndarray, prior: float, cost: float) -> ToxicityModel:
     """Scores and their rate from counts by class and bucket, not yet calibrated."""
     totals = counts.sum(axis=1)
     share = (totals[1] + 1) / (totals.sum() + 2)
     odds = (counts[1] + prior * share) / (counts[0] + prior * (1 - share))
-    scores = (np.log(odds) - np.log(share / (1 - share)) - TOKEN_COST).astype(np.float32)
+    scores = (np.log(odds) - np.log(share / (1 - share)) - cost).astype(np.float32)
     clean = (counts[0] + prior * (1 - share) / BUCKETS) / (totals[0] + prior * (1 - share))
-    return ToxicityModel(scores, _rate(scores.astype(np.float64), clean), 0.0, -5.0, 0.0)
+    return ToxicityModel(scores, _rate(scores.astype(np.float64), clean), 0.0, LEVELS[0], -5.0, 0.0)
 
 
 def _rate(scores: np.ndarray, clean: np.ndarray) -> float:
@@ -164,8 +178,9 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, allowed: Column, id_col:
 
     Of each class at most ``SAMPLE`` documents teach, those whose id hashes least.  Labels that are
     null or neither 0 nor 1, and null ids, teach nothing; an id marked both ways counts as toxic.
-    The prior's strength is the one whose calibration fits best, each document weighed by scores
-    learnt without it.  Without documents of both classes, every text scores about 0.
+    The prior's strength, then the token's cost and the level of significance are those whose
+    calibration fits best, each document weighed by scores learnt without it; nothing is chosen on
+    other ids.  Without documents of both classes, every text scores about 0.
     """
     small_batches(docs.sparkSession)
     marked = (
@@ -187,36 +202,49 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, allowed: Column, id_col:
     )
     counts = _class_counts(rows)
     whole = counts.sum(axis=0)
-    models = [[_scored(whole - counts[f], prior) for f in range(FOLDS)] for prior in PRIORS]
 
-    def weigh(of) -> pd.DataFrame:
-        """``of(model, found)`` for each sampled document under each prior, by the model without its fold."""
+    def weigh(models: list[list[ToxicityModel]], of) -> pd.DataFrame:
+        """``of(model, found)``, a list, for each sampled document under each setting, by the model without its fold."""
 
         def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             buckets = Buckets()
             for batch in batches:
                 found = [buckets.of(tokens(text)) for text in batch["text"]]
-                out = [[of(own[f], x) for own in models] for f, x in zip(batch["fold"], found, strict=True)]
+                out = [[v for own in models for v in of(own[f], x)] for f, x in zip(batch["fold"], found, strict=True)]
                 yield pd.DataFrame({"toxic": batch["toxic"], "n": list(map(len, found)), "value": out})
 
         return rows.mapInPandas(each, "toxic int, n long, value array<double>").toPandas()  # a row per sampled document
 
-    # The location of the law comes from clean documents: the mean of an extreme is ln K + ln n + Euler's constant.
-    tops = weigh(lambda own, x: own.rate * max([0.0, *(s for *_, s in maximal_segments(own.scores[x]))]))
-    calm = tops[(tops["toxic"] == 0) & (tops["n"] > 0)]
-    if not len(calm) or tops["toxic"].nunique() < 2:
-        return _scored(whole, PRIORS[-1])
-    places = np.array(calm["value"].tolist()).mean(axis=0) - np.log(calm["n"]).mean() - np.euler_gamma
-    for own, place in zip(models, places.tolist(), strict=True):
-        for one in own:
-            one.log_k = place
-    weighed = weigh(lambda own, x: own.evidence(x)[0])
-    evidence, toxic = np.array(weighed["value"].tolist()), weighed["toxic"].to_numpy()
-    fits = [_logistic(np.arcsinh(evidence[:, k]), toxic) for k in range(len(PRIORS))]
-    best = min(range(len(PRIORS)), key=lambda k: fits[k][2])
-    model = _scored(whole, PRIORS[best])
-    model.log_k, (model.offset, model.slope, _) = float(places[best]), fits[best]
-    return model
+    def best_of(settings: list[tuple[float, float]]) -> tuple[float, float, ToxicityModel] | None:
+        """Prior, cost and model of the setting and level that fit best; None without both classes."""
+        models = [[_scored(whole - counts[f], *setting) for f in range(FOLDS)] for setting in settings]
+        # The location of the law comes from clean documents: the mean of an extreme is ln K + ln n + Euler's constant.
+        tops = weigh(models, lambda own, x: [own.rate * max([0.0, *(s for *_, s in maximal_segments(own.scores[x]))])])
+        calm = tops[(tops["toxic"] == 0) & (tops["n"] > 0)]
+        if not len(calm) or tops["toxic"].nunique() < 2:
+            return None
+        places = np.array(calm["value"].tolist()).mean(axis=0) - np.log(calm["n"]).mean() - np.euler_gamma
+        for own, place in zip(models, places.tolist(), strict=True):
+            for one in own:
+                one.log_k = place
+
+        def by_level(own: ToxicityModel, x: np.ndarray) -> list[float]:
+            rated = own.rated(x)
+            return [total_evidence(rated, level) for level in LEVELS]
+
+        weighed = weigh(models, by_level)
+        evidence, toxic = np.array(weighed["value"].tolist()), weighed["toxic"].to_numpy()
+        fits = [_logistic(np.arcsinh(evidence[:, k]), toxic) for k in range(evidence.shape[1])]
+        best = min(range(len(fits)), key=lambda k: fits[k][2])
+        at, level = divmod(best, len(LEVELS))
+        model = _scored(whole, *settings[at])
+        model.log_k, model.level, (model.offset, model.slope, _) = float(places[at]), LEVELS[level], fits[best]
+        return *settings[at], model
+
+    first = best_of([(prior, FIRST_COST) for prior in PRIORS])
+    if first is None:
+        return _scored(whole, PRIORS[-1], FIRST_COST)
+    return best_of([(first[0], cost) for cost in COSTS])[2]
 
 
 def toxicity_column(text: Column, model: ToxicityModel) -> Column:

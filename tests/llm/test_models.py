@@ -1,6 +1,8 @@
 import collections
 import math
 import random
+import re
+import zlib
 
 import numpy as np
 from hypothesis import given, settings
@@ -70,6 +72,52 @@ def test_toxicity_on_held_out_documents(spark):
         assert 0 <= r.t.score <= 1
 
 
+def best_passages(scores):
+    """Maximal segments by their definition: the best sum first (the shortest of equals), then left and right of it."""
+    best = max(
+        ((sum(scores[a : b + 1]), -(b - a), -a, b) for a in range(len(scores)) for b in range(a, len(scores))), default=(0, 0, 0, 0)
+    )
+    if best[0] <= 0:
+        return []
+    first, last = -best[2], best[3]
+    right = [(last + 1 + a, last + 1 + b) for a, b in best_passages(scores[last + 1 :])]
+    return [*best_passages(scores[:first]), (first, last), *right]
+
+
+def test_scores_and_passages_against_brute_force(spark):
+    """Whole scores from the model's table: log-odds, all maximal segments, their evidence, the curve."""
+    rows, labels = toxic_corpus(300)
+    rows = [(i, " ".join(t.split()[:40])) for i, t in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.learn_toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), ~in_fold("doc_id", 3, 1))
+    assert model.level in toxicity.LEVELS
+    out = {r.doc_id: r.t for r in docs.select("doc_id", toxicity.toxicity_column(F.col("text"), model).alias("t")).collect()}
+    for i, text in rows:
+        found = re.findall(r"[a-z0-9']+", text.lower())
+        scores = [round(float(model.scores[zlib.crc32(w.encode()) % toxicity.BUCKETS]), 12) for w in found]
+        rated = [(a, b, model.rate * sum(scores[a : b + 1]) - model.log_k - math.log(len(found))) for a, b in best_passages(scores)]
+        strong = [x for x in rated if x[2] >= model.level]
+        evidence = sum(x[2] for x in strong) if strong else max([0.0, *(x[2] for x in rated)])
+        expected = 1 / (1 + math.exp(-(model.offset + model.slope * math.asinh(evidence))))
+        assert abs(out[i].score - expected) < 1e-4
+        assert [(p.first, p.last) for p in out[i].passages] == [(a, b) for a, b, _ in strong]
+
+
+def test_labels_of_other_ids_change_nothing(spark):
+    """Neither scores nor prior, cost, level or curve follow labels that are not allowed."""
+    rows, labels = toxic_corpus(400)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    turned = [(i, 1 - t if brute.in_fold(i, 3, 1) else t) for i, t in labels]
+    one, other = (
+        toxicity.learn_toxicity(docs, spark.createDataFrame(given, "doc_id long, toxic int"), ~in_fold("doc_id", 3, 1))
+        for given in (labels, turned)
+    )
+    assert np.array_equal(one.scores, other.scores)
+    assert np.allclose(
+        [one.rate, one.log_k, one.level, one.offset, one.slope], [other.rate, other.log_k, other.level, other.offset, other.slope]
+    )
+
+
 def test_awkward_texts_score_like_texts_without_evidence(spark):
     rows, labels = toxic_corpus(400)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
