@@ -80,10 +80,47 @@ def fmt_dimension(c: Column, dtype: T.DataType, field_type: str | None = None) -
     return _formatted(c, dtype, plain)
 
 
+#: 2^27 + 1 splits a double into halves whose products are exact; 10^22 is the last exact power of ten.
+SPLITTER, EXACT_POWER = 134217729.0, 22
+
+#: Below this a double has a fraction bit to spare.
+WHOLE = float(1 << 52)
+
+
+def _halves(x: Column) -> tuple[Column, Column]:
+    wide = x * F.lit(SPLITTER)
+    high = wide - (wide - x)
+    return high, x - high
+
+
 def round_measure(c: Column, places: int = 2) -> Column:
-    """Round to ``places`` with ties to even; NaN and infinities stay."""
-    special = F.isnan(c) | c.isin(float("inf"), float("-inf"))
-    return F.when(special, c).otherwise(F.bround(c, clamp_places(places)))
+    """A double rounded by its exact binary value, exact ties to even; NaN and infinities stay.
+
+    2.675 lies below the tie its digits show, so it becomes 2.67.  The product with the power of ten
+    is split into the rounded product and its exact error, which decides where the product shows a
+    tie.  Numbers that have no fraction left at that scale, and more than 22 places, are rounded by
+    their shortest digits.
+    """
+    places = clamp_places(places)
+    x = c.cast("double")
+    special = F.isnan(x) | (F.abs(x) == float("inf"))
+    by_digits = F.bround(x, places)
+    if places > EXACT_POWER:
+        return F.when(special, x).otherwise(by_digits)
+    power = float(10**places)
+    size = F.abs(x)
+    scaled = size * F.lit(power)
+    high, low = _halves(size)
+    head = float(power * SPLITTER)
+    head = head - (head - power)
+    tail = power - head
+    error = ((high * F.lit(head) - scaled) + high * F.lit(tail) + low * F.lit(head)) + low * F.lit(tail)
+    whole = F.floor(scaled)
+    over = (scaled - whole) - F.lit(0.5)
+    side = F.when(over != 0, over).otherwise(error)
+    up = F.when(side > 0, 1).when(side < 0, 0).otherwise(whole % 2)
+    exact = F.signum(x) * ((whole + up).cast("double") / F.lit(power))
+    return F.when(special, x).when(scaled < WHOLE, exact).otherwise(by_digits)
 
 
 def edge_text(x: Column) -> Column:

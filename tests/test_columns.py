@@ -1,6 +1,7 @@
 """Casts, texts and formats: the places where engines differ."""
 
 import math
+import random
 
 import duckdb
 import pytest
@@ -118,3 +119,23 @@ def test_names_with_special_characters(spark):
 @pytest.mark.parametrize("n,text", [(512, "512 bytes"), (1536, "1.50 KB"), (3 * 1024 * 1024, "3.00 MB"), (-1, "unknown")])
 def test_sizes(spark, n, text):
     assert one(spark, n, T.LongType(), lambda c, t: formats.size_text(c)) == text
+
+
+def test_rounding_by_exact_value(spark):
+    """Like Python's round: ties of the digits are decided by the binary value, true ties go to even."""
+    rng = random.Random(5)
+    given = [2.675, 1.005, 0.125, 0.375, 2.5, 3.5, -2.675, 0.0, -0.0, 1e15, 4503599627370495.5, 9007199254740993.0, 1e300, 5e-324]
+    given += [round(rng.uniform(-1e6, 1e6), 4) for _ in range(500)]
+    given += [(rng.randrange(-(10**9), 10**9) * 10 + 5) / 10 ** rng.randrange(1, 8) for _ in range(3_000)]
+    given += [rng.randrange(-(10**6), 10**6) / 2 ** rng.randrange(1, 12) for _ in range(1_000)]
+    df = spark.createDataFrame([(float(x),) for x in given], "x double")
+    out = df.select("x", *[formats.round_measure(F.col("x"), n).alias(f"r{n}") for n in (0, 1, 2, 3, 6)]).collect()
+    for r in out:
+        assert [r[f"r{n}"] for n in (0, 1, 2, 3, 6)] == [round(r.x, n) for n in (0, 1, 2, 3, 6)], r.x
+
+
+def test_rounding_keeps_what_is_no_finite_number(spark):
+    df = spark.createDataFrame([(math.nan,), (math.inf,), (-math.inf,), (None,)], "x double")
+    out = [r[0] for r in df.select(formats.round_measure(F.col("x"))).collect()]
+    assert math.isnan(out[0]) and out[1:] == [math.inf, -math.inf, None]
+    assert df.limit(0).select(formats.round_measure(F.col("x"), 40)).collect() == []
