@@ -76,21 +76,21 @@ def _profiled(s, d):
 def _quick_stats(s, d):
     """All tables of the quick statistics as rows ``(part, field, label, number)``."""
     df, dictionary = _profiled(s, d)
-    out = quickstats.quick_stats(df, dictionary, 4, places=1)
+    out = quickstats.quick_stats(df, dictionary, 4, places=3)
     parts = [
         out["top"].select(F.lit("top").alias("part"), "field", F.col("value").alias("label"), F.col("cnt").cast("double").alias("number")),
         out["nulls"].select(F.lit("nulls").alias("part"), "field", F.lit(None).cast("string").alias("label"), F.col("null_count").cast("double").alias("number")),
     ]
-    for name in ("min", "max", "mean", "median"):
-        parts.append(out["num"].select(F.lit("num").alias("part"), "field", F.lit(name).alias("label"), F.round(name, 0).alias("number")))
+    for name in ("min", "max", "sum", "mean", "median"):
+        parts.append(out["num"].select(F.lit("num").alias("part"), "field", F.lit(name).alias("label"), F.col(name).alias("number")))
     return reduce(DataFrame.unionByName, parts)
 
 
 def _quick_stats_sql() -> str:
     top = {"status": "status", "day": "strftime(day, '%Y%m%d')", "k": "CAST(k AS VARCHAR)"}
     numbers = union(
-        f"SELECT 'num' AS part, 'amount' AS field, '{n}' AS label, ROUND({f}(amount), 0) AS number FROM {SOURCE}"
-        for n, f in [("min", "MIN"), ("max", "MAX"), ("mean", "AVG"), ("median", "MEDIAN")]
+        f"SELECT 'num' AS part, 'amount' AS field, '{n}' AS label, ROUND({f}(amount), 3) AS number FROM {SOURCE}"
+        for n, f in [("min", "MIN"), ("max", "MAX"), ("sum", "SUM"), ("mean", "AVG"), ("median", "MEDIAN")]
     )
     nulls = union(
         f"SELECT 'nulls', '{c}', NULL, CAST(COUNT(*) - COUNT({c}) AS DOUBLE) FROM {SOURCE}" for c in ("k", "status", "amount", "day")
