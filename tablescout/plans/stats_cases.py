@@ -282,23 +282,39 @@ def _customer(spark, d):
 
 
 def _digest(spark, d):
-    """Digests of the customers' profile; the table's own row and each field's heading and counts."""
+    """Whole digests of the customers' profile: heading and counts, figures of measures as numbers, all further lines."""
     df, dictionary = _customer(spark, d)
     full = profile.profile_dataset(df, dictionary)
     lines = F.split("digest", "\n")
-    return profile_digest(full.fields, full.distributions, full.duplicates).select(
-        "ord", "field", F.array_join(F.slice(lines, 1, 2), "\n").alias("head")
-    )
+    figures = F.get(F.filter(lines, lambda x: x.startswith("  min=")), F.lit(0))
+    rest = F.filter(F.slice(lines, 3, 1_000_000), lambda x: ~x.startswith("  min="))
+    out = profile_digest(full.fields, full.distributions, full.duplicates).select(
+        "ord", "field", F.array_join(F.slice(lines, 1, 2), "\n").alias("head"), F.array_join(rest, "\n").alias("rest"),
+        *[F.regexp_extract(figures, rf" {short}=(\S+)", 1).try_cast("double").alias(name) for short, name in FIGURES.items()],
+    )
+    for name, places in PROFILE_ROUNDING.items():
+        out = rounded(out, places, name)
+    return out
+
+
+FIGURES = {
+    "min": "num_min", "max": "num_max", "mean": "num_mean", "median": "num_median", "std": "num_std_pop", "var": "num_var_pop",
+}
 
 
 def digest_sql(source: str, fields) -> str:
     columns = ", ".join(n for n, *_ in fields)
-    return f"""WITH p AS ({profile_sql(source, fields)}), d AS ({duplicate_sql(source, columns)})
+    dims = {n: f"CAST({n} AS VARCHAR)" for n, _, _, role, _ in fields if role == "D"}
+    return f"""WITH p AS ({profile_sql(source, fields)}), d AS ({duplicate_sql(source, columns)}),
+v AS (SELECT field, '  top values: ' || string_agg(label || ':' || cnt, ', ' ORDER BY ord) AS tops
+  FROM ({value_distribution_sql(source, dims, 50)}) GROUP BY field)
 SELECT -1 AS ord, NULL AS field, 'Rows: ' || total_rows || '; duplicate extra rows: ' || duplicate_extra_rows || ' ('
-  || format('{{:.2f}}', duplicate_pct) || '%)' AS head FROM d
+  || format('{{:.2f}}', duplicate_pct) || '%)' AS head, '' AS rest, {", ".join(f"NULL AS {n}" for n in FIGURES.values())} FROM d
 UNION ALL SELECT ord, field, '=== ' || field || ' (' || inferred_semantic || ', meta ' || meta_type || ') ===' || chr(10)
   || '  missing%=' || format('{{:.2f}}', missing_pct) || ' nulls=' || null_count || ' empty_str=' || empty_count
-  || ' distinct=' || distinct_count || ' unique%=' || format('{{:.2f}}', unique_pct) FROM p"""
+  || ' distinct=' || distinct_count || ' unique%=' || format('{{:.2f}}', unique_pct),
+  CASE WHEN role = 'D' THEN tops ELSE '  IQR outliers: ' || outlier_count || ' (' || format('{{:.2f}}', outlier_pct) || '%)' END,
+  {", ".join(FIGURES.values())} FROM p LEFT JOIN v USING (field)"""
 
 
 DAY = "strftime({c}, '%Y%m%d')"
