@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 
 from ..operators import distribution, filters, grid, profile, quality, quickstats, report
 from ..operators.filters import DrillSpec
+from ..operators.generate import STATES
 from ..operators.pivot import pivot, pivot_long
 from ..sources.delimited import file_facts, read_dataset
 from ..sources.dictionary import Dictionary, Field
-from ..sources.export import delimited_lines, export_csv
+from ..sources.export import delimited_lines, export_csv, write_synthetic
 from .pivot_cases import comparable, pivot_sql
 from .scratch import scratch_folder
-from .source_cases import synthetic
+from .source_cases import RULES, draw_sql, synthetic
 from .stats_cases import (
     CUSTOMER_FIELDS,
     _customer,
@@ -163,6 +164,17 @@ def _lines(s, d):
     return s.read.text(path).select(F.col("value").alias("line"))
 
 
+WRITTEN = ["LOAN_NBR", "STATE", "FEE", "END_DT", "METHOD", "ACTIVE", "NAME"]
+
+
+def _written(s, d):
+    """All lines of a synthetic file, its header too, as many rows as there are orders."""
+    path = scratch_folder(s) + "/written"
+    rules = [rule for rule in RULES if rule.name in WRITTEN]
+    write_synthetic(s, rules, table(s, d, "orders").count(), path, seed=11)
+    return s.read.text(path).select(F.col("value").alias("line"))
+
+
 def _facts(s, d):
     facts = file_facts(s, f"{d}/orders.parquet")
     return facts.select(F.regexp_extract("file_name", r"\.([a-z]+)$", 1).alias("extension"), F.col("file_size") > 0, "format", "delimiter").toDF(
@@ -272,6 +284,15 @@ UNION ALL SELECT 'day', COUNT(*), 0, 0 FROM {SOURCE}""",
         _lines,
         """SELECT lpad(CAST(o_orderkey + 1 AS VARCHAR), 9, '0') || '|9999-12-31 00:00:00|A|NAME_' || (o_orderkey + 1) AS line FROM orders""",
     ),
+    "write_synthetic": (
+        _written,
+        f"""WITH o AS (SELECT range AS o_orderkey FROM range((SELECT COUNT(*) FROM orders))),
+u AS (SELECT o_orderkey AS id, {draw_sql('STATE')} AS s, {draw_sql('FEE')} AS f, {draw_sql('METHOD')} AS m FROM o)
+SELECT '{"|".join(WRITTEN)}' AS line UNION ALL
+SELECT concat_ws('|', lpad(CAST(id + 1 AS VARCHAR), 9, '0'), list_extract({STATES!r}, CAST(floor(s * {len(STATES)}) AS INTEGER) + 1),
+  CAST(CAST(round_even(2.0 + f * 99997.0, 0) AS BIGINT) AS VARCHAR), '9999-12-31 00:00:00',
+  list_extract(['Cash', 'Card', 'Wire'], CAST(floor(m * 3) AS INTEGER) + 1), 'A', 'NAME_' || (id + 1)) FROM u""",
+    ),
     "file_facts": (
         _facts,
         "SELECT 'parquet' AS extension, TRUE AS has_size, 'Parquet (columnar binary)' AS format, 'Comma' AS delimiter",

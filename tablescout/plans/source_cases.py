@@ -135,12 +135,12 @@ def _export_roundtrip(spark, d):
 
 def _text_roundtrip(spark, d):
     """Texts with line breaks, quotes and delimiters survive the file."""
-    df = table(spark, d, "conversations").select("conv_id", "turn", "text")
+    df = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
     dictionary = Dictionary.of(df, (), ["conv_id", "turn"])
     path = scratch_folder(spark) + "/texts"
     export_csv(df, path, dictionary)
     back = read_dataset(spark, path, dictionary, multiline=True).df
-    return back.select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), "text")
+    return back.select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), "role", "text")
 
 
 def _pivot_roundtrip(spark, d):
@@ -246,7 +246,7 @@ SELECT lpad(CAST(id + 1 AS VARCHAR), 9, '0') AS "LOAN_NBR",
   list_extract(['Cash', 'Card', 'Wire'], CAST(floor(m * 3) AS INTEGER) + 1) AS "METHOD" FROM u""",
     ),
     "export_roundtrip": (_export_roundtrip, "SELECT * FROM orders WHERE o_orderstatus = 'F'"),
-    "export_texts": (_text_roundtrip, "SELECT conv_id, turn, text FROM conversations"),
+    "export_texts": (_text_roundtrip, "SELECT conv_id, turn, role, text FROM conversations"),
     "export_pivot": (
         _pivot_roundtrip,
         """WITH g AS (SELECT o_orderpriority AS p, o_orderstatus AS k, SUM(o_totalprice) AS v FROM orders GROUP BY 1, 2)
