@@ -61,8 +61,13 @@ def typed_counts(df: DataFrame, fields: Sequence[str]) -> list[tuple[T.DataType,
 
 
 def key_of(c: Column, dtype: T.DataType) -> Column:
-    """What rows are grouped by to tell equal cells: texts by their SHA-256, so that none is shuffled whole."""
-    return F.unhex(F.sha2(c, 256)) if isinstance(dtype, T.StringType) else c
+    """What rows are grouped by to tell equal cells: a text by its SHA-256, or by itself where it is shorter than that.
+
+    Digests have 32 bytes and such texts fewer, so the two never meet.
+    """
+    if not isinstance(dtype, T.StringType):
+        return c
+    return F.when(F.octet_length(c) < 32, c.cast("binary")).otherwise(F.unhex(F.sha2(c, 256)))
 
 
 def value_counts(df: DataFrame, fields: Sequence[str]) -> DataFrame:

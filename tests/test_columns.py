@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablescout.functions import columns, formats
+from tablescout.operators.values import key_of
 
 
 def one(spark, value, dtype, expr):
@@ -139,3 +140,13 @@ def test_rounding_keeps_what_is_no_finite_number(spark):
     out = [r[0] for r in df.select(formats.round_measure(F.col("x"))).collect()]
     assert math.isnan(out[0]) and out[1:] == [math.inf, -math.inf, None]
     assert df.limit(0).select(formats.round_measure(F.col("x"), 40)).collect() == []
+
+
+def test_keys_tell_texts_of_any_length_apart(spark):
+    """Around the digest's length, in bytes of UTF-8; NULL stays NULL."""
+    texts = ["", " ", "a", *[c * n for c in "aé" for n in (15, 16, 17, 30, 31, 32, 33, 5_000)], None]
+    df = spark.createDataFrame([(t,) for t in texts * 2], "t string")
+    out = df.select(key_of(F.col("t"), T.StringType()).alias("k"), "t").distinct().collect()
+    assert len(out) == len(texts) == len({r.k and bytes(r.k) for r in out})
+    assert [r.t for r in out if r.k is None] == [None]
+    assert all(len(r.k) <= 32 for r in out if r.t is not None)
