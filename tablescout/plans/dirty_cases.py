@@ -164,13 +164,13 @@ def _lines(s, d):
     return s.read.text(path).select(F.col("value").alias("line"))
 
 
-WRITTEN = ["LOAN_NBR", "STATE", "FEE", "END_DT", "METHOD", "ACTIVE", "NAME"]
+WRITTEN_FIELDS = ["LOAN_NBR", "STATE", "FEE", "END_DT", "METHOD", "ACTIVE", "NAME"]
 
 
 def _written(s, d):
     """All lines of a synthetic file, its header too, as many rows as there are orders."""
     path = scratch_folder(s) + "/written"
-    rules = [rule for rule in RULES if rule.name in WRITTEN]
+    rules = [rule for rule in RULES if rule.name in WRITTEN_FIELDS]
     write_synthetic(s, rules, table(s, d, "orders").count(), path, seed=11)
     return s.read.text(path).select(F.col("value").alias("line"))
 
@@ -288,7 +288,7 @@ UNION ALL SELECT 'day', COUNT(*), 0, 0 FROM {SOURCE}""",
         _written,
         f"""WITH o AS (SELECT range AS o_orderkey FROM range((SELECT COUNT(*) FROM orders))),
 u AS (SELECT o_orderkey AS id, {draw_sql('STATE')} AS s, {draw_sql('FEE')} AS f, {draw_sql('METHOD')} AS m FROM o)
-SELECT '{"|".join(WRITTEN)}' AS line UNION ALL
+SELECT '{"|".join(WRITTEN_FIELDS)}' AS line UNION ALL
 SELECT concat_ws('|', lpad(CAST(id + 1 AS VARCHAR), 9, '0'), list_extract({STATES!r}, CAST(floor(s * {len(STATES)}) AS INTEGER) + 1),
   CAST(CAST(round_even(2.0 + f * 99997.0, 0) AS BIGINT) AS VARCHAR), '9999-12-31 00:00:00',
   list_extract(['Cash', 'Card', 'Wire'], CAST(floor(m * 3) AS INTEGER) + 1), 'A', 'NAME_' || (id + 1)) FROM u""",

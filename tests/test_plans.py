@@ -1,6 +1,9 @@
 """Shapes of plans that have to hold at scale."""
 
+import ast
 import re
+from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -139,3 +142,15 @@ def test_a_hot_value_and_a_hot_row(spark):
     row = quality.duplicate_rows(df).first()
     assert (row["distinct_full_rows"], row["duplicate_extra_rows"]) == (6001, 2999)
     assert quickstats.quick_num(df, ["x"], finish_rows=50).first()["median"] == df.agg(F.percentile("x", 0.5)).first()[0]
+
+
+@pytest.mark.parametrize("path", sorted(Path(catalog.__file__).parent.glob("*.py")), ids=lambda p: p.name)
+def test_a_name_of_a_module_is_given_once(path):
+    """SQL is put together from constants by name; a second constant of that name would spoil it."""
+    given = [t.id for node in ast.parse(path.read_text()).body if isinstance(node, ast.Assign) for t in node.targets if isinstance(t, ast.Name)]
+    assert [name for name, times in Counter(given).items() if times > 1] == []
+
+
+@pytest.mark.parametrize("name", ["pivot_dirty", "sort_result_dirty"])
+def test_text_cells_are_read_as_numbers_in_sql_too(name):
+    assert "try_cast(replace(trim(written), '_', '') AS DOUBLE)" in catalog.oracle_sql()[name]
