@@ -25,7 +25,7 @@ from .distribution import bin_distribution, value_distribution
 from .percentiles import FINISH_ROWS, literal_double, percentile_values
 from .quality import QUARTILES, duplicate_rows, outlier_counts
 from .quickstats import one_row_per_field
-from .values import families, key_of, scalar_fields
+from .values import dealt, families, key_of, scalar_fields
 
 NUMERIC_BLOCK = ["num_min", "num_max", "num_mean", "num_median", "num_std_pop", "num_var_pop"]
 OUTLIER_BLOCK = ["outlier_count", "outlier_pct"]
@@ -75,7 +75,8 @@ def base_metrics(df: DataFrame, fields: Sequence[str] | None = None) -> DataFram
     Everything comes from the value counts: one shuffle for all columns of a type.
     """
     fields = scalar_fields(df, fields)
-    facts = [_facts(df, names, dtype) for dtype, names in families(df, fields)]
+    rows = dealt(df, fields)
+    facts = [_facts(rows, names, dtype) for dtype, names in families(df, fields)]
     table = facts[0]
     for part in facts[1:]:
         table = table.unionByName(part)

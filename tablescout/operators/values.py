@@ -8,6 +8,7 @@ and become text only afterwards, once per distinct value.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +17,9 @@ from pyspark.sql import types as T
 
 from ..functions.columns import is_complex, qcol, require_columns, text_of
 
+# Cells of one task that are counted by value at once: distinct ones take some 150 bytes each.
+TASK_CELLS = 4_000_000
+
 
 def _shared_type(dtype: T.DataType) -> T.DataType:
     """Type that columns of ``dtype`` are counted in; integers share one."""
@@ -50,9 +54,29 @@ def families(df: DataFrame, fields: Sequence[str]) -> list[tuple[T.DataType, lis
     return list(found.values())
 
 
+def dealt(df: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """The fields' columns, dealt to more tasks where one would count more than ``TASK_CELLS`` cells.
+
+    Counts are combined in the tasks that read the rows, and a small file of narrow rows is read by
+    one of them however many cells it unfolds into.  Rows go by a hash of their cells and of the
+    task that read them, which stays the same if a task is run again; copies of a row that one
+    task read stay together, as they were.
+    """
+    names = list(dict.fromkeys(fields))
+    rows = df.select(*[qcol(n) for n in names])
+    held = rows.groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("held"))
+    most, total = held.agg(F.coalesce(F.max("held"), F.lit(0)), F.coalesce(F.sum("held"), F.lit(0))).first()
+    hashed = [qcol(n) for n in names if "map<" not in df.schema[n].dataType.simpleString()]
+    if most * len(names) <= TASK_CELLS or not hashed:
+        return rows
+    parts = math.ceil(4 * total * len(names) / TASK_CELLS)
+    return rows.repartition(parts, F.spark_partition_id(), F.xxhash64(*hashed))
+
+
 def typed_counts(df: DataFrame, fields: Sequence[str]) -> list[tuple[T.DataType, DataFrame]]:
     """``(field, value, cnt)`` per type; NULL is counted as a value of its own."""
     out = []
+    df = dealt(df, fields)
     for dtype, names in families(df, fields):
         cols = [qcol(n).cast(dtype).alias(n) for n in names]
         long = df.select(*cols).unpivot([], [qcol(n) for n in names], "field", "value")

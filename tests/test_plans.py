@@ -8,7 +8,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from tablescout.operators import distribution, filters, grid, percentiles, profile, quality, quickstats
+from tablescout.operators import distribution, filters, grid, percentiles, profile, quality, quickstats, values
 from tablescout.operators.pivot import pivot
 from tablescout.plans import catalog
 from tablescout.plans.pivot_cases import FLAGS, lines_by_year
@@ -154,3 +154,17 @@ def test_a_name_of_a_module_is_given_once(path):
 @pytest.mark.parametrize("name", ["pivot_dirty", "sort_result_dirty"])
 def test_text_cells_are_read_as_numbers_in_sql_too(name):
     assert "try_cast(replace(trim(written), '_', '') AS DOUBLE)" in catalog.oracle_sql()[name]
+
+
+@pytest.mark.parametrize("query", [profile.base_metrics, quality.duplicate_rows, quickstats.quick_top], ids=lambda q: q.__name__)
+def test_rows_that_unfold_into_many_cells_are_dealt_to_more_tasks(spark, query, monkeypatch):
+    """No task counts many more cells than its share, though one task reads all rows; results stay."""
+    cells = [F.concat(F.lit(f"{i}."), F.col("id")).alias(f"t{i}") for i in range(5)]
+    df = spark.range(0, 4000, 1, 1).select(*cells, F.lit("same").alias("s"), F.col("id"))
+    whole = sorted(map(str, query(df).collect()))
+    assert "REPARTITION_BY_NUM" not in plan_of(query(df))
+    monkeypatch.setattr(values, "TASK_CELLS", 7000, raising=False)
+    assert "REPARTITION_BY_NUM" in plan_of(query(df))
+    assert sorted(map(str, query(df).collect())) == whole
+    dealt = values.dealt(df, df.columns).groupBy(F.spark_partition_id()).count()
+    assert dealt.agg(F.max("count")).first()[0] * len(df.columns) < 7000 and dealt.count() == 16
