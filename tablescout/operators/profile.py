@@ -25,7 +25,7 @@ from .distribution import bin_distribution, value_distribution
 from .percentiles import FINISH_ROWS, literal_double, percentile_values
 from .quality import QUARTILES, duplicate_rows, outlier_counts
 from .quickstats import one_row_per_field
-from .values import dealt, families, key_of, scalar_fields
+from .values import dealt, dealt_if_narrow, families, key_of, parts_for, scalar_fields
 
 NUMERIC_BLOCK = ["num_min", "num_max", "num_mean", "num_median", "num_std_pop", "num_var_pop"]
 OUTLIER_BLOCK = ["outlier_count", "outlier_pct"]
@@ -44,8 +44,8 @@ def _reads(c: Column, dtype: T.DataType) -> dict[str, Column]:
     }
 
 
-def _facts(df: DataFrame, names: Sequence[str], dtype: T.DataType) -> DataFrame:
-    """Counts per field of one type.
+def _facts(df: DataFrame, names: Sequence[str], dtype: T.DataType, parts: int = 0) -> DataFrame:
+    """Counts per field of one type; rows' keys are dealt to ``parts`` tasks first, if given.
 
     Cells are counted by value (texts by digest) with what they read as, so a value
     costs one small row per task however long or frequent it is.
@@ -56,7 +56,10 @@ def _facts(df: DataFrame, names: Sequence[str], dtype: T.DataType) -> DataFrame:
         flags = [F.coalesce(c.isNotNull() & reads, F.lit(False)).alias(k) for k, reads in _reads(c, dtype).items()]
         cells.append(F.struct(F.lit(name).alias("field"), key_of(c, dtype).alias("value"), *flags))
     kinds = ["empty", "boolean", "numeric", "timestamp"]
-    counts = df.select(F.inline(F.array(*cells))).groupBy("field", "value", *kinds).agg(F.count(F.lit(1)).alias("cnt"))
+    unfolded = F.array(*cells)
+    if parts:
+        df, unfolded = dealt(df.select(unfolded.alias("cells")), parts), F.col("cells")
+    counts = df.select(F.inline(unfolded)).groupBy("field", "value", *kinds).agg(F.count(F.lit(1)).alias("cnt"))
 
     def weight(cond: Column) -> Column:
         return F.sum(F.when(cond, F.col("cnt")).otherwise(0))
@@ -75,8 +78,10 @@ def base_metrics(df: DataFrame, fields: Sequence[str] | None = None) -> DataFram
     Everything comes from the value counts: one shuffle for all columns of a type.
     """
     fields = scalar_fields(df, fields)
-    rows = dealt(df, fields)
-    facts = [_facts(rows, names, dtype) for dtype, names in families(df, fields)]
+    parts = parts_for(df, fields)
+    if rows := dealt_if_narrow(df, fields, parts):
+        df, parts = rows, 0
+    facts = [_facts(df, names, dtype, parts) for dtype, names in families(df, fields)]
     table = facts[0]
     for part in facts[1:]:
         table = table.unionByName(part)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import qcol, require_columns, safe_double, text_of, trim_text, type_of
 from .percentiles import FINISH_ROWS, percentile_values
 from .quickstats import one_row_per_field
-from .values import dealt, key_of, scalar_fields
+from .values import dealt, key_of, parts_for, scalar_fields
 
 QUARTILES = [0.25, 0.5, 0.75]
 # Formats looked for at the start of (or as the whole of) a trimmed cell.
@@ -47,8 +47,10 @@ def iqr_outliers(
     return one_row_per_field(df, per_field)
 
 
-def _keys(df: DataFrame, columns: Sequence[str]) -> list[Column]:
-    return [key_of(qcol(c), type_of(df, c)).alias(f"k{i}") for i, c in enumerate(columns)]
+def _groups(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows equal in the columns, with their number ``cnt``."""
+    keys = df.select(*[key_of(qcol(c), type_of(df, c)).alias(f"k{i}") for i, c in enumerate(columns)])
+    return dealt(keys, parts_for(df, columns)).groupBy(*keys.columns).agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def duplicate_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -62,7 +64,7 @@ def duplicate_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     if not columns:
         groups = df.select(F.lit(1).cast("bigint").alias("cnt"))
     else:
-        groups = dealt(df, columns).groupBy(*_keys(df, columns)).agg(F.count(F.lit(1)).alias("cnt"))
+        groups = _groups(df, columns)
     total = F.coalesce(F.sum("cnt"), F.lit(0))
     distinct = F.count(F.lit(1))
     return groups.agg(
@@ -76,7 +78,7 @@ def duplicate_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``(total_rows, distinct_keys, duplicated_keys, duplicate_extra_rows, duplicate_pct)``."""
     require_columns(df, keys)
-    groups = dealt(df, keys).groupBy(*_keys(df, keys)).agg(F.count(F.lit(1)).alias("cnt"))
+    groups = _groups(df, keys)
     total = F.coalesce(F.sum("cnt"), F.lit(0))
     distinct = F.count(F.lit(1))
     return groups.agg(

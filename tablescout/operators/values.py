@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import is_complex, qcol, require_columns, text_of
+from ..functions.columns import is_complex, qcol, require_columns, text_of, type_of
 
 # Cells of one task that are counted by value at once: distinct ones take some 150 bytes each.
 TASK_CELLS = 4_000_000
@@ -54,29 +54,46 @@ def families(df: DataFrame, fields: Sequence[str]) -> list[tuple[T.DataType, lis
     return list(found.values())
 
 
-def dealt(df: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """The fields' columns, dealt to more tasks where one would count more than ``TASK_CELLS`` cells.
+def parts_for(df: DataFrame, fields: Sequence[str]) -> int:
+    """Tasks to deal the rows to before their cells are counted; 0 if no task holds more than ``TASK_CELLS`` cells.
 
     Counts are combined in the tasks that read the rows, and a small file of narrow rows is read by
-    one of them however many cells it unfolds into.  Rows go by a hash of their cells and of the
-    task that read them, which stays the same if a task is run again; copies of a row that one
-    task read stay together, as they were.
+    one of them however many cells it unfolds into.
     """
-    names = list(dict.fromkeys(fields))
-    rows = df.select(*[qcol(n) for n in names])
-    held = rows.groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("held"))
+    held = df.groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("held"))
     most, total = held.agg(F.coalesce(F.max("held"), F.lit(0)), F.coalesce(F.sum("held"), F.lit(0))).first()
-    hashed = [qcol(n) for n in names if "map<" not in df.schema[n].dataType.simpleString()]
-    if most * len(names) <= TASK_CELLS or not hashed:
-        return rows
-    parts = math.ceil(4 * total * len(names) / TASK_CELLS)
-    return rows.repartition(parts, F.spark_partition_id(), F.xxhash64(*hashed))
+    return math.ceil(4 * total * len(fields) / TASK_CELLS) if most * len(fields) > TASK_CELLS else 0
+
+
+def is_narrow(df: DataFrame, fields: Sequence[str]) -> bool:
+    """Whether texts are shorter than a digest on average, so that dealing them moves no more than their keys."""
+    texts = [F.coalesce(F.octet_length(qcol(n)), F.lit(0)) for n in fields if isinstance(type_of(df, n), T.StringType)]
+    mean = df.agg(F.avg(sum(texts, F.lit(0)))).first()[0] if texts else None
+    return mean is None or mean < 32 * len(texts)
+
+
+def dealt(rows: DataFrame, parts: int) -> DataFrame:
+    """The rows in so many tasks; as they are for 0.
+
+    They go by a hash of their cells and of the task that read them, which stays the same if a task is
+    run again; copies of a row that one task read stay together, as they were.
+    """
+    hashed = [qcol(f.name) for f in rows.schema.fields if "map<" not in f.dataType.simpleString()]
+    return rows.repartition(parts, F.spark_partition_id(), F.xxhash64(*hashed)) if parts and hashed else rows
+
+
+def dealt_if_narrow(df: DataFrame, fields: Sequence[str], parts: int) -> DataFrame | None:
+    """The fields' columns in so many tasks; nothing if their texts are too long to be moved."""
+    if not parts or not is_narrow(df, fields):
+        return None
+    return dealt(df.select(*[qcol(n) for n in dict.fromkeys(fields)]), parts)
 
 
 def typed_counts(df: DataFrame, fields: Sequence[str]) -> list[tuple[T.DataType, DataFrame]]:
     """``(field, value, cnt)`` per type; NULL is counted as a value of its own."""
     out = []
-    df = dealt(df, fields)
+    # Long texts are counted where they are read: moving them would move every copy.
+    df = dealt_if_narrow(df, fields, parts_for(df, fields)) or df
     for dtype, names in families(df, fields):
         cols = [qcol(n).cast(dtype).alias(n) for n in names]
         long = df.select(*cols).unpivot([], [qcol(n) for n in names], "field", "value")

@@ -166,5 +166,17 @@ def test_rows_that_unfold_into_many_cells_are_dealt_to_more_tasks(spark, query,
     monkeypatch.setattr(values, "TASK_CELLS", 7000, raising=False)
     assert "REPARTITION_BY_NUM" in plan_of(query(df))
     assert sorted(map(str, query(df).collect())) == whole
-    dealt = values.dealt(df, df.columns).groupBy(F.spark_partition_id()).count()
+    dealt = values.dealt(df, values.parts_for(df, df.columns)).groupBy(F.spark_partition_id()).count()
     assert dealt.agg(F.max("count")).first()[0] * len(df.columns) < 7000 and dealt.count() == 16
+
+
+def test_long_texts_are_dealt_by_their_digests(spark, monkeypatch):
+    df = spark.range(0, 3000, 1, 1).select(F.concat(F.lit("long" * 30), F.col("id") % 7).alias("t"), (F.col("id") % 5).alias("x"))
+    queries = [profile.base_metrics, quality.duplicate_rows, quickstats.quick_top]
+    whole = [sorted(map(str, q(df).collect())) for q in queries]
+    monkeypatch.setattr(values, "TASK_CELLS", 1000)
+    for query, rows in zip(queries, whole, strict=True):
+        plan = plan_of(query(df), "formatted").split("REPARTITION_BY_NUM")
+        moved = len(plan) > 1 and re.search(r"xxhash64\(t#", plan[0] + plan[1])
+        assert not moved and (len(plan) > 1) == (query is not quickstats.quick_top)
+        assert sorted(map(str, query(df).collect())) == rows
