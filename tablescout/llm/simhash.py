@@ -91,11 +91,11 @@ def group_bits(sample: np.ndarray, parts: int) -> list[list[int]]:
     return groups
 
 
-def allocate(sample: np.ndarray, groups: list[list[int]], radius: int, n: int) -> tuple[float, list[int]]:
+def allocate(sample: np.ndarray, groups: list[list[int]], radius: int, n: float, least_bits: int = 0) -> tuple[float, list[int]]:
     """Cost and thresholds (-1: unused) with ``sum(t + 1) = radius + 1`` by dynamic programming.
 
     The cost of a threshold is the keys it makes plus the pairs it is estimated to bring together
-    among ``n`` fingerprints, each pair as often as its keys meet.
+    among ``n`` fingerprints, each pair as often as its keys meet.  Keys keep ``least_bits`` bits at least.
     """
     bits, pairs = _bits(sample), max(1, len(sample) * (len(sample) - 1) // 2)
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
@@ -107,7 +107,7 @@ def allocate(sample: np.ndarray, groups: list[list[int]], radius: int, n: int) -
         costs = [(0, 0.0)]
         for t in range(radius + 1):
             masks = comb(len(group), t)
-            if not 0 < masks <= MOST_MASKS:
+            if not 0 < masks <= MOST_MASKS or len(group) - t < least_bits:
                 break
             met = sum((near[d] + 0.1 / (d + 1)) * comb(len(group) - d, t - d) for d in range(t + 1))
             costs.append((t + 1, 4.0 * n * masks + met * 0.05 * n * n / 2 / pairs))

@@ -156,3 +156,42 @@ def test_open_groups_are_settled_in_blocks(spark, tables, monkeypatch):
     kept = [i for i, c in enumerate(brute.classes(len(texts), pairs)) if i == c]
     out = corpus_pipeline.drop_near_duplicates(spark, frame(spark, texts), tables)
     assert sorted(r.doc_id for r in out.collect()) == kept and 1 < len(kept) < 120
+
+
+def test_candidates_of_one_shuffle_miss_no_pair(spark, monkeypatch):
+    """All pairs within both bounds, in small blocks, by few keys a node that are neither counted nor joined to their counts."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for base in range(60):
+        own = rng.integers(0, 1 << 63, 200, np.int64)
+        for edits in (0, 4, 12, 20):
+            own[:edits] = rng.integers(0, 1 << 63, edits, np.int64)
+            marks = near_copies._minima_bits(np.unique(own.view(np.uint64)))
+            rows.append((int(near_copies._simhash(own.view(np.uint64))[0]), *map(int, marks), len(rows)))
+    nodes = spark.createDataFrame(rows, "fp long, s1 long, s2 long, place long")
+    monkeypatch.setattr(near_copies, "BLOCK", 2)
+    monkeypatch.setattr(near_copies, "BLOCK_SHARE", 0)
+    links = {tuple(r) for r in near_copies._candidates(nodes).collect()}
+    far = lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count()
+    size = near_copies.SIZES
+    pairs = [
+        (a, b)
+        for a, (fp, s1, s2, _) in enumerate(rows)
+        for b, (fq, t1, t2, _) in enumerate(rows[:a])
+        if far(fp, fq) <= near_copies.RADIUS
+        and far(s1, t1) + far(s2 & ~size, t2 & ~size) <= near_copies.APART
+        and min(s2 & size, t2 & size) >= near_copies.SIMILAR * max(s2 & size, t2 & size)
+    ]
+    assert len(pairs) > 100 and links <= {(b, a) for a, b in pairs}
+    assert brute.classes(len(rows), list(links)) == brute.classes(len(rows), pairs)
+    monkeypatch.undo()
+    dealt = near_copies._dealt(nodes)
+    assert dealt.count() <= 64 * len(rows) and "Join" not in dealt._jdf.queryExecution().toString()
+
+
+def test_texts_without_candidates_are_not_shuffled(spark):
+    texts = spark.range(3_000).selectExpr("id - 5 as place", "'t' as text")
+    ends = spark.range(0, 2_000, 50).selectExpr("id - 5 as place")
+    kept = {r.place for r in near_copies._named(texts, ends).collect()}
+    assert {r.place for r in ends.collect()} <= kept and len(kept) <= 50
+    assert near_copies._named(texts, ends.limit(0)).count() == 0
