@@ -20,6 +20,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -111,9 +112,11 @@ class LanguageModel:
         out = np.empty(len(before), np.float32)
         for at in range(0, len(before), 8192):
             rows = before[at : at + 8192]
-            logits = self.predicted(rows) @ self.vectors.T + self.bias
+            logits = self.predicted(rows) @ self.vectors.T
+            logits += self.bias
             most = logits.max(axis=1, keepdims=True)
-            out[at : at + 8192] = np.log(np.exp(logits - most).sum(axis=1)) + most[:, 0]
+            logits -= most
+            out[at : at + 8192] = np.log(np.exp(logits, out=logits).sum(axis=1)) + most[:, 0]
         return out
 
     def predicted(self, before: np.ndarray) -> np.ndarray:
@@ -128,10 +131,13 @@ def _contexts(classes: np.ndarray, start: int) -> np.ndarray:
 
 def _class_ids(found: list[bytes], known: dict[bytes, int], class_of: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
     """Rank of each word (-1: not sent along) and its class."""
-    ranks = np.fromiter((known.get(w, -1) for w in found), np.int64, len(found))
+    ranks = np.fromiter(map(known.get, found, repeat(-1)), np.int64, len(found))
     classes = class_of[ranks] if len(class_of) else np.zeros(len(found), np.int64)
-    for i in np.flatnonzero(ranks < 0).tolist():
-        classes[i] = top + other_class(found[i])
+    rare = np.flatnonzero(ranks < 0)
+    classes[rare] = top  # the class of ASCII words
+    words_of = [found[i] for i in rare.tolist()]
+    if not b"".join(words_of).isascii():
+        classes[rare] += np.fromiter(map(other_class, words_of), np.int64, len(rare))
     return ranks, classes
 
 
@@ -306,7 +312,7 @@ def learn_language(docs: DataFrame, counts: DataFrame, id_col: str = "doc_id", t
     return LanguageModel(ranks, frequent, class_of, int(totals[0]), int(totals[1]), masses, context, vectors, bias, places)
 
 
-PARTS = "n_tokens long, n_known long, base double, score double, rare array<struct<word:binary,n:int>>"
+PARTS = "n_tokens long, n_known long, base double, score double, rare array<binary>, times array<int>"
 
 
 def _part_column(text: Column, model: LanguageModel) -> Column:
@@ -334,15 +340,15 @@ def _part_column(text: Column, model: LanguageModel) -> Column:
                     norms[new] = m.log_norms(new[:, None] // weights % size)
                 logit = np.einsum("ij,ij->i", m.predicted(before), m.vectors[classes]) + m.bias[classes]
                 ln = (logit - norms[codes]).sum(dtype=np.float64)
-                rare = Counter(found[i] for i in np.flatnonzero(ranks < 0))
+                rare = Counter([found[i] for i in np.flatnonzero(ranks < 0).tolist()])
                 out.append(
                     (
                         len(found), len(found) - sum(rare.values()), base_of[ranks].sum(),
                         ln / np.log(10) + inside[ranks].sum() - mass_of[classes].sum(),
-                        [{"word": w, "n": n} for w, n in rare.items()],
+                        list(rare), list(rare.values()),
                     )
                 )
-            yield pd.DataFrame(out, columns=["n_tokens", "n_known", "base", "score", "rare"])
+            yield pd.DataFrame(out, columns=["n_tokens", "n_known", "base", "score", "rare", "times"])
 
     return score(F.coalesce(text, F.lit("")))
 
@@ -365,14 +371,15 @@ def language_scores(
         docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), _part_column(F.col(text_col), model).alias("p"))
         .select("id", "row", "p.*")
     )
-    rare = parts.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n")
+    pairs = F.arrays_zip(F.col("rare").alias("word"), F.col("times").alias("n"))
+    rare = parts.select("row", F.explode(pairs).alias("r")).select("row", "r.word", "r.n")
     met = rare.join(counts.select("word", "c"), "word", "left")
     c = F.coalesce("c", F.lit(0))
     sums = met.groupBy("row").agg(
         F.sum(F.col("n") * F.log10(c + 0.5)).alias("logs"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("met")
     )
     logs, more = F.coalesce("logs", F.lit(0.0)), F.coalesce("met", F.lit(0))
-    return parts.drop("rare").join(sums, "row", "left").select(
+    return parts.drop("rare", "times").join(sums, "row", "left").select(
         F.col("id").alias(id_col), "n_tokens", (F.col("n_known") + more).alias("n_known"),
         F.lit(model.tokens).cast("long").alias("train_tokens"),
         (F.col("base") + logs).alias("base_score"), (F.col("score") + logs).alias("score"),

@@ -277,3 +277,15 @@ def test_no_training_rows_and_no_rows(spark):
 def test_classes_of_other_words():
     assert logbilinear.other_class(b"plain") == 0 == logbilinear.other_class(b"")
     assert 1 <= logbilinear.other_class("é".encode()) < logbilinear.OTHERS
+
+
+def test_classes_of_unknown_words_are_looked_up_only_beyond_ascii(monkeypatch):
+    known, class_of, asked = {b"a": 0, b"b": 1}, np.array([0, 1]), []
+    kind = logbilinear.other_class
+    monkeypatch.setattr(logbilinear, "other_class", lambda w: asked.append(w) or kind(w))
+    ranks, classes = logbilinear._class_ids([b"b", b"x", b"a", b"y", b""], known, class_of, 2)
+    assert ranks.tolist() == [1, -1, 0, -1, -1] and classes.tolist() == [1, 2, 0, 2, 2] and not asked
+    found = [b"a", "é".encode(), b"x", "ω".encode()]
+    ranks, classes = logbilinear._class_ids(found, known, class_of, 2)
+    assert classes.tolist() == [0, *(2 + kind(w) for w in found[1:])]
+    assert logbilinear._class_ids(found[1:], {}, np.zeros(0, np.int64), 0)[1].tolist() == list(map(kind, found[1:]))
